@@ -79,14 +79,9 @@ def dedup_flows(
 
 
 def _filled(column: Column, data_type: T.DataType, median: float | None, string_null: str) -> Column | None:
+    """The column without gaps. Numbers become double whatever the data, as medians are fractional."""
     if isinstance(data_type, T.NumericType):
-        if is_floating(data_type):
-            column = finite_or_null(column)
-            return F.coalesce(column, F.lit(0.0 if median is None else float(median)).cast(data_type))
-        # an integer column takes a fractional median only as a double
-        if median is not None and not float(median).is_integer():
-            return F.coalesce(column.cast("double"), F.lit(float(median)))
-        return F.coalesce(column, F.lit(0 if median is None else int(median)).cast(data_type))
+        return F.coalesce(finite_or_null(column.cast("double")), F.lit(0.0 if median is None else float(median)))
     if isinstance(data_type, T.StringType):
         return F.coalesce(column, F.lit(string_null))
     if isinstance(data_type, T.BooleanType):

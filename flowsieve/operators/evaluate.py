@@ -317,11 +317,11 @@ def feature_density(
     start, end = F.col("from") - reach * F.col("h"), F.col("to") + reach * F.col("h")
     placed = ready.where("h > 0").withColumns({"start": start, "step": (end - start) / (grid - 1)})
     at_grid = placed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
-        "at", F.col("start") + F.col("point") * F.col("step")
+        "position", F.col("start") + F.col("point") * F.col("step")
     )
-    z = (F.col("at") - F.col("x")) / F.col("h")
+    z = (F.col("position") - F.col("x")) / F.col("h")
     kernel = F.col("n") * F.exp(-0.5 * z * z) / (F.col("total") * F.col("h") * F.sqrt(2 * F.pi()))
-    return at_grid.groupBy("label", "point").agg(F.first("at").alias("at"), F.sum(kernel).alias("density"))
+    return at_grid.groupBy("label", "point").agg(F.first("position").alias("position"), F.sum(kernel).alias("density"))
 
 
 def attack_timeline(df: DataFrame, time: str, label: str) -> DataFrame:
