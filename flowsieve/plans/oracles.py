@@ -177,13 +177,13 @@ FEATURES = {
 
 
 def _feature_query(names: list[str]) -> str:
-    return f"WITH {CLEANED} SELECT flow_id, {', '.join(f'{_round(FEATURES[c])} AS {c}' for c in names)} FROM cleaned"
+    return f"WITH {CLEANED} SELECT flow_id, {', '.join(f'{FEATURES[c]} AS {c}' for c in names)} FROM cleaned"
 
 
 oracle("features_ratio", _feature_query(list(FEATURES)[:5]))
 oracle("features_rate", _feature_query(list(FEATURES)[5:8]))
 oracle("features_interaction", _feature_query(list(FEATURES)[8:]))
-oracle("features_cic", f"WITH {FLOWS} SELECT flow_id, {_round('spkts / (dur + 1)')} AS fwd_packets_per_second FROM flows")
+oracle("features_cic", f"WITH {FLOWS} SELECT flow_id, spkts / (dur + 1) AS fwd_packets_per_second FROM flows")
 
 # Encoders
 

@@ -207,7 +207,8 @@ def dedup_conflicts(spark, sf_dir):
 
 
 def _features(spark: SparkSession, sf_dir: str, dataset: str, names: list[str]) -> DataFrame:
-    return _rounded_all(add_flow_features(_cleaned(spark, sf_dir), dataset).select("flow_id", *names))
+    # unrounded: plain double arithmetic gives the same bits everywhere
+    return add_flow_features(_cleaned(spark, sf_dir), dataset).select("flow_id", *names)
 
 
 @query
@@ -229,7 +230,7 @@ def features_interaction(spark, sf_dir):
 @query
 def features_cic(spark, sf_dir):
     named_so = flows(spark, sf_dir).select("flow_id", F.col("spkts").alias("Total Fwd Packets"), F.col("dur").alias("Flow Duration"))
-    return _rounded_all(add_flow_features(named_so, "CIC").select("flow_id", "fwd_packets_per_second"))
+    return add_flow_features(named_so, "CIC").select("flow_id", "fwd_packets_per_second")
 
 
 # Encoders
