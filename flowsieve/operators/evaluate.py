@@ -94,8 +94,9 @@ def _threshold_counts(y: Column, probs: Column, threshold: float) -> tuple[Colum
 
 def threshold_metrics(df: DataFrame, true: str, probs: str, threshold: float = 0.5) -> DataFrame:
     """Counts over the one-hot matrix at a probability threshold, and their precision and recall."""
-    tp, fp, fn = _threshold_counts(named(true), named(probs), threshold)
-    counts = df.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    rows = df.select(named(true).alias("_y"), named(probs).alias("_probs"))
+    tp, fp, fn = _threshold_counts(F.col("_y"), F.col("_probs"), threshold)
+    counts = rows.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
     return counts.withColumn(
         "precision", F.when(F.col("tp") + F.col("fp") > 0, F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
     ).withColumn("recall", F.when(F.col("tp") + F.col("fn") > 0, F.col("tp") / (F.col("tp") + F.col("fn"))).otherwise(0.0))
@@ -109,10 +110,8 @@ def joint_loss(
     df: DataFrame, true: str, probs: str, values: str, rebuilt: str, weight: float = RECONSTRUCTION_WEIGHT
 ) -> DataFrame:
     """Cross-entropy, reconstruction error and their weighted sum."""
-    losses = df.agg(
-        F.avg(cross_entropy(named(probs), named(true))).alias("cross_entropy"),
-        F.avg(mean_squared_error(named(values), named(rebuilt))).alias("mse"),
-    )
+    rows = df.select(cross_entropy(named(probs), named(true)).alias("_ce"), mean_squared_error(named(values), named(rebuilt)).alias("_se"))
+    losses = rows.agg(F.avg("_ce").alias("cross_entropy"), F.avg("_se").alias("mse"))
     return losses.withColumn("joint_loss", F.col("cross_entropy") + weight * F.col("mse"))
 
 
@@ -123,10 +122,12 @@ def evaluation_summary(
 
     Row metrics come from one aggregate by class pair, so macro F1 needs no second scan.
     """
-    y, p = named(true), named(probs)
+    nothing = F.lit(None).cast("double")
+    error = mean_squared_error(named(values), named(rebuilt)) if values and rebuilt else nothing
+    rows = df.select(named(true).alias("_y"), named(probs).alias("_probs"), error.alias("_error"))
+    y, p, error = F.col("_y"), F.col("_probs"), F.col("_error")
     tp, fp, fn = _threshold_counts(y, p, threshold)
-    error = mean_squared_error(named(values), named(rebuilt)) if values and rebuilt else F.lit(None).cast("double")
-    pairs = df.groupBy(y.alias("t"), argmax(p).alias("p")).agg(
+    pairs = rows.groupBy(y.alias("t"), argmax(p).alias("p")).agg(
         F.count("*").alias("n"),
         tp.alias("tp"),
         fp.alias("fp"),

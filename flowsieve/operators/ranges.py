@@ -68,23 +68,24 @@ def running_totals(
         window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(*to_here)
         return df.withColumns({new: F.sum(old).over(window) for new, old in totals.items()})
 
-    ranged = with_range(df, axis, cuts, "_part")
+    # a struct key: a missing group value is a group like any other, in the join as in the window
+    ranged = with_range(df, axis, cuts, "_part").withColumn("_group", F.struct(*groups))
     direction = F.col("_part").desc() if descending else F.col("_part").asc()
-    earlier = Window.partitionBy(*groups).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_group").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy(*groups, "_part")
+        ranged.groupBy("_group", "_part")
         .agg(*[F.sum(old).alias(f"_sum_{new}") for new, old in totals.items()])
         .select(
-            *groups,
+            "_group",
             "_part",
             *[F.coalesce(F.sum(f"_sum_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}") for new in totals],
         )
     )
-    local = Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(*to_here)
+    local = Window.partitionBy("_group", "_part").orderBy(*order).rowsBetween(*to_here)
     return (
-        ranged.join(offsets, [*groups, "_part"])
+        ranged.join(offsets, ["_group", "_part"])
         .withColumns({new: F.sum(old).over(local) + F.col(f"_before_{new}") for new, old in totals.items()})
-        .drop("_part", *[f"_before_{new}" for new in totals])
+        .drop("_group", "_part", *[f"_before_{new}" for new in totals])
     )
 
 

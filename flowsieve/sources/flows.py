@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,8 +101,8 @@ def assemble(spark: SparkSession, folder: str, schema: T.StructType | str | None
     try:
         reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
         flows = reader.parquet(captures)
-    except PySparkException as error:
-        if "MERGE" not in str(error).upper():
+    except Exception as error:  # the JVM error for this has no Python class of its own
+        if "CANNOT_MERGE_SCHEMA" not in str(error):
             raise
         return _assemble_widened(spark, captures)
     return with_capture_labels(flows.withColumn("_capture", capture_file(F.col("_metadata.file_path"))), F.col("_capture")).drop("_capture")
