@@ -182,14 +182,16 @@ def _scores_by_class(df: DataFrame, true: str, probs: str) -> DataFrame:
 def _running_scores(df: DataFrame, true: str, probs: str, rows_per_range: int) -> DataFrame:
     """Running positives and negatives from the highest score down; ties are one step."""
     steps = _scores_by_class(df, true, probs)
-    axis = F.col("class") + F.col("score")
+    axis = F.col("class") + 0.999 * F.col("score")  # classes one after the other
     n_cells = df.agg(F.sum(F.size(named(probs)))).first()[0] or 0
-    cuts = []
+    cuts, cells = [], None
     if n_cells > rows_per_range:
-        cells = df.select(F.posexplode(named(probs)).alias("class", "score"))
+        hit = (F.col("y") == F.col("class")).cast("int")
+        cells = df.select(named(true).alias("y"), F.posexplode(named(probs)).alias("class", "score"))
+        cells = cells.select("class", "score", hit.alias("pos"), (1 - hit).alias("neg"))
         cuts = cut_points(cells, axis, rows_per_range, n_cells)
     return running_totals(
-        steps, ["class"], [F.desc("score")], {"tp": "pos", "fp": "neg"}, cuts, axis, descending=True
+        steps, "class", [F.desc("score")], {"tp": "pos", "fp": "neg"}, cuts, axis, descending=True, counted=cells
     )
 
 

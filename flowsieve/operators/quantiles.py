@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import finite_or_null, named
 
-EXACT_CELLS = 20_000_000
+EXACT_CELLS = 2_000_000
 BINS = 256
 LAST_ROWS = 1_000
 

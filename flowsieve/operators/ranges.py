@@ -1,22 +1,26 @@
-"""Ranks, running totals and neighbour windows that do not need one task per group.
+"""Running totals and neighbour windows that do not need one task per group.
 
 A window over ``partitionBy(group).orderBy(value)`` sorts a whole group in one task, and in flow
 data one class or one source can hold a third of all rows. The helpers here cut the value axis into
-ranges first, work inside ``(group, range)`` and add what the earlier ranges hold. Small inputs take
-the plain window: one shuffle, no extra job.
+ranges first, work inside ``(group, range)`` and add what the neighbouring ranges hold. Inputs of one
+range take the plain window: one shuffle, no extra job.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import groupby
 from math import ceil
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ROWS_PER_RANGE = 2_000_000
-MAX_RANGES = 20_000
-SAMPLES_PER_RANGE = 50
+from flowsieve.operators.bounds import MAX_CLASSES, bounded_rows, small_table
+
+ROWS_PER_RANGE = 1_000_000
+MAX_RANGES = 100_000
+SAMPLES_PER_RANGE = 20
 
 
 def cut_points(df: DataFrame, axis: Column, rows_per_range: int, n_rows: int) -> list[float]:
@@ -29,67 +33,71 @@ def cut_points(df: DataFrame, axis: Column, rows_per_range: int, n_rows: int) ->
     if ranges <= 1:
         return []
     fraction = min(1.0, SAMPLES_PER_RANGE * ranges / n_rows)
-    sampled = df.select(axis.alias("axis")).where("axis is not null and not isnan(axis)")
+    sampled = df.select(axis.cast("double").alias("axis")).where("axis is not null and not isnan(axis)")
     sampled = sampled if fraction == 1.0 else sampled.sample(fraction=fraction, seed=7)
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = sampled.agg(F.percentile_approx("axis", shares, 4 * MAX_RANGES)).first()[0]
+    cuts = sampled.agg(F.percentile_approx("axis", shares, max(10_000, 4 * ranges))).first()[0]
     return sorted(set(cuts or []))
 
 
 def with_range(df: DataFrame, axis: Column, cuts: list[float], name: str) -> DataFrame:
     """Range number of every row; rows with equal axis values share a range."""
-    if not cuts:
-        return df.withColumn(name, F.lit(0))
     splits = [float("-inf"), *cuts, float("inf")]
-    return (
-        df.withColumn("_axis", axis.cast("double"))
-        .transform(Bucketizer(splits=splits, inputCol="_axis", outputCol="_range").transform)
-        .withColumn(name, F.col("_range").cast("int"))
-        .drop("_axis", "_range")
-    )
+    bucketizer = Bucketizer(splits=splits, inputCol="_axis", outputCol="_range")
+    ranged = bucketizer.transform(df.withColumn("_axis", axis.cast("double")))
+    return ranged.withColumn(name, F.col("_range").cast("int")).drop("_axis", "_range")
 
 
 def running_totals(
     df: DataFrame,
-    groups: list[str],
+    group: str,
     order: list[Column],
     totals: dict[str, str],
     cuts: list[float],
     axis: Column,
     descending: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``new = sum(old)`` over the rows of the group up to and including this one.
 
-    ``totals`` maps new column names to summed columns, ``order`` must be total within a group and
-    ``axis`` a number that never decreases along it (never increases if ``descending``).
+    ``totals`` maps new column names to summed columns. ``axis`` never decreases along ``order`` (never
+    increases if ``descending``) and keeps the groups on separate stretches, so there are no more
+    (group, range) pairs than ranges and groups together; their totals come to the driver, are added
+    up and go out as a broadcast table. ``counted`` may give the rows behind the totals where they
+    are cheaper to get than ``df``.
     """
     to_here = (Window.unboundedPreceding, Window.currentRow)
     if not cuts:
-        window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(*to_here)
+        window = Window.partitionBy(group).orderBy(*order).rowsBetween(*to_here)
         return df.withColumns({new: F.sum(old).over(window) for new, old in totals.items()})
 
-    # a struct key: a missing group value is a group like any other, in the join as in the window
-    ranged = with_range(df, axis, cuts, "_part").withColumn("_group", F.struct(*groups))
-    direction = F.col("_part").desc() if descending else F.col("_part").asc()
-    earlier = Window.partitionBy("_group").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        ranged.groupBy("_group", "_part")
-        .agg(*[F.sum(old).alias(f"_sum_{new}") for new, old in totals.items()])
-        .select(
-            "_group",
-            "_part",
-            *[F.coalesce(F.sum(f"_sum_{new}").over(earlier), F.lit(0)).alias(f"_before_{new}") for new in totals],
-        )
+    per_range = (
+        with_range(df if counted is None else counted, axis, cuts, "_part")
+        .groupBy(group, "_part")
+        .agg(*[F.sum(old).cast("bigint").alias(new) for new, old in totals.items()])
     )
-    local = Window.partitionBy("_group", "_part").orderBy(*order).rowsBetween(*to_here)
+    sums = bounded_rows(per_range, len(cuts) + 1 + MAX_CLASSES, "totals by range")
+    offsets = []
+    for value, rows in groupby(sorted(sums, key=lambda r: (r[group], r["_part"])), key=lambda r: r[group]):
+        by_part = {row["_part"]: row for row in rows}
+        first, last = min(by_part), max(by_part)
+        so_far = [0] * len(totals)
+        for part in range(last, first - 1, -1) if descending else range(first, last + 1):
+            offsets.append((value, part, *so_far))
+            if part in by_part:
+                so_far = [a + by_part[part][new] for a, new in zip(so_far, totals)]
+    kind = df.schema[group].dataType.simpleString()
+    before = small_table(df.sparkSession, offsets, ", ".join([f"`{group}` {kind}", "_part int", *[f"_before_{n} bigint" for n in totals]]))
+    local = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(*to_here)
     return (
-        ranged.join(offsets, ["_group", "_part"])
-        .withColumns({new: F.sum(old).over(local) + F.col(f"_before_{new}") for new, old in totals.items()})
-        .drop("_group", "_part", *[f"_before_{new}" for new in totals])
+        with_range(df, axis, cuts, "_part")
+        .join(before, [group, "_part"], "left")
+        .withColumns({new: F.sum(old).over(local) + F.coalesce(f"_before_{new}", F.lit(0)) for new, old in totals.items()})
+        .drop("_part", *[f"_before_{new}" for new in totals])
     )
 
 
-def neighbour_blocks(
+def neighbour_windows(
     df: DataFrame,
     groups: list[str],
     order: list[Column],
@@ -97,28 +105,25 @@ def neighbour_blocks(
     before: int,
     after: int,
     cuts: list[float],
-    rows_per_block: int,
+    add: Callable[[DataFrame, WindowSpec], DataFrame],
 ) -> DataFrame:
-    """Cuts every group into blocks of consecutive rows, with a margin copied from the neighbours.
+    """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
-    Adds ``_block`` and ``_own``. Any window that looks at most ``before`` rows back and ``after``
-    rows ahead gives, over ``partitionBy(*groups, '_block')``, the same values for the rows with
-    ``_own`` as over the whole group; the copies (``_own`` false) are to be dropped afterwards. Blocks
-    are cut by exact rank, so a margin never reaches past the next block.
+    ``add(table, window)`` adds them. One shuffle sorts the rows by (group, range); rows whose
+    neighbourhood lies inside their range are done. For the few at the ends of a range, the rows around
+    all range ends of a group are sorted once more: a constant number per range, however large the
+    group is.
     """
-    if rows_per_block < max(before, after):
-        raise ValueError("a block must be at least as long as its margin")
-    ranked = running_totals(df.withColumn("_one", F.lit(1).cast("bigint")), groups, order, {"_rank": "_one"}, cuts, axis)
-    position = F.col("_rank") - 1
-    block = F.floor(position / rows_per_block).cast("bigint")
-    place = position % rows_per_block
-    copies = F.array(
-        F.struct(block.alias("block"), F.lit(True).alias("own")),
-        F.when(place >= rows_per_block - before, F.struct((block + 1).alias("block"), F.lit(False).alias("own"))),
-        F.when((place < after) & (block > 0), F.struct((block - 1).alias("block"), F.lit(False).alias("own"))),
-    )
-    return (
-        ranked.withColumn("_copy", F.explode(F.filter(copies, lambda copy: copy.isNotNull())))
-        .withColumns({"_block": F.col("_copy.block"), "_own": F.col("_copy.own")})
-        .drop("_copy", "_rank", "_one")
+    if not cuts:
+        return add(df, Window.partitionBy(*groups).orderBy(*order))
+    margin = before + after
+    inner = Window.partitionBy(*groups, "_part")
+    placed = with_range(df, axis, cuts, "_part").withColumns(
+        {"_row": F.row_number().over(inner.orderBy(*order)), "_rows": F.count(F.lit(1)).over(inner)}
     )
+    row, left = F.col("_row"), F.col("_rows") - F.col("_row")
+    inside = (row > before) & (left >= after)
+    at_ends = placed.where((row <= margin) | (left < margin))
+    done = add(placed, inner.orderBy(*order)).where(inside)
+    ends = add(at_ends, Window.partitionBy(*groups).orderBy(*order)).where(~inside)
+    return done.unionByName(ends).drop("_part", "_row", "_rows")

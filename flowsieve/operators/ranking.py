@@ -8,14 +8,14 @@ from math import log
 from pyspark import keyword_only
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import digamma, finite_or_null, named, numeric_columns
 from flowsieve.operators.bounds import MAX_CLASSES, bounded_rows, label_text
 from flowsieve.operators.encode import LabelIndex
 from flowsieve.operators.profile import require_columns
-from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_blocks, running_totals
+from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_windows, running_totals
 from flowsieve.operators.stages import FlowEstimator, FlowModel, flag, number, state, strings, text
 
 NEIGHBOURS = 3
@@ -84,8 +84,8 @@ def mutual_info(
     Classes with one row are left out.
 
     Equal values are merged before the first shuffle, so a column with few distinct values costs next
-    to nothing and no hot value reaches a task more than once. Beyond ``rows_per_range`` cells, sorting
-    is spread over value ranges.
+    to nothing and no hot value reaches a task more than once. Beyond ``rows_per_range`` rows, sorting is
+    spread over value ranges.
     """
     require_columns(df, [*features, label])
     facts = bounded_rows(
@@ -124,21 +124,22 @@ def mutual_info(
         place = F.when(width > 0, (value / 2 - low / 2) / width).otherwise(F.lit(0.0))
         return F.col("f") + 0.999 * F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0))
 
-    cuts = cut_points(rows, axis(F.col("v")), rows_per_range, total * len(features))
+    cuts = []
+    if total > rows_per_range:
+        cuts = cut_points(rows, axis(F.col("v")), rows_per_range, total * len(features))
     points = rows.groupBy("f", "c", "v").agg(F.count("*").alias("n"))
 
     # the nearest `neighbours` rows never need more than this many copies of one value
     copies = points.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(neighbours + 1)).cast("int"))))
-    groups, order = ["f", "c"], [F.col("v"), F.col("copy")]
-    if cuts:
-        copies = neighbour_blocks(copies, groups, order, axis(F.col("v")), neighbours, neighbours, cuts, rows_per_range)
-        groups = [*groups, "_block"]
-    nearby = Window.partitionBy(*groups).orderBy(*order)
     steps = range(1, neighbours + 1)
-    near = copies.withColumns(
-        {f"below{j}": F.lag("v", j).over(nearby) for j in steps} | {f"above{j}": F.lead("v", j).over(nearby) for j in steps}
-    )
-    near = near.where("copy = 1 and _own" if cuts else "copy = 1")
+
+    def with_neighbours(table: DataFrame, window: WindowSpec) -> DataFrame:
+        lags = {f"below{j}": F.lag("v", j).over(window) for j in steps}
+        return table.withColumns(lags | {f"above{j}": F.lead("v", j).over(window) for j in steps})
+
+    near = neighbour_windows(
+        copies, ["f", "c"], [F.col("v"), F.col("copy")], axis(F.col("v")), neighbours, neighbours, cuts, with_neighbours
+    ).where("copy = 1")
 
     v, far = F.col("v"), F.lit(float("inf"))
     left = [F.lit(0.0)] + [F.coalesce(v - F.col(f"below{j}"), far) for j in steps]
@@ -190,7 +191,13 @@ def mutual_info(
         "f", "x", "place", F.lit(0).cast("bigint").alias("rows"), "c", "v", "n", "k", "sign"
     )
     swept = running_totals(
-        point_marks.unionByName(bound_marks), ["f"], [F.col("x"), F.col("place")], {"upto": "rows"}, cuts, axis(F.col("x"))
+        point_marks.unionByName(bound_marks),
+        "f",
+        [F.col("x"), F.col("place")],
+        {"upto": "rows"},
+        cuts,
+        axis(F.col("x")),
+        counted=rows.select("f", F.col("v").alias("x"), F.lit(1).alias("rows")),
     )
     counted = (
         swept.where("sign <> 0")

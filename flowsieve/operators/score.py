@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import named
 from flowsieve.functions.vectors import argmax, squared_sum
 from flowsieve.operators.bounds import small_table
 from flowsieve.operators.evaluate import macro_f1
-from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_blocks
+from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_windows
 
 THRESHOLD = 0.9
 
@@ -40,13 +38,13 @@ def sequence_windows(
     window_size: int,
     pad: bool = False,
     output: str = "sequence",
-    rows_per_block: int = ROWS_PER_RANGE,
+    rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """The last ``window_size`` rows of an entity, oldest first, as ``array<array<double>>``.
 
     Rows with a shorter history are dropped, or padded with zero rows in front. Entities with more than
-    ``rows_per_block`` rows are cut into blocks of consecutive rows that overlap by the window, so
-    that no entity is sorted in one task; all others take the plain window.
+    ``rows_per_range`` rows are sorted by time range, so that no entity is one task; all others take
+    the plain window.
     """
     if window_size < 1:
         raise ValueError("window_size must be at least 1")
@@ -54,28 +52,26 @@ def sequence_windows(
     rows = df.withColumn("_values", values)
     if window_size == 1:
         return rows.withColumn(output, F.array("_values")).drop("_values")
+    order = [named(time), named(key)]
 
-    def windows(part: DataFrame, groups: list[Column]) -> DataFrame:
-        last = Window.partitionBy(*groups).orderBy(named(time), named(key)).rowsBetween(1 - window_size, 0)
-        return part.withColumn(output, F.collect_list("_values").over(last))
+    def windows(part: DataFrame, window: WindowSpec) -> DataFrame:
+        return part.withColumn(output, F.collect_list("_values").over(window.rowsBetween(1 - window_size, 0)))
 
     sizes = df.groupBy(named(entity).alias("_entity")).agg(F.count("*").alias("n"))
-    hot_rows = sizes.where(F.col("n") > rows_per_block).collect()  # at most all rows / rows_per_block entities
+    hot_rows = sizes.where(F.col("n") > rows_per_range).collect()  # at most all rows / rows_per_range entities
+    whole = Window.partitionBy(named(entity)).orderBy(*order)
     if not hot_rows:
-        result = windows(rows, [named(entity)])
+        result = windows(rows, whole)
     else:
         kind = df.schema[entity].dataType.simpleString()
         hot = small_table(df.sparkSession, [(row["_entity"],) for row in hot_rows], f"_entity {kind}")
         same = named(entity).eqNullSafe(F.col("_entity"))
-        cold = windows(rows.join(hot, same, "left_anti"), [named(entity)])
+        cold = windows(rows.join(hot, same, "left_anti"), whole)
         busy = rows.join(hot, same, "left_semi")
-        axis = named(time).cast("timestamp").cast("double") if "timestamp" in dict(df.dtypes)[time] else named(time).cast("double")
-        cuts = cut_points(busy, axis, ceil(rows_per_block / 4), sum(row["n"] for row in hot_rows))
-        blocks = neighbour_blocks(
-            busy, [entity], [named(time), named(key)], axis, window_size - 1, 0, cuts, rows_per_block
-        )
-        cut = windows(blocks, [named(entity), F.col("_block")]).where("_own").drop("_block", "_own")
-        result = cold.unionByName(cut)
+        moment = named(time).cast("timestamp") if "timestamp" in dict(df.dtypes)[time] else named(time)
+        axis = moment.cast("double")
+        cuts = cut_points(busy, axis, rows_per_range, sum(row["n"] for row in hot_rows))
+        result = cold.unionByName(neighbour_windows(busy, [entity], order, axis, window_size - 1, 0, cuts, windows))
     if not pad:
         return result.where(F.size(output) == window_size).drop("_values")
     empty = F.array_repeat(F.lit([0.0] * len(features)), window_size - F.size(output))

@@ -4,11 +4,10 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from flowsieve.operators.quantiles import Bracket, exact_quantiles, order_statistics
-from flowsieve.operators.ranges import cut_points, neighbour_blocks, running_totals
+from flowsieve.operators.ranges import cut_points, neighbour_windows, running_totals
 
 
 @pytest.fixture(scope="module")
@@ -22,29 +21,28 @@ def skewed(spark):
 def test_running_totals_in_ranges_equal_the_plain_window(skewed, descending):
     direction = F.desc if descending else F.asc
     order = [direction("v"), direction("id")]
-    cuts = cut_points(skewed, F.col("v"), 100, 3000)
+    df = skewed.withColumn("f", F.when(F.col("g") == "hot", 0).otherwise(1))
+    axis = F.col("f") + F.col("v") / 51
+    cuts = cut_points(df, axis, 100, 3000)
     assert len(cuts) > 3
-    plain = running_totals(skewed, ["g"], order, {"s": "n"}, [], F.col("v"), descending)
-    ranged = running_totals(skewed, ["g"], order, {"s": "n"}, cuts, F.col("v"), descending)
+    plain = running_totals(df, "f", order, {"s": "n"}, [], axis, descending)
+    ranged = running_totals(df, "f", order, {"s": "n"}, cuts, axis, descending)
     assert sorted(plain.collect()) == sorted(ranged.select(plain.columns).collect())
 
 
-def test_blocks_give_the_windows_of_the_whole_group(skewed):
+@pytest.mark.parametrize("before, after, rows", [(2, 3, 100), (0, 4, 30), (5, 0, 30), (1, 1, 3)])
+def test_neighbours_in_ranges_equal_the_plain_window(skewed, before, after, rows):
     order = [F.col("v"), F.col("id")]
-    whole = Window.partitionBy("g").orderBy(*order)
-    want = skewed.select("id", F.lag("id", 2).over(whole).alias("a"), F.lead("id", 3).over(whole).alias("b"))
-    cuts = cut_points(skewed, F.col("v"), 200, 3000)
-    blocks = neighbour_blocks(skewed, ["g"], order, F.col("v"), 2, 3, cuts, 50)
-    inside = Window.partitionBy("g", "_block").orderBy(*order)
-    got = blocks.select("id", F.lag("id", 2).over(inside).alias("a"), F.lead("id", 3).over(inside).alias("b"), "_own").where("_own").drop("_own")
-    assert blocks.groupBy("g", "_block").count().agg(F.max("count")).first()[0] <= 50 + 2 + 3
-    key = lambda row: row["id"]
-    assert sorted(want.collect(), key=key) == sorted(got.collect(), key=key)
 
+    def add(table, window):
+        return table.withColumns({"a": F.lag("id", before).over(window), "b": F.lead("id", after).over(window)})
 
-def test_blocks_reject_a_margin_longer_than_a_block(skewed):
-    with pytest.raises(ValueError):
-        neighbour_blocks(skewed, ["g"], [F.col("v")], F.col("v"), 10, 0, [], 5)
+    df = skewed.withColumn("g", F.when(F.col("g") != "g3", F.col("g")))
+    cuts = cut_points(df, F.col("v"), rows, 3000)
+    plain = neighbour_windows(df, ["g"], order, F.col("v"), before, after, [], add)
+    ranged = neighbour_windows(df, ["g"], order, F.col("v"), before, after, cuts, add)
+    key = lambda row: row["id"]
+    assert sorted(plain.collect(), key=key) == sorted(ranged.select(plain.columns).collect(), key=key)
 
 
 def test_narrowed_quantiles_equal_numpy(spark):

@@ -81,7 +81,7 @@ def test_sequences_of_a_hot_entity_equal_the_plain_window(spark, pad):
         F.timestamp_seconds(F.floor(F.col("id") / 7)).alias("t"), (F.col("id") * 1.5).alias("x"), F.lit(1).alias("n"),
     )
     plain = score.sequence_windows(df, ["x", "n"], "e", "t", "id", 5, pad)
-    cut = score.sequence_windows(df, ["x", "n"], "e", "t", "id", 5, pad, rows_per_block=40)
+    cut = score.sequence_windows(df, ["x", "n"], "e", "t", "id", 5, pad, rows_per_range=40)
     key = lambda r: r["id"]
     assert sorted(plain.collect(), key=key) == sorted(cut.collect(), key=key)
     assert plain.count() == (2000 if pad else 2000 - 4 * df.select("e").distinct().count())
