@@ -178,20 +178,14 @@ def mutual_info(
 
     # rows closer than the radius: running count at the upper bound minus running count at the lower;
     # at equal value an open upper bound sorts before the points and an open lower bound after them
-    point_marks = points.groupBy("f", "v").agg(F.sum("n").alias("rows")).select(
-        "f", F.col("v").alias("x"), F.lit(1).alias("place"), "rows",
-        F.lit(None).cast("string").alias("c"), F.lit(None).cast("double").alias("v"),
-        F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("k"), F.lit(0).alias("sign"),
-    )
-    ends = F.array(
-        F.struct(F.col("high").alias("x"), F.when(F.col("tied"), 2).otherwise(0).alias("place"), F.lit(1).alias("sign")),
-        F.struct(F.col("low").alias("x"), F.when(F.col("tied"), 0).otherwise(2).alias("place"), F.lit(-1).alias("sign")),
-    )
-    bound_marks = balls.select("f", "c", "v", "n", "k", F.inline(ends)).select(
-        "f", "x", "place", F.lit(0).cast("bigint").alias("rows"), "c", "v", "n", "k", "sign"
+    nothing = F.lit(0).cast("bigint")
+    marks = F.array(
+        F.struct(F.col("v").alias("x"), F.lit(1).alias("place"), F.col("n").alias("rows"), F.lit(0).alias("sign")),
+        F.struct(F.col("high").alias("x"), F.when(F.col("tied"), 2).otherwise(0).alias("place"), nothing.alias("rows"), F.lit(1).alias("sign")),
+        F.struct(F.col("low").alias("x"), F.when(F.col("tied"), 0).otherwise(2).alias("place"), nothing.alias("rows"), F.lit(-1).alias("sign")),
     )
     swept = running_totals(
-        point_marks.unionByName(bound_marks),
+        balls.select("f", "c", "v", "n", "k", F.inline(marks)),
         "f",
         [F.col("x"), F.col("place")],
         {"upto": "rows"},

@@ -143,7 +143,7 @@ oracle("select_roles", f"WITH {FLOWS} {_ROLES}")
 
 oracle(
     "clean_impute",
-    f"WITH {CLEANED} SELECT flow_id, {', '.join(f'{_round(c)} AS {c}' for c in NUMERIC)}, state, proto, attack_type FROM cleaned",
+    f"WITH {CLEANED} SELECT flow_id, {', '.join(NUMERIC)}, state, proto, attack_type FROM cleaned",
 )
 oracle(
     "exact_medians",
@@ -232,15 +232,15 @@ oracle(
 # Scalers
 
 
-def _scale_query(fit: str, apply: str) -> str:
+def _scale_query(fit: str, apply: str, digits: int | None = None) -> str:
     columns = ["sbytes", "dbytes", "spkts", "dur", "sttl"]
     fitted = ", ".join(fit.format(c=c) for c in columns)
-    applied = ", ".join(f"{_round(apply.format(c=c))} AS {c}" for c in columns)
+    applied = ", ".join(f"{_round(apply.format(c=c), digits) if digits else apply.format(c=c)} AS {c}" for c in columns)
     return f"WITH {CLEANED}, fit AS (SELECT {fitted} FROM cleaned) SELECT flow_id, {applied} FROM cleaned, fit"
 
 
 oracle("scale_minmax", _scale_query("min({c}) AS {c}_a, max({c}) - min({c}) AS {c}_b", "({c} - {c}_a) / {c}_b"))
-oracle("scale_standard", _scale_query("avg({c}) AS {c}_a, stddev_pop({c}) AS {c}_b", "({c} - {c}_a) / {c}_b"))
+oracle("scale_standard", _scale_query("avg({c}) AS {c}_a, stddev_pop({c}) AS {c}_b", "({c} - {c}_a) / {c}_b", 6))
 oracle(
     "scale_robust",
     _scale_query("median({c}) AS {c}_a, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS {c}_b", "({c} - {c}_a) / {c}_b"),
@@ -308,8 +308,7 @@ oracle(
     f"""WITH {CLEANED}, {_anova('attack_type')},
 best AS (SELECT max(feature) FILTER (place = 1) AS a, max(feature) FILTER (place = 2) AS b, max(feature) FILTER (place = 3) AS c
   FROM (SELECT feature, row_number() OVER (ORDER BY f_score DESC, feature) AS place FROM anova))
-SELECT flow_id, {_round(f'CASE a {_PICK} END')} AS feature_1, {_round(f'CASE b {_PICK} END')} AS feature_2,
-{_round(f'CASE c {_PICK} END')} AS feature_3 FROM cleaned, best""",
+SELECT flow_id, CASE a {_PICK} END AS feature_1, CASE b {_PICK} END AS feature_2, CASE c {_PICK} END AS feature_3 FROM cleaned, best""",
 )
 
 # Splits and weights

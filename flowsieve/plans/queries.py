@@ -176,7 +176,7 @@ def select_roles(spark, sf_dir):
 
 @query
 def clean_impute(spark, sf_dir):
-    return _rounded_all(_cleaned(spark, sf_dir).drop("ts"))
+    return _cleaned(spark, sf_dir).drop("ts")
 
 
 @query
@@ -295,8 +295,8 @@ def one_vs_rest(spark, sf_dir):
 
 
 def _scaled(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    table_ = _cleaned(spark, sf_dir).select("flow_id", "sbytes", "dbytes", "spkts", "dur", "sttl")
-    return _rounded_all(scale.ColumnScaler(kind=kind, keepCols=["flow_id"]).fit(table_).transform(table_))
+    cleaned = _cleaned(spark, sf_dir).select("flow_id", "sbytes", "dbytes", "spkts", "dur", "sttl")
+    return scale.ColumnScaler(kind=kind, keepCols=["flow_id"]).fit(cleaned).transform(cleaned)
 
 
 @query
@@ -306,7 +306,7 @@ def scale_minmax(spark, sf_dir):
 
 @query
 def scale_standard(spark, sf_dir):
-    return _scaled(spark, sf_dir, "standard")
+    return _rounded_all(_scaled(spark, sf_dir, "standard"))
 
 
 @query
@@ -346,7 +346,7 @@ def select_topk(spark, sf_dir):
     """The three features with the highest F, in rank order, on every flow."""
     rows = _cleaned(spark, sf_dir)
     best = ranking.select_top(ranking.consensus(ranking.anova_f(rows, RANKED, "attack_type")), 3)
-    return _rounded_all(rows.select("flow_id", *[F.col(c).cast("double").alias(f"feature_{i + 1}") for i, c in enumerate(best)]))
+    return rows.select("flow_id", *[F.col(c).alias(f"feature_{i + 1}") for i, c in enumerate(best)])
 
 
 @query
