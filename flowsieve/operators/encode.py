@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark import keyword_only
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,6 +123,29 @@ class OneHotModel(FlowModel):
         return F.when(found.isin(values), hit).otherwise(problem)
 
 
+def fit_onehot_vector(
+    df: DataFrame, columns: list[str], output: str = "onehot", max_categories: int = 100_000
+) -> PipelineModel:
+    """One sparse vector for all categorical columns, for more categories than columns can carry.
+
+    Values are in sorted order, column after column; an unknown value adds nothing to the vector.
+    """
+    distinct = df.agg(*[F.approx_count_distinct(categorical(named(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    too_wide = [c for i, c in enumerate(columns) if distinct[f"n{i}"] > max_categories]
+    if too_wide:
+        raise ValueError(f"more than {max_categories} categories in {', '.join(too_wide)}")
+    text_columns = [f"_text{i}" for i in range(len(columns))]
+    values = ", ".join(f"coalesce(cast(`{c.replace('`', '``')}` as string), '{MISSING}') as {t}" for c, t in zip(columns, text_columns))
+    indices, hots = [f"_index{i}" for i in range(len(columns))], [f"_hot{i}" for i in range(len(columns))]
+    stages = [
+        SQLTransformer(statement=f"select *, {values} from __THIS__"),
+        StringIndexer(inputCols=text_columns, outputCols=indices, handleInvalid="keep", stringOrderType="alphabetAsc"),
+        OneHotEncoder(inputCols=indices, outputCols=hots, dropLast=True),
+        VectorAssembler(inputCols=hots, outputCol=output),
+    ]
+    return Pipeline(stages=stages).fit(df)
+
+
 class LabelIndex(FlowEstimator):
     """Numbers the sorted classes of a label column from 0.
 

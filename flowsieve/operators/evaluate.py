@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import is_floating, named
 from flowsieve.functions.vectors import argmax, at, cross_entropy, in_top_k, mean_squared_error
-from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, running_totals
+from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_windows, running_totals
 
 RECONSTRUCTION_WEIGHT = 0.3
 AUC_THRESHOLDS = 200
@@ -21,25 +21,19 @@ def confusion(df: DataFrame, true: str, predicted: str, classes: list | None = N
     """
     pairs = df.groupBy(named(true).alias("t"), named(predicted).alias("p")).agg(F.count("*").alias("n"))
     kind = df.schema[true].dataType
-    counted = pairs.agg(
-        F.collect_list(F.struct("t", "p", "n")).alias("cells"),
-        F.array_sort(F.array_distinct(F.concat(F.collect_set("t"), F.collect_set("p")))).alias("seen"),
-    )
-    grid = F.col("seen") if classes is None else F.array(*[F.lit(c).cast(kind) for c in classes])
-    n = F.aggregate(
-        F.filter("cells", lambda cell: (cell["t"] == F.col("t")) & (cell["p"] == F.col("p"))),
-        F.lit(0).cast("bigint"),
-        lambda total, cell: total + cell["n"],
-    )
-    row = Window.partitionBy("t")
-    return (
-        counted.select("cells", grid.alias("classes"))
-        .select("cells", "classes", F.explode("classes").alias("t"))
-        .select("cells", "t", F.explode("classes").alias("p"))
-        .select(F.col("t").alias("true_class"), F.col("p").alias("predicted_class"), n.alias("n"), "t")
-        .withColumn("row_n", F.sum("n").over(row))
-        .select("true_class", "predicted_class", "n", F.when(F.col("row_n") > 0, 100.0 * F.col("n") / F.col("row_n")).alias("percent"))
+    seen = F.array_distinct(F.concat(F.collect_set("t"), F.collect_set("p")))
+    grid = seen if classes is None else F.array(*[F.lit(c).cast(kind) for c in classes])
+    one_row = pairs.agg(F.collect_list(F.struct("t", "p", "n")).alias("cells"), grid.alias("classes"))
+    zero = F.lit(0).cast("bigint")
+    empty = F.flatten(
+        F.transform("classes", lambda t: F.transform("classes", lambda p: F.struct(t.alias("t"), p.alias("p"), zero.alias("n"))))
     )
+    cells = one_row.select(F.inline(F.concat("cells", empty))).groupBy("t", "p").agg(F.sum("n").alias("n"))
+    if classes is not None:
+        cells = cells.where(F.col("t").isin(classes) & F.col("p").isin(classes))
+    row_n = F.sum("n").over(Window.partitionBy("t"))
+    percent = F.when(row_n > 0, 100.0 * F.col("n") / row_n)
+    return cells.select(F.col("t").alias("true_class"), F.col("p").alias("predicted_class"), "n", percent.alias("percent"))
 
 
 def classification_report(df: DataFrame, true: str, predicted: str) -> DataFrame:
@@ -136,32 +130,29 @@ def evaluation_summary(
         F.sum(cross_entropy(p, y)).alias("ce"),
         F.sum(error).alias("se"),
     )
-    cells = F.collect_list(F.struct("t", "p", "n"))
-    whole = pairs.agg(
-        *[F.sum(c).alias(c) for c in ("n", "tp", "fp", "fn", "top3", "ce", "se")],
-        F.sum(F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)).alias("hits"),
-        cells.alias("cells"),
-        F.array_distinct(F.concat(F.collect_set("t"), F.collect_set("p"))).alias("classes"),
-    )
-
-    def rows_where(match) -> Column:
-        kept = F.filter("cells", match)
-        return F.aggregate(kept, F.lit(0).cast("bigint"), lambda total, cell: total + cell["n"])
+    sums = ("n", "tp", "fp", "fn", "top3", "ce", "se")
+    hit = F.col("t") == F.col("p")
+    both = F.when(hit, F.col("n")).otherwise(0)
+    # a class is met once as the true class, with all sums, and once as a wrong prediction
+    as_true = F.struct(F.col("t").alias("class"), both.alias("hits"), F.col("n").alias("met"), *[F.col(c) for c in sums])
+    as_wrong = F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("hits"), F.col("n").alias("met"),
+                        *[F.lit(None).cast(pairs.schema[c].dataType).alias(c) for c in sums])
+    sides = F.filter(F.array(as_true, F.when(~hit, as_wrong)), lambda side: side.isNotNull())
+    # met = true rows + wrong predictions, so 2 tp + fp + fn = met + hits
+    per_class = pairs.select(F.inline(sides)).groupBy("class").agg(*[F.sum(c).alias(c) for c in ("hits", "met", *sums)])
+    f1 = 2.0 * F.col("hits") / (F.col("met") + F.col("hits"))
+    whole = per_class.agg(*[F.sum(c).alias(c) for c in ("hits", *sums)], F.avg(f1).alias("macro_f1"))
+    ce, se = F.col("ce") / F.col("n"), F.col("se") / F.col("n")
 
-    def f1(c: Column) -> Column:
-        both = rows_where(lambda cell: (cell["t"] == c) & (cell["p"] == c))
-        either = rows_where(lambda cell: cell["t"] == c) + rows_where(lambda cell: cell["p"] == c)
-        return F.when(either > 0, 2.0 * both / either).otherwise(0.0)
+    def share(part: Column, rest: Column) -> Column:
+        return F.when(part + rest > 0, part / (part + rest)).otherwise(0.0)
 
-    total_f1 = F.aggregate(F.transform("classes", f1), F.lit(0.0), lambda total, x: total + x)
-    ce, se = F.col("ce") / F.col("n"), F.col("se") / F.col("n")
-    share = lambda part, rest: F.when(part + rest > 0, part / (part + rest)).otherwise(0.0)
     return whole.select(
         F.col("n").alias("n_rows"),
         (F.col("hits") / F.col("n")).alias("accuracy"),
         share(F.col("tp"), F.col("fp")).alias("precision"),
         share(F.col("tp"), F.col("fn")).alias("recall"),
-        (total_f1 / F.size("classes")).alias("macro_f1"),
+        "macro_f1",
         F.col("fp").alias("false_positives"),
         F.col("fn").alias("false_negatives"),
         (F.col("top3") / F.col("n")).alias("top3_accuracy"),
@@ -179,8 +170,11 @@ def _scores_by_class(df: DataFrame, true: str, probs: str) -> DataFrame:
     return long.groupBy("class", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
 
 
-def _running_scores(df: DataFrame, true: str, probs: str, rows_per_range: int) -> DataFrame:
-    """Running positives and negatives from the highest score down; ties are one step."""
+def _running_scores(df: DataFrame, true: str, probs: str, rows_per_range: int) -> tuple[DataFrame, Column, list[float]]:
+    """Running positives and negatives from the highest score down; ties are one step.
+
+    Gives the axis and the cuts of the score ranges as well.
+    """
     steps = _scores_by_class(df, true, probs)
     axis = F.col("class") + 0.999 * F.col("score")  # classes one after the other
     n_cells = df.agg(F.sum(F.size(named(probs)))).first()[0] or 0
@@ -190,19 +184,32 @@ def _running_scores(df: DataFrame, true: str, probs: str, rows_per_range: int) -
         cells = df.select(named(true).alias("y"), F.posexplode(named(probs)).alias("class", "score"))
         cells = cells.select("class", "score", hit.alias("pos"), (1 - hit).alias("neg"))
         cuts = cut_points(cells, axis, rows_per_range, n_cells)
-    return running_totals(
+    running = running_totals(
         steps, "class", [F.desc("score")], {"tp": "pos", "fp": "neg"}, cuts, axis, descending=True, counted=cells
     )
+    return running, axis, cuts
 
 
-def roc_points(df: DataFrame, true: str, probs: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def roc_points(
+    df: DataFrame, true: str, probs: str, rows_per_range: int = ROWS_PER_RANGE, prune: bool = False
+) -> DataFrame:
     """One-vs-rest ROC points per class, equal scores grouped, from (0, 0) to (1, 1).
 
-    The position of a class in ``probs`` is its index, so a class without true rows stays aligned; its
+    ``prune`` leaves out points in the middle of two equal steps: they lie on the line between their
+    neighbours, so the curve stays the same. The position of a class in ``probs`` is its index, so a class without true rows stays aligned; its
     true-positive rate is NULL.
     """
-    steps = _running_scores(df, true, probs, rows_per_range)
+    steps, axis, cuts = _running_scores(df, true, probs, rows_per_range)
     totals = _class_totals(df, true, probs)
+    if prune:
+
+        def with_next(table: DataFrame, window: WindowSpec) -> DataFrame:
+            return table.withColumns({"next_pos": F.lead("pos").over(window), "next_neg": F.lead("neg").over(window)})
+
+        steps = neighbour_windows(steps, ["class"], [F.desc("score")], axis, 0, 1, cuts, with_next)
+        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+        turn = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        steps = steps.where(first | F.col("next_pos").isNull() | turn)
     start = totals.select("class", F.lit(None).cast("double").alias("score"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("fp"))
     points = steps.select("class", "score", "tp", "fp").unionByName(start).join(F.broadcast(totals), "class")
     return points.select(
@@ -231,7 +238,7 @@ def auc_ovr(df: DataFrame, true: str, probs: str, rows_per_range: int = ROWS_PER
     A step with ``neg`` negatives adds ``neg * (positives above + half its own positives)``, which needs
     the running positives only.
     """
-    steps = _running_scores(df, true, probs, rows_per_range)
+    steps, _, _ = _running_scores(df, true, probs, rows_per_range)
     sums = steps.groupBy("class").agg(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)).alias("area"),
         F.sum("pos").alias("n_pos"),

@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from itertools import groupby
-from math import ceil
+from math import ceil, inf, nextafter
+from typing import NamedTuple
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from flowsieve.functions.columns import named
 from flowsieve.operators.bounds import MAX_CLASSES, bounded_rows, small_table
 
 ROWS_PER_RANGE = 1_000_000
@@ -23,12 +26,15 @@ MAX_RANGES = 100_000
 SAMPLES_PER_RANGE = 20
 
 
-def cut_points(df: DataFrame, axis: Column, rows_per_range: int, n_rows: int) -> list[float]:
-    """Increasing cuts that split the axis into ranges of about ``rows_per_range`` rows.
+class Ranges(NamedTuple):
+    """Cuts of an axis, and further cuts of a second axis inside values that fill whole ranges."""
 
-    The cuts only decide which task handles a row, never the result, so a bounded sample suffices
-    to place them. They are literals in the plan: a lost executor recomputes the same ranges.
-    """
+    cuts: list[float]
+    heavy: list[float] = []
+    tie_cuts: list[float] = []
+
+
+def _quantile_cuts(df: DataFrame, axis: Column, rows_per_range: int, n_rows: int) -> list[float]:
     ranges = min(MAX_RANGES, ceil(n_rows / rows_per_range))
     if ranges <= 1:
         return []
@@ -36,16 +42,67 @@ def cut_points(df: DataFrame, axis: Column, rows_per_range: int, n_rows: int) ->
     sampled = df.select(axis.cast("double").alias("axis")).where("axis is not null and not isnan(axis)")
     sampled = sampled if fraction == 1.0 else sampled.sample(fraction=fraction, seed=7)
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = sampled.agg(F.percentile_approx("axis", shares, max(10_000, 4 * ranges))).first()[0]
-    return sorted(set(cuts or []))
+    return sampled.agg(F.percentile_approx("axis", shares, max(10_000, 4 * ranges))).first()[0] or []
 
 
-def with_range(df: DataFrame, axis: Column, cuts: list[float], name: str) -> DataFrame:
-    """Range number of every row; rows with equal axis values share a range."""
+def cut_points(df: DataFrame, axis: Column, rows_per_range: int, n_rows: int) -> list[float]:
+    """Increasing cuts that split the axis into ranges of about ``rows_per_range`` rows.
+
+    The cuts only decide which task handles a row, never the result, so a bounded sample suffices
+    to place them. They are literals in the plan: a lost executor recomputes the same ranges.
+    """
+    return sorted(set(_quantile_cuts(df, axis, rows_per_range, n_rows)))
+
+
+def nested_ranges(df: DataFrame, axis: Column, tie_axis: Column, rows_per_range: int, n_rows: int) -> Ranges:
+    """Ranges for rows ordered by ``axis`` and then ``tie_axis``.
+
+    A value that fills several ranges by itself shows up as a repeated cut. It becomes a range of its
+    own, split further along the second axis.
+    """
+    found = _quantile_cuts(df, axis, rows_per_range, n_rows)
+    heavy = sorted({a for a, b in zip(found, found[1:]) if a == b})
+    if not heavy:
+        return Ranges(sorted(set(found)))
+    cuts = sorted({*found, *(nextafter(v, inf) for v in heavy)})
+    same = df.where(axis.cast("double").isin(heavy))
+    return Ranges(cuts, heavy, cut_points(same, tie_axis, rows_per_range, same.count()))
+
+
+def sortable_number(df: DataFrame, name: str, rows: DataFrame) -> Column:
+    """A double that never decreases along a column: numbers and times as they are, text by the six
+    bytes that follow the prefix all values share (smallest and largest value tell the prefix)."""
+    column, kind = named(name), df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        return column.cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return column.cast("timestamp").cast("double")
+    data = F.encode(column.cast("string"), "utf-8")
+    low, high = rows.agg(F.min(data), F.max(data)).first()
+    shared = 0
+    while low and high and shared < min(len(low), len(high)) and low[shared] == high[shared]:
+        shared += 1
+    digits = F.rpad(F.hex(F.substring(data, shared + 1, 6)), 12, "0")
+    return F.conv(digits, 16, 10).cast("double")
+
+
+def _bucket(df: DataFrame, axis: Column, cuts: list[float], name: str) -> DataFrame:
     splits = [float("-inf"), *cuts, float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_axis", outputCol="_range")
     ranged = bucketizer.transform(df.withColumn("_axis", axis.cast("double")))
-    return ranged.withColumn(name, F.col("_range").cast("int")).drop("_axis", "_range")
+    return ranged.withColumn(name, F.col("_range").cast("bigint")).drop("_axis", "_range")
+
+
+def with_range(df: DataFrame, axis: Column, ranges: list[float] | Ranges, name: str, tie_axis: Column | None = None) -> DataFrame:
+    """Range number of every row, increasing along the order; equal axis values share a range unless
+    the value is split along the second axis."""
+    ranges = ranges if isinstance(ranges, Ranges) else Ranges(ranges)
+    df = _bucket(df, axis, ranges.cuts, name)
+    if not ranges.tie_cuts or tie_axis is None:
+        return df
+    df = _bucket(df, tie_axis, ranges.tie_cuts, "_tie")
+    tie = F.when(axis.cast("double").isin(ranges.heavy), F.col("_tie")).otherwise(0)
+    return df.withColumn(name, F.col(name) * (len(ranges.tie_cuts) + 1) + tie).drop("_tie")
 
 
 def running_totals(
@@ -87,7 +144,7 @@ def running_totals(
             if part in by_part:
                 so_far = [a + by_part[part][new] for a, new in zip(so_far, totals)]
     kind = df.schema[group].dataType.simpleString()
-    before = small_table(df.sparkSession, offsets, ", ".join([f"`{group}` {kind}", "_part int", *[f"_before_{n} bigint" for n in totals]]))
+    before = small_table(df.sparkSession, offsets, ", ".join([f"`{group}` {kind}", "_part bigint", *[f"_before_{n} bigint" for n in totals]]))
     local = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(*to_here)
     return (
         with_range(df, axis, cuts, "_part")
@@ -104,8 +161,9 @@ def neighbour_windows(
     axis: Column,
     before: int,
     after: int,
-    cuts: list[float],
+    cuts: list[float] | Ranges,
     add: Callable[[DataFrame, WindowSpec], DataFrame],
+    tie_axis: Column | None = None,
 ) -> DataFrame:
     """Window columns that look at most ``before`` rows back and ``after`` rows ahead.
 
@@ -114,11 +172,11 @@ def neighbour_windows(
     all range ends of a group are sorted once more: a constant number per range, however large the
     group is.
     """
-    if not cuts:
+    if not (cuts.cuts if isinstance(cuts, Ranges) else cuts):
         return add(df, Window.partitionBy(*groups).orderBy(*order))
     margin = before + after
     inner = Window.partitionBy(*groups, "_part")
-    placed = with_range(df, axis, cuts, "_part").withColumns(
+    placed = with_range(df, axis, cuts, "_part", tie_axis).withColumns(
         {"_row": F.row_number().over(inner.orderBy(*order)), "_rows": F.count(F.lit(1)).over(inner)}
     )
     row, left = F.col("_row"), F.col("_rows") - F.col("_row")

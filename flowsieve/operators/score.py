@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -9,12 +13,13 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowsieve.functions.columns import named
 from flowsieve.functions.vectors import argmax, squared_sum
 from flowsieve.operators.bounds import small_table
 from flowsieve.operators.evaluate import macro_f1
-from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_windows
+from flowsieve.operators.ranges import ROWS_PER_RANGE, neighbour_windows, nested_ranges, sortable_number
 
 THRESHOLD = 0.9
 
@@ -43,8 +48,8 @@ def sequence_windows(
     """The last ``window_size`` rows of an entity, oldest first, as ``array<array<double>>``.
 
     Rows with a shorter history are dropped, or padded with zero rows in front. Entities with more than
-    ``rows_per_range`` rows are sorted by time range, so that no entity is one task; all others take
-    the plain window.
+    ``rows_per_range`` rows are sorted by time range (by key range inside a crowded moment), so that no
+    entity is one task; all others take the plain window. Time and key must not be missing.
     """
     if window_size < 1:
         raise ValueError("window_size must be at least 1")
@@ -68,10 +73,10 @@ def sequence_windows(
         same = named(entity).eqNullSafe(F.col("_entity"))
         cold = windows(rows.join(hot, same, "left_anti"), whole)
         busy = rows.join(hot, same, "left_semi")
-        moment = named(time).cast("timestamp") if "timestamp" in dict(df.dtypes)[time] else named(time)
-        axis = moment.cast("double")
-        cuts = cut_points(busy, axis, rows_per_range, sum(row["n"] for row in hot_rows))
-        result = cold.unionByName(neighbour_windows(busy, [entity], order, axis, window_size - 1, 0, cuts, windows))
+        axis, tie_axis = (sortable_number(df, c, busy) for c in (time, key))
+        ranges = nested_ranges(busy, axis, tie_axis, rows_per_range, sum(row["n"] for row in hot_rows))
+        cut = neighbour_windows(busy, [entity], order, axis, window_size - 1, 0, ranges, windows, tie_axis)
+        result = cold.unionByName(cut)
     if not pad:
         return result.where(F.size(output) == window_size).drop("_values")
     empty = F.array_repeat(F.lit([0.0] * len(features)), window_size - F.size(output))
@@ -104,6 +109,24 @@ def predict(df: DataFrame, model: Model | PipelineModel, probability: str = "pro
     return scored.withColumn("probs", vector_to_array(named(probability))).withColumn("predicted", argmax(F.col("probs")))
 
 
+def predict_batches(
+    df: DataFrame, features: list[str], load: Callable[[], Callable[[np.ndarray], np.ndarray]], output: str = "probs"
+) -> DataFrame:
+    """Class probabilities from a model that Spark does not know, as ``array<double>``.
+
+    ``load`` runs once per task and gives a function from a feature matrix to a probability matrix; rows
+    travel in Arrow batches. Without a shuffle the scoring keeps the partitions of the table.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])
+
+    def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for batch in batches:
+            yield batch.assign(**{output: list(np.asarray(model(batch[features].to_numpy(dtype="float64")), dtype="float64"))})
+
+    return df.mapInPandas(score_batches, schema)
+
+
 class MacroF1(Evaluator):
     """Unweighted mean of the per-class F1 scores, larger is better."""
 

@@ -203,6 +203,12 @@ oracle(
     f"""WITH {FLOWS} SELECT flow_id, spkts, {_hot('proto', ['p0', 'p1', 'p2'], 'proto')},
 {_hot("coalesce(state, 'Missing')", ['F', 'Missing', 'O'], 'state')} FROM flows""",
 )
+oracle(
+    "onehot_vector",
+    f"""WITH {FLOWS}, t AS (SELECT flow_id, proto, coalesce(state, 'Missing') AS state FROM flows)
+SELECT flow_id, {', '.join(f"CAST(proto = 'p{i}' AS DOUBLE) AS h{i}" for i in range(3))},
+{', '.join(f"CAST(state = '{v}' AS DOUBLE) AS h{i}" for i, v in ((3, 'F'), (4, 'Missing'), (5, 'O')))} FROM t""",
+)
 oracle(
     "onehot_unknown",
     f"""WITH {FLOWS}, t AS (SELECT flow_id, attack_type, CASE WHEN attack_type = 'N' THEN proto || 'n' ELSE proto END AS proto FROM flows)
@@ -373,6 +379,10 @@ s AS (SELECT event_id, coalesce(lag(step, 2) OVER w, '0:0') AS a, coalesce(lag(s
   WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
 SELECT event_id, concat_ws(',', a, b, step) AS sequence FROM s""",
 )
+oracle(
+    "batch_scores",
+    """SELECT event_id, CAST(CASE WHEN value > 1 THEN 1 ELSE 0 END AS INT) AS predicted, 1 / (1 + value) AS p0, value / (1 + value) AS p1 FROM events""",
+)
 _ALERTS = """s AS (SELECT event_id, ts, concat('10.0.0.', CAST(user_id % 250 AS VARCHAR)) AS src_ip, concat('10.1.0.', CAST(event_id % 250 AS VARCHAR)) AS dst_ip,
   (value - min(value) OVER ()) / (max(value) OVER () - min(value) OVER ()) AS score FROM events),
 hits AS (SELECT *, 'WARNING' AS level, printf('ALERT: Malicious traffic detected from %s to %s (score: %.2f)', src_ip, dst_ip, score) AS message FROM s WHERE score > 0.9e0)"""
@@ -437,6 +447,15 @@ oracle(
     "roc_points",
     f"WITH {SCORES}, {_CELLS}, {_ROC} SELECT class, {_round('score')} AS threshold, {_round('fpr')} AS fpr, {_round('tpr')} AS tpr FROM pts",
 )
+oracle(
+    "roc_points_pruned",
+    f"""WITH {SCORES}, {_CELLS}, {_ROC},
+seq AS (SELECT g.class, g.score, pos, neg, row_number() OVER w AS place, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg
+  FROM g WINDOW w AS (PARTITION BY g.class ORDER BY g.score DESC)),
+kept AS (SELECT class, score FROM seq WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg)
+SELECT pts.class, {_round('pts.score')} AS threshold, {_round('fpr')} AS fpr, {_round('tpr')} AS tpr
+FROM pts LEFT JOIN kept ON pts.class = kept.class AND pts.score = kept.score WHERE pts.score IS NULL OR kept.class IS NOT NULL""",
+)
 oracle("auc_ovr", f"WITH {SCORES}, {_CELLS}, {_ROC} SELECT class, CAST(np AS BIGINT) AS n_pos, {_round('auc')} AS auc FROM areas")
 oracle(
     "auc_summary",

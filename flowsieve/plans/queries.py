@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -249,6 +251,13 @@ def onehot_wide(spark, sf_dir):
     return encode.OneHot(keepCols=["flow_id"]).fit(raw).transform(raw)
 
 
+@query
+def onehot_vector(spark, sf_dir):
+    raw = flows(spark, sf_dir).select("flow_id", "proto", "state")
+    hot = encode.fit_onehot_vector(raw, ["proto", "state"]).transform(raw).withColumn("hot", vector_to_array("onehot"))
+    return hot.select("flow_id", *[F.col("hot")[i].alias(f"h{i}") for i in range(6)])
+
+
 @query
 def onehot_unknown(spark, sf_dir):
     """Categories fitted on the attack classes only; those of other flows are unknown."""
@@ -452,6 +461,18 @@ def reconstruction_score(spark, sf_dir):
     return score.reconstruction_score(data, model).select("vec_id", rounded("reconstruction_error").alias("reconstruction_error"))
 
 
+def _value_odds():
+    """A stand-in for a model of another library: probability by the value, loaded in the task."""
+    return lambda x: np.column_stack([1 / (1 + x[:, 0]), x[:, 0] / (1 + x[:, 0])])
+
+
+@query
+def batch_scores(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "value")
+    scored = score.predict_batches(events, ["value"], _value_odds)
+    return scored.select("event_id", argmax(F.col("probs")).alias("predicted"), F.col("probs")[0].alias("p0"), F.col("probs")[1].alias("p1"))
+
+
 @query
 def alerts(spark, sf_dir):
     records = live_records(table(spark, sf_dir, "events"))
@@ -522,6 +543,11 @@ def roc_points(spark, sf_dir):
     return _rounded_all(evaluate.roc_points(scores(spark, sf_dir), "y", "probs"))
 
 
+@query
+def roc_points_pruned(spark, sf_dir):
+    return _rounded_all(evaluate.roc_points(scores(spark, sf_dir), "y", "probs", prune=True))
+
+
 @query
 def auc_ovr(spark, sf_dir):
     return _rounded_all(evaluate.auc_ovr(scores(spark, sf_dir), "y", "probs"))

@@ -95,6 +95,16 @@ def test_onehot_refuses_wide_columns(spark):
         encode.OneHot(maxCategories=40).fit(df)
 
 
+def test_onehot_vector_of_unknown_values_is_zero(spark):
+    df = spark.createDataFrame([("b", "x"), ("a", None), ("c", "x")], "`c 1` string, d string")
+    model = encode.fit_onehot_vector(df, ["c 1", "d"])
+    assert model.transform(df).first()["onehot"].toArray().tolist() == [0, 1, 0, 0, 1]
+    unknown = spark.createDataFrame([("z", "y")], "`c 1` string, d string")
+    assert model.transform(unknown).first()["onehot"].toArray().tolist() == [0] * 5
+    with pytest.raises(ValueError, match="categories"):
+        encode.fit_onehot_vector(df, ["c 1"], max_categories=1)
+
+
 def test_label_index_and_unseen(spark):
     train = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "y string")
     model = encode.LabelIndex(labelCol="y", outputCol="i").fit(train)

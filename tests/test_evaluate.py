@@ -75,6 +75,14 @@ def test_roc_points_in_ranges_equal_the_plain_ones(scored):
     assert plain == ranged
 
 
+@pytest.mark.parametrize("rows_per_range", [2_000_000, 2])
+def test_pruned_points_are_the_turns(spark, rows_per_range):
+    rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (0, 0.5), (1, 0.4), (0, 0.3), (0, 0.2), (0, 0.1)]
+    df = spark.createDataFrame([(y, [1 - s, s]) for y, s in rows], "y int, p array<double>")
+    kept = evaluate.roc_points(df, "y", "p", rows_per_range, prune=True).where("class = 1 and threshold is not null")
+    assert sorted((r["threshold"] for r in kept.collect()), reverse=True) == [0.9, 0.7, 0.5, 0.4, 0.1]
+
+
 def test_binned_auc_is_close_to_the_exact_one(scored):
     df, y, p = scored
     for r in evaluate.binned_auc(df, "y", "p").collect():

@@ -5,6 +5,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from flowsieve.operators import score, split
+from flowsieve.operators.ranges import nested_ranges, sortable_number, with_range
 from flowsieve.plans.flow_model import fit_flow_model, load_model, save_model
 from flowsieve.plans.tables import flows
 from flowsieve.sources import flows as sources
@@ -87,6 +88,28 @@ def test_sequences_of_a_hot_entity_equal_the_plain_window(spark, pad):
     assert plain.count() == (2000 if pad else 2000 - 4 * df.select("e").distinct().count())
 
 
+@pytest.mark.parametrize("key", ["id", "name"])
+def test_sequences_at_one_crowded_moment(spark, key):
+    df = spark.range(1500).select(
+        "id", F.lit("hot").alias("e"), F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(700).alias("t"),
+        F.format_string("flow-%06d", F.col("id") * 7).alias("name"),
+    )
+    plain = score.sequence_windows(df, ["id"], "e", "t", key, 4)
+    cut = score.sequence_windows(df, ["id"], "e", "t", key, 4, rows_per_range=60)
+    assert sorted(plain.collect()) == sorted(cut.select(plain.columns).collect())
+    ranges = nested_ranges(df, F.col("t").cast("double"), sortable_number(df, key, df), 60, 1500)
+    assert ranges.heavy == [700.0] and len(ranges.tie_cuts) > 5
+    parts = with_range(df, F.col("t").cast("double"), ranges, "part", sortable_number(df, key, df))
+    assert parts.groupBy("part").count().agg(F.max("count")).first()[0] < 200
+
+
+def test_foreign_model_scores_in_batches(spark):
+    df = spark.createDataFrame([(1, 0.0, 1.0), (2, 3.0, 1.0)], "id int, a double, `b c` double")
+    load = lambda: lambda x: x / x.sum(axis=1, keepdims=True)
+    rows = score.predict_batches(df, ["a", "b c"], load).orderBy("id").collect()
+    assert [r["probs"] for r in rows] == [[0.0, 1.0], [0.75, 0.25]]
+
+
 def test_sequence_of_one_is_the_row(spark):
     df = spark.createDataFrame([("a", 1, 2.0)], "e string, t int, x double")
     assert score.sequence_windows(df, ["x"], "e", "t", "t", 1).first()["sequence"] == [[2.0]]
