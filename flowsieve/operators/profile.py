@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,7 +89,11 @@ def column_types(df: DataFrame) -> list[str]:
 
 
 def step_profile(before: DataFrame, after: DataFrame, operation: str) -> DataFrame:
-    """One row: rows and columns on both sides of a step, and the columns it removed."""
+    """One row: rows and columns on both sides of a step, and the columns it removed.
+
+    Counting a stored table reads no column of it, so for steps that end in a written table this is
+    cheap; a side that is computed on the fly is computed for the count.
+    """
     removed = sorted(set(before.columns) - set(after.columns))
     n = F.count("*")
     rows_before = before.agg(n.alias("rows_before"), F.lit(0).cast("bigint").alias("rows_after"))
@@ -108,27 +110,3 @@ def step_profile(before: DataFrame, after: DataFrame, operation: str) -> DataFra
             F.lit(removed).cast(T.ArrayType(T.StringType())).alias("removed_columns"),
         )
     )
-
-
-def observed_step(
-    before: DataFrame, step: Callable[[DataFrame], DataFrame], operation: str
-) -> tuple[DataFrame, Callable[[], dict]]:
-    """Applies a step and counts both ends while the caller's own job runs: no extra scan.
-
-    The second value gives the step statistics once an action on the returned table has finished.
-    """
-    seen_before, seen_after = Observation(), Observation()
-    result = step(before.observe(seen_before, F.count(F.lit(1)).alias("n")))
-    after = result.observe(seen_after, F.count(F.lit(1)).alias("n"))
-
-    def statistics() -> dict:
-        return {
-            "operation": operation,
-            "rows_before": seen_before.get["n"],
-            "rows_after": seen_after.get["n"],
-            "columns_before": before.columns,
-            "columns_after": after.columns,
-            "removed_columns": sorted(set(before.columns) - set(after.columns)),
-        }
-
-    return after, statistics

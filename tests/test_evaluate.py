@@ -158,15 +158,5 @@ def test_profiles(spark):
     assert profile.column_types(df) == ["double", "int"]
     row = profile.step_profile(df, df.drop("col2"), "drop_columns").first()
     assert row["removed_columns"] == ["col2"] and row["rows_before"] == row["rows_after"] == 2
-    after, statistics = profile.observed_step(df, lambda d: d.where("col1 > 1").drop("col2"), "filter")
-    assert after.count() == 1
-    assert statistics() == {
-        "operation": "filter",
-        "rows_before": 2,
-        "rows_after": 1,
-        "columns_before": ["col1", "col2"],
-        "columns_after": ["col1"],
-        "removed_columns": ["col2"],
-    }
     by = profile.class_distribution(df.withColumn("s", F.lit("x")), "col1", ["s"]).collect()
     assert [r["share"] for r in by] == [0.5, 0.5]
