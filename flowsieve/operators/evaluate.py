@@ -341,6 +341,11 @@ def attack_timeline(df: DataFrame, time: str, label: str) -> DataFrame:
     if is_floating(df.schema[label].dataType):
         value = F.when(~F.isnan(value), value)
     by_hour = df.where(named(time).isNotNull()).groupBy(hour.alias("hour")).agg(F.avg(value).alias("attack_ratio"), F.count("*").alias("n"))
-    span = by_hour.agg(F.min("hour").alias("first"), F.max("hour").alias("last")).where("first is not null")
-    hours = span.select(F.explode(F.expr("sequence(first, last, interval 1 hour)")).alias("hour"))
-    return hours.join(by_hour, "hour", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    # the hours, filled ones and empty ones, are laid out from one row, so the table is read once
+    one_row = by_hour.agg(F.collect_list(F.struct("hour", "attack_ratio", "n")).alias("filled"), F.min("hour").alias("first"), F.max("hour").alias("last"))
+    empty = F.transform(
+        F.expr("sequence(first, last, interval 1 hour)"),
+        lambda h: F.struct(h.alias("hour"), F.lit(None).cast("double").alias("attack_ratio"), F.lit(0).cast("bigint").alias("n")),
+    )
+    hours = one_row.where("first is not null").select(F.inline(F.concat("filled", empty)))
+    return hours.groupBy("hour").agg(F.max("attack_ratio").alias("attack_ratio"), F.max("n").alias("n"))

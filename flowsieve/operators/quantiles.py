@@ -18,7 +18,7 @@ from flowsieve.functions.columns import finite_or_null, named
 
 EXACT_CELLS = 2_000_000
 BINS = 256
-LAST_ROWS = 1_000
+LAST_ROWS = 20_000
 
 
 class Bracket(NamedTuple):
@@ -100,11 +100,14 @@ def order_statistics(
         ).select("b.*").where("v between low and high")
 
         if all(b.rows <= last_rows for b in open_brackets):
-            lists = rows.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("vs")).collect()
-            values = {open_brackets[row["id"]]: row["vs"] for row in lists}
-            return {
-                (c, rank): values[b][rank - b.below] if b in values else b.low for (c, rank), b in brackets.items()
+            places = {
+                i: sorted({rank - b.below for (_, rank), held in brackets.items() if held == b}) for i, b in enumerate(open_brackets)
             }
+            wanted = F.element_at(F.create_map(*[x for i, at in places.items() for x in (F.lit(i), F.array(*map(F.lit, at)))]), F.col("id"))
+            ordered = rows.groupBy("id").agg(F.sort_array(F.collect_list("v")).alias("vs"))
+            found = ordered.select("id", F.transform(wanted, lambda place: F.get("vs", place)).alias("vs")).collect()
+            values = {(open_brackets[row["id"]], place): v for row in found for place, v in zip(places[row["id"]], row["vs"])}
+            return {target: values.get((b, target[1] - b.below), b.low) for target, b in brackets.items()}
 
         # halves keep the width finite for columns that span the whole double range
         share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)

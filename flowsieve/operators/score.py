@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import keyword_only
 from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
@@ -13,15 +14,16 @@ from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from flowsieve.functions.columns import named
 from flowsieve.functions.vectors import argmax, squared_sum
-from flowsieve.operators.bounds import small_table
+from flowsieve.operators.bounds import bounded_rows, small_table
 from flowsieve.operators.evaluate import macro_f1
 from flowsieve.operators.ranges import ROWS_PER_RANGE, neighbour_windows, nested_ranges, sortable_number
+from flowsieve.operators.stages import FlowTransformer, strings, text
 
 THRESHOLD = 0.9
+MAX_HOT = 1_000_000
 
 
 def assemble_vector(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
@@ -34,6 +36,44 @@ def assemble_vector(df: DataFrame, features: list[str], output: str = "features"
     return packed.transform(df.withColumns(short)).drop(*short)
 
 
+class PackFeatures(FlowTransformer):
+    """``assemble_vector`` as a stage."""
+
+    inputCols = strings("inputCols", "feature columns in order")
+    outputCol = text("outputCol", "vector column")
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCol="features"):
+        super().__init__()
+        self._setDefault(inputCols=[], outputCol="features")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return assemble_vector(df, self._read("inputCols"), self._read("outputCol"))
+
+
+class AttackScore(FlowTransformer):
+    """Adds ``probs``, the predicted class name and ``score``, the probability of not being benign."""
+
+    classes = strings("classes", "class names by index")
+    benign = text("benign", "name of the benign class")
+
+    @keyword_only
+    def __init__(self, *, classes=None, benign="BENIGN"):
+        super().__init__()
+        self._setDefault(classes=[], benign="BENIGN")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        classes, benign = self._read("classes"), self._read("benign")
+        probs = vector_to_array(F.col("probability"))
+        harmless = F.get(F.col("probs"), F.lit(classes.index(benign))) if benign in classes else F.lit(0.0)
+        scored = df.withColumn("probs", probs).withColumns(
+            {"predicted_class": F.get(F.lit(classes), argmax(F.col("probs"))), "score": 1.0 - harmless}
+        )
+        return scored.drop("rawPrediction", "probability", "prediction")
+
+
 def sequence_windows(
     df: DataFrame,
     features: list[str],
@@ -63,7 +103,7 @@ def sequence_windows(
         return part.withColumn(output, F.collect_list("_values").over(window.rowsBetween(1 - window_size, 0)))
 
     sizes = df.groupBy(named(entity).alias("_entity")).agg(F.count("*").alias("n"))
-    hot_rows = sizes.where(F.col("n") > rows_per_range).collect()  # at most all rows / rows_per_range entities
+    hot_rows = bounded_rows(sizes.where(F.col("n") > rows_per_range), MAX_HOT, "hot entities; raise rows_per_range")
     whole = Window.partitionBy(named(entity)).orderBy(*order)
     if not hot_rows:
         result = windows(rows, whole)
@@ -114,17 +154,18 @@ def predict_batches(
 ) -> DataFrame:
     """Class probabilities from a model that Spark does not know, as ``array<double>``.
 
-    ``load`` runs once per task and gives a function from a feature matrix to a probability matrix; rows
-    travel in Arrow batches. Without a shuffle the scoring keeps the partitions of the table.
+    ``load`` runs once per task and gives a function from a feature matrix to a probability matrix. Only
+    the features travel to Python, in Arrow batches; the partitions stay as they are.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T.ArrayType(T.DoubleType()))])
 
-    def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<double>")
+    def score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = load()
         for batch in batches:
-            yield batch.assign(**{output: list(np.asarray(model(batch[features].to_numpy(dtype="float64")), dtype="float64"))})
+            yield pd.Series(list(np.asarray(model(batch.to_numpy(dtype="float64")), dtype="float64")))
 
-    return df.mapInPandas(score_batches, schema)
+    packed = F.struct(*[named(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    return df.withColumn(output, score_batches(packed))
 
 
 class MacroF1(Evaluator):

@@ -14,8 +14,8 @@ from flowsieve.functions.vectors import argmax, onehot
 from flowsieve.operators import clean, encode, evaluate, profile, ranking, scale, score, split
 from flowsieve.operators.bounds import class_counts
 from flowsieve.operators.features import add_flow_features
-from flowsieve.plans.flow_model import fit_flow_model, load_model, save_model
-from flowsieve.plans.tables import capture_name, embedding_columns, flows, live_records, scores, table
+from flowsieve.plans.flow_model import fit_detector, fit_flow_model, load_model, save_model
+from flowsieve.plans.tables import capture_name, embedding_columns, flow_columns, flows, live_records, scores, table
 from flowsieve.session import scratch_path
 from flowsieve.sources import flows as sources
 from flowsieve.sources import metadata
@@ -743,3 +743,32 @@ def flow_model_save_load(spark, sf_dir):
         for name, m in both.items()
     ]
     return rows[0].unionByName(rows[1])
+
+
+def _detector(raw: DataFrame):
+    addresses = ["src_ip", "dst_ip", "ts"]
+    return fit_detector(
+        raw, "attack_type", benign="N", dataset="UNSW", key="flow_id", keep=addresses, select=False, balanced=True,
+        classifier={"numTrees": 20, "maxDepth": 4, "seed": 42},
+    )
+
+
+@query
+def detector_scores(spark, sf_dir):
+    """Flow model and forest in one model: confusion of the predicted classes."""
+    raw = flows(spark, sf_dir)
+    return evaluate.confusion(_detector(raw).transform(raw), "attack_type", "predicted_class", ["A", "N", "R"])
+
+
+@query
+def stream_detector(spark, sf_dir):
+    """The same model on the flows as a stream and as a table: alert rows per source address."""
+    raw = flows(spark, sf_dir)
+    model = _detector(raw)
+    path = f"{sf_dir}/lineitem.parquet"
+    live = flow_columns(detect.read_table_stream(spark, path)).drop("attack_type")
+    streamed = _stream_result(spark, detect.score_stream(live, model, threshold=2 / 3, time="ts"), "detector")
+    batch = score.alerts(model.transform(raw), threshold=2 / 3, time="ts")
+    source = F.get_json_object("context", "$.src_ip").alias("src_ip")
+    counts = [d.groupBy(source).agg(F.count("*").alias(name)) for d, name in ((streamed, "n_stream"), (batch, "n_batch"))]
+    return counts[0].join(counts[1], "src_ip", "full_outer")

@@ -20,8 +20,12 @@ def _text(name: str) -> Column:
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items read as network flows, with missing cells and infinities."""
+    return flow_columns(table(spark, sf_dir, "lineitem"))
+
+
+def flow_columns(lineitem: DataFrame) -> DataFrame:
     part, supplier = F.col("l_partkey"), F.col("l_suppkey")
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         F.concat_ws("-", _text("l_orderkey"), _text("l_linenumber"), _text("l_partkey"), _text("l_suppkey")).alias("flow_id"),
         F.concat(F.lit("10.0.0."), (supplier % 250).cast("string")).alias("src_ip"),
         F.concat(F.lit("10.1.0."), (part % 250).cast("string")).alias("dst_ip"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import score, split
 from flowsieve.operators.ranges import nested_ranges, sortable_number, with_range
-from flowsieve.plans.flow_model import fit_flow_model, load_model, save_model
+from flowsieve.plans.flow_model import fit_detector, fit_flow_model, load_model, save_model
 from flowsieve.plans.tables import flows
 from flowsieve.sources import flows as sources
 from flowsieve.sources import metadata
@@ -171,3 +171,17 @@ def test_flow_model_does_not_leak_or_drop_rows(spark, tmp_path):
     save_model(model, str(tmp_path / "m"))
     again = load_model(str(tmp_path / "m")).transform(raw)
     assert again.exceptAll(model.transform(raw)).count() == 0
+
+
+def test_detector_scores_raw_flows_and_survives_saving(spark, tmp_path):
+    raw = flows(spark, SF).withColumn("spkts", F.col("spkts") + F.when(F.col("attack_type") == "A", 100).otherwise(0))
+    model = fit_detector(raw, "attack_type", benign="N", dataset="UNSW", key="flow_id", keep=["src_ip", "dst_ip", "ts"],
+                         select=True, k=6, selector={"useAnova": True, "useMi": False}, balanced=True,
+                         classifier={"numTrees": 10, "seed": 1})
+    save_model(model, str(tmp_path / "d"))
+    live = raw.drop("attack_type")
+    scored = load_model(str(tmp_path / "d")).transform(live)
+    assert {"flow_id", "src_ip", "dst_ip", "ts", "score", "predicted_class"} <= set(scored.columns)
+    both = scored.join(raw.select("flow_id", "attack_type"), "flow_id")
+    assert both.where("attack_type = 'A' and predicted_class <> 'A'").count() == 0
+    assert score.alerts(scored, time="ts").count() == raw.where("attack_type = 'A'").count()
