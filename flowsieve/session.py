@@ -48,8 +48,12 @@ def written_table(df: DataFrame, name: str) -> DataFrame:
     """The table written to the shared folder and read back.
 
     For tables that several jobs read: a lost executor costs a re-read instead of the whole lineage,
-    and later jobs read only the columns they use.
+    and later jobs read only the columns they use. A table from fewer files than there are cores is
+    spread over all of them first; larger ones keep their partitions.
     """
     path = scratch_path(df.sparkSession, name)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        df = df.repartition(cores)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
