@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsieve.llm.packing import op7_packing
+from flowsieve.llm.quality import ORACLE as QUALITY_SQL
+from flowsieve.llm.quality import op1_quality_rules
 from flowsieve.llm.repair import op3_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quality_rules,
         op3_token_shards,
+        op7_packing,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}
