@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsieve.llm.language import op2_language
 from flowsieve.llm.packing import op7_packing
 from flowsieve.llm.quality import ORACLE as QUALITY_SQL
 from flowsieve.llm.quality import op1_quality_rules
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_language,
         op3_token_shards,
         op7_packing,
     )
