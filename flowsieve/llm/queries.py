@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flowsieve.llm.language import op2_language
+from flowsieve.llm.licenses import op10_licenses
 from flowsieve.llm.packing import op7_packing
 from flowsieve.llm.quality import ORACLE as QUALITY_SQL
 from flowsieve.llm.quality import op1_quality_rules
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language,
         op3_token_shards,
         op7_packing,
+        op10_licenses,
     )
 }
 
