@@ -12,6 +12,7 @@ from flowsieve.llm.packing import op7_packing
 from flowsieve.llm.quality import ORACLE as QUALITY_SQL
 from flowsieve.llm.quality import op1_quality_rules
 from flowsieve.llm.repair import op3_token_shards
+from flowsieve.llm.simhash import op5_simhash
 from flowsieve.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_language,
         op3_token_shards,
+        op5_simhash,
         op7_packing,
         op8_toxicity,
         op10_licenses,
