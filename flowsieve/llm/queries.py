@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flowsieve.llm.archives import ORACLE as ARCHIVES_SQL
+from flowsieve.llm.archives import op9_archives
 from flowsieve.llm.language import op2_language
 from flowsieve.llm.licenses import op10_licenses
 from flowsieve.llm.packing import op7_packing
@@ -24,8 +26,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash,
         op7_packing,
         op8_toxicity,
+        op9_archives,
         op10_licenses,
     )
 }
 
-ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": QUALITY_SQL,
+    "op9_archives": ARCHIVES_SQL,
+}
