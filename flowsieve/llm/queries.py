@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowsieve.llm.archives import ORACLE as ARCHIVES_SQL
 from flowsieve.llm.archives import op9_archives
+from flowsieve.llm.benchmark import op6_benchmark
 from flowsieve.llm.language import op2_language
 from flowsieve.llm.licenses import op10_licenses
 from flowsieve.llm.packing import op7_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language,
         op3_token_shards,
         op5_simhash,
+        op6_benchmark,
         op7_packing,
         op8_toxicity,
         op9_archives,
