@@ -16,6 +16,8 @@ from flowsieve.llm.quality import ORACLE as QUALITY_SQL
 from flowsieve.llm.quality import op1_quality_rules
 from flowsieve.llm.repair import op3_token_shards
 from flowsieve.llm.simhash import op5_simhash
+from flowsieve.llm.substrings import ORACLE as SUBSTRINGS_SQL
+from flowsieve.llm.substrings import op4_substrings
 from flowsieve.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_language,
         op3_token_shards,
+        op4_substrings,
         op5_simhash,
         op6_benchmark,
         op7_packing,
@@ -35,5 +38,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": QUALITY_SQL,
+    "op4_substrings": SUBSTRINGS_SQL,
     "op9_archives": ARCHIVES_SQL,
 }
