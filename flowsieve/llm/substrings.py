@@ -327,8 +327,8 @@ WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''),
 s AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
 k AS (SELECT doc_id, i, row_number() OVER (PARTITION BY sha256(array_to_string(words[i:i+19], ' ')) ORDER BY doc_id, i) AS r FROM s),
 c AS (SELECT DISTINCT doc_id, i + unnest(range(0, 20)) AS p FROM k WHERE r > 1),
-g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
-SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_where(words, list_transform(range(1, len(words) + 1), lambda p: NOT list_contains(gone, p))) END, ' ')) AS kept_sha256
+u AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w),
+g AS (SELECT doc_id, count(*) AS n, array_to_string(list(word ORDER BY p), ' ') AS kept FROM u ANTI JOIN c USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """
