@@ -24,14 +24,17 @@ def onehot(index: Column, n_classes: int) -> Column:
 
 
 def in_top_k(values: Column, index: Column, k: int) -> Column:
-    """True when fewer than ``k`` entries exceed the entry of the true class."""
+    """True when fewer than ``k`` entries exceed the entry of the true class; a class outside the array is a miss."""
     true_value = at(values, index)
-    return F.size(F.filter(values, lambda p: p > true_value)) < k
+    hit = F.size(F.filter(values, lambda p: p > true_value)) < k
+    return F.when(index.isNotNull(), F.coalesce(hit & true_value.isNotNull(), F.lit(False)))
 
 
 def cross_entropy(values: Column, index: Column, epsilon: float = 1e-7) -> Column:
-    clipped = F.least(F.greatest(at(values, index), F.lit(epsilon)), F.lit(1.0 - epsilon))
-    return -F.log(clipped)
+    """A class outside the array has probability 0."""
+    true_value = F.when(index.isNotNull(), F.coalesce(at(values, index), F.lit(0.0)))
+    clipped = F.least(F.greatest(true_value, F.lit(epsilon)), F.lit(1.0 - epsilon))
+    return F.when(true_value.isNotNull(), -F.log(clipped))
 
 
 def squared_sum(values: Column) -> Column:

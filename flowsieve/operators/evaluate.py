@@ -2,33 +2,41 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from flowsieve.functions.columns import is_floating, named
+from flowsieve.functions.columns import finite_or_null, is_floating, named
 from flowsieve.functions.vectors import argmax, at, cross_entropy, in_top_k, mean_squared_error
+from flowsieve.operators.bounds import bounded_rows
 from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_windows, running_totals
+from flowsieve.session import written_table
 
 RECONSTRUCTION_WEIGHT = 0.3
 AUC_THRESHOLDS = 200
+MAX_GRID_CLASSES = 2_000
+MAX_HOURS = 1_000_000
 
 
 def confusion(df: DataFrame, true: str, predicted: str, classes: list | None = None) -> DataFrame:
     """Counts and row percentages for all class pairs, pairs that never occur included.
 
     Without ``classes`` the grid holds every class seen on either side. The rows are read once; the
-    grid is expanded from the class-pair counts. A class without true rows has a NULL percentage.
+    grid is laid out by a list of classes that the driver has counted. A class without true rows has a NULL percentage.
     """
     pairs = df.groupBy(named(true).alias("t"), named(predicted).alias("p")).agg(F.count("*").alias("n"))
     kind = df.schema[true].dataType
-    seen = F.array_distinct(F.concat(F.collect_set("t"), F.collect_set("p")))
-    grid = seen if classes is None else F.array(*[F.lit(c).cast(kind) for c in classes])
-    one_row = pairs.agg(F.collect_list(F.struct("t", "p", "n")).alias("cells"), grid.alias("classes"))
-    zero = F.lit(0).cast("bigint")
-    empty = F.flatten(
-        F.transform("classes", lambda t: F.transform("classes", lambda p: F.struct(t.alias("t"), p.alias("p"), zero.alias("n"))))
-    )
-    cells = one_row.select(F.inline(F.concat("cells", empty))).groupBy("t", "p").agg(F.sum("n").alias("n"))
+    pairs = written_table(pairs, "class-pairs")
+    if classes is None:
+        sides = pairs.select(F.explode(F.array("t", "p")).alias("c")).where("c is not null").distinct()
+        grid = [row["c"] for row in bounded_rows(sides, MAX_GRID_CLASSES, f"classes of {true}")]
+    else:
+        grid = classes
+    every = F.array(*[F.lit(c) for c in grid]).cast(T.ArrayType(kind))
+    empty = df.sparkSession.range(1).select(F.explode(every).alias("t")).select("t", F.explode(every).alias("p"), F.lit(0).cast("bigint").alias("n"))
+    cells = pairs.unionByName(empty).groupBy("t", "p").agg(F.sum("n").alias("n"))
     if classes is not None:
         cells = cells.where(F.col("t").isin(classes) & F.col("p").isin(classes))
     row_n = F.sum("n").over(Window.partitionBy("t"))
@@ -163,31 +171,36 @@ def evaluation_summary(
 
 
 def _scores_by_class(df: DataFrame, true: str, probs: str) -> DataFrame:
-    """One row per class and distinct score: positives and negatives of the one-vs-rest task."""
+    """One row per class and distinct score: positives and negatives of the one-vs-rest task.
+
+    A missing probability (NULL, NaN) and a row without a true class are left out, whatever path follows.
+    """
     y = named(true)
-    long = df.select(y.alias("y"), F.posexplode(named(probs)).alias("class", "score"))
+    long = df.where(y.isNotNull()).select(y.alias("y"), F.posexplode(named(probs)).alias("class", "score"))
     hit = F.col("y") == F.col("class")
-    return long.groupBy("class", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
+    known = F.col("score").isNotNull() & ~F.isnan("score")
+    return long.where(known).groupBy("class", "score").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
+
 
+class _Steps(NamedTuple):
+    running: DataFrame  # the steps with running positives and negatives
+    totals: DataFrame  # positives and negatives by class
+    axis: Column
+    cuts: list[float]
 
-def _running_scores(df: DataFrame, true: str, probs: str, rows_per_range: int) -> tuple[DataFrame, Column, list[float]]:
+
+def _running_scores(df: DataFrame, true: str, probs: str, rows_per_range: int) -> _Steps:
     """Running positives and negatives from the highest score down; ties are one step.
 
-    Gives the axis and the cuts of the score ranges as well.
+    The scored table is read once: totals, cuts and curve come from the written steps.
     """
-    steps = _scores_by_class(df, true, probs)
+    steps = written_table(_scores_by_class(df, true, probs), "roc-steps")
     axis = F.col("class") + 0.999 * F.col("score")  # classes one after the other
-    n_cells = df.agg(F.sum(F.size(named(probs)))).first()[0] or 0
-    cuts, cells = [], None
-    if n_cells > rows_per_range:
-        hit = (F.col("y") == F.col("class")).cast("int")
-        cells = df.select(named(true).alias("y"), F.posexplode(named(probs)).alias("class", "score"))
-        cells = cells.select("class", "score", hit.alias("pos"), (1 - hit).alias("neg"))
-        cuts = cut_points(cells, axis, rows_per_range, n_cells)
-    running = running_totals(
-        steps, "class", [F.desc("score")], {"tp": "pos", "fp": "neg"}, cuts, axis, descending=True, counted=cells
-    )
-    return running, axis, cuts
+    n_steps = steps.count()
+    cuts = cut_points(steps, axis, rows_per_range, n_steps) if n_steps > rows_per_range else []
+    running = running_totals(steps, "class", [F.desc("score")], {"tp": "pos", "fp": "neg"}, cuts, axis, descending=True)
+    totals = steps.groupBy("class").agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    return _Steps(running, totals, axis, cuts)
 
 
 def roc_points(
@@ -199,8 +212,7 @@ def roc_points(
     neighbours, so the curve stays the same. The position of a class in ``probs`` is its index, so a class without true rows stays aligned; its
     true-positive rate is NULL.
     """
-    steps, axis, cuts = _running_scores(df, true, probs, rows_per_range)
-    totals = _class_totals(df, true, probs)
+    steps, totals, axis, cuts = _running_scores(df, true, probs, rows_per_range)
     if prune:
 
         def with_next(table: DataFrame, window: WindowSpec) -> DataFrame:
@@ -220,25 +232,13 @@ def roc_points(
     )
 
 
-def _class_totals(df: DataFrame, true: str, probs: str) -> DataFrame:
-    """True and other rows per class index; as many rows as the probability array is long."""
-    y = named(true)
-    by_class = df.groupBy(y.alias("y")).agg(F.count("*").alias("n"), F.max(F.size(named(probs))).alias("k"))
-    whole = by_class.agg(
-        F.sum("n").alias("rows"), F.max("k").alias("k"), F.map_from_entries(F.collect_list(F.struct("y", "n"))).alias("by_class")
-    )
-    listed = whole.select("rows", "by_class", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("class"))
-    pos = F.coalesce(F.try_element_at("by_class", F.col("class")), F.lit(0).cast("bigint"))
-    return listed.select("class", pos.alias("n_pos"), (F.col("rows") - pos).alias("n_neg"))
-
-
 def auc_ovr(df: DataFrame, true: str, probs: str, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """Exact area under the ROC curve per class: trapezoids over the tie groups.
 
     A step with ``neg`` negatives adds ``neg * (positives above + half its own positives)``, which needs
     the running positives only.
     """
-    steps, _, _ = _running_scores(df, true, probs, rows_per_range)
+    steps = _running_scores(df, true, probs, rows_per_range).running
     sums = steps.groupBy("class").agg(
         F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2.0)).alias("area"),
         F.sum("pos").alias("n_pos"),
@@ -280,8 +280,11 @@ def binned_auc(df: DataFrame, true: str, probs: str, thresholds: int = AUC_THRES
 
 
 def feature_histogram(df: DataFrame, feature: str, label: str, bins: int = 50) -> DataFrame:
-    """Share and density of a feature per label, on equal-width bins over the common range."""
-    value = named(feature).cast("double")
+    """Share and density of a feature per label, on equal-width bins over the common range.
+
+    Missing and infinite values are left out.
+    """
+    value = finite_or_null(named(feature).cast("double"))
     low, high = df.agg(F.min(value), F.max(value)).first()
     if low is None:
         raise ValueError(f"column {feature} has no values")
@@ -297,7 +300,7 @@ def feature_histogram(df: DataFrame, feature: str, label: str, bins: int = 50) -
 
 
 def feature_density(
-    df: DataFrame, feature: str, label: str, grid: int = 200, bins: int = 2048, reach: float = 3.0
+    df: DataFrame, feature: str, label: str, grid: int = 200, bins: int = 20_000, reach: float = 3.0
 ) -> DataFrame:
     """Gaussian kernel density per label on an even grid, bandwidth by Scott's rule.
 
@@ -305,7 +308,7 @@ def feature_density(
     at their mean before the kernel is applied, so the kernel work depends on ``bins x grid`` and not
     on the number of rows; with fewer distinct values than bins nothing is lost.
     """
-    value = named(feature).cast("double")
+    value = finite_or_null(named(feature).cast("double"))
     rows = df.select(named(label).alias("label"), value.alias("x")).where("x is not null")
     low, high = rows.agg(F.min("x"), F.max("x")).first()
     if low is None:
@@ -334,18 +337,21 @@ def feature_density(
     return at_grid.groupBy("label", "point").agg(F.first("position").alias("position"), F.sum(kernel).alias("density"))
 
 
-def attack_timeline(df: DataFrame, time: str, label: str) -> DataFrame:
-    """Mean of a 0/1 label per hour; hours without rows are present with NULL."""
+def attack_timeline(df: DataFrame, time: str, label: str, max_hours: int = MAX_HOURS) -> DataFrame:
+    """Mean of a 0/1 label per hour; hours without rows are present with NULL.
+
+    More than ``max_hours`` between the first and the last time are an error.
+    """
     hour = F.date_trunc("hour", named(time).cast("timestamp"))
     value = named(label).cast("double")
     if is_floating(df.schema[label].dataType):
         value = F.when(~F.isnan(value), value)
     by_hour = df.where(named(time).isNotNull()).groupBy(hour.alias("hour")).agg(F.avg(value).alias("attack_ratio"), F.count("*").alias("n"))
-    # the hours, filled ones and empty ones, are laid out from one row, so the table is read once
-    one_row = by_hour.agg(F.collect_list(F.struct("hour", "attack_ratio", "n")).alias("filled"), F.min("hour").alias("first"), F.max("hour").alias("last"))
-    empty = F.transform(
-        F.expr("sequence(first, last, interval 1 hour)"),
-        lambda h: F.struct(h.alias("hour"), F.lit(None).cast("double").alias("attack_ratio"), F.lit(0).cast("bigint").alias("n")),
-    )
-    hours = one_row.where("first is not null").select(F.inline(F.concat("filled", empty)))
-    return hours.groupBy("hour").agg(F.max("attack_ratio").alias("attack_ratio"), F.max("n").alias("n"))
+    by_hour = written_table(by_hour, "hours")  # read twice: for the span and for the result
+    first, last = by_hour.agg(F.min(F.unix_seconds("hour")), F.max(F.unix_seconds("hour"))).first()
+    n_hours = 0 if first is None else (last - first) // 3600 + 1
+    if n_hours > max_hours:
+        raise ValueError(f"the timeline spans {n_hours} hours, more than {max_hours}; look for wrong times")
+    hours = df.sparkSession.range(n_hours).select(F.timestamp_seconds(F.col("id") * 3600 + F.lit(first or 0)).alias("hour"))
+    every = hours.select("hour", F.lit(None).cast("double").alias("attack_ratio"), F.lit(0).cast("bigint").alias("n"))
+    return every.unionByName(by_hour).groupBy("hour").agg(F.max("attack_ratio").alias("attack_ratio"), F.max("n").alias("n"))

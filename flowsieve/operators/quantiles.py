@@ -1,22 +1,22 @@
 """Exact quantiles of many columns, at any row count.
 
-Up to ``EXACT_CELLS`` rows x columns the built-in ``percentile`` does it in one pass. It keeps every
-distinct value in one aggregation buffer, so beyond that the wanted order statistics are closed in on with
-histogram passes: each pass counts the rows of the open brackets by bin (combined before the shuffle)
-and keeps the bin that holds the wanted rank. The result is exact as well.
+A sketch opens a narrow bracket around every wanted rank, one pass counts the rows below and inside the
+brackets, and the values of small brackets are sorted. A bracket that still holds many rows is closed in on
+with histogram passes: each counts its rows by bin (combined before the shuffle) and keeps the bin that holds
+the rank. The sketch and the bins only narrow; the result is exact.
 """
 
 from __future__ import annotations
 
-from math import ceil, floor
+from math import ceil, floor, inf, nextafter
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import finite_or_null, named
 
-EXACT_CELLS = 2_000_000
+SKETCH = 10_000
 BINS = 256
 LAST_ROWS = 20_000
 
@@ -32,51 +32,73 @@ class Bracket(NamedTuple):
 
 
 def exact_quantiles(
-    df: DataFrame, columns: list[str], shares: list[float], exact_cells: int = EXACT_CELLS
+    df: DataFrame, columns: list[str], shares: list[float], last_rows: int = LAST_ROWS
 ) -> dict[str, list[float | None]]:
     """Linear-interpolation quantiles per column, skipping NULL, NaN and infinities.
 
-    A column without any value gives ``None``.
+    A column without any value gives ``None``. Brackets of up to ``last_rows`` rows are sorted.
     """
     if not columns:
         return {}
-    values = df.select(*[finite_or_null(named(c).cast("double")).alias(f"v{i}") for i, c in enumerate(columns)])
+    names = [f"v{i}" for i in range(len(columns))]
+    values = df.select(*[finite_or_null(named(c).cast("double")).alias(v) for c, v in zip(columns, names)])
+    ends = [max(s - 2 / SKETCH, 0.0) for s in shares] + [min(s + 2 / SKETCH, 1.0) for s in shares]
     facts = values.agg(
-        F.count("*").alias("rows"),
         *[
-            F.struct(F.count(f"v{i}").alias("n"), F.min(f"v{i}").alias("low"), F.max(f"v{i}").alias("high")).alias(f"v{i}")
-            for i in range(len(columns))
-        ],
+            F.struct(
+                F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
+                F.percentile_approx(v, F.array(*map(F.lit, ends)), SKETCH).alias("ends"),
+            ).alias(v)
+            for v in names
+        ]
     ).first()
-    if facts["rows"] * len(columns) <= exact_cells:
-        found = values.agg(
-            *[F.percentile(f"v{i}", F.array(*map(F.lit, shares))).alias(f"v{i}") for i in range(len(columns))]
-        ).first()
-        return {c: found[f"v{i}"] or [None] * len(shares) for i, c in enumerate(columns)}
-
-    start = {f"v{i}": Bracket(f"v{i}", facts[f"v{i}"].low, facts[f"v{i}"].high, 0, facts[f"v{i}"].n) for i in range(len(columns))}
     wanted = {
-        (c, rank)
-        for c, bracket in start.items()
-        if bracket.rows
-        for share in shares
-        for rank in (floor((bracket.rows - 1) * share), ceil((bracket.rows - 1) * share))
+        (v, rank): k
+        for v in names
+        for k, share in enumerate(shares)
+        if facts[v].n
+        for rank in (floor((facts[v].n - 1) * share), ceil((facts[v].n - 1) * share))
     }
-    ranked = order_statistics(values, {(c, rank): start[c] for c, rank in wanted})
+    brackets = _counted(values, facts, wanted, len(shares))
+    ranked = order_statistics(values, brackets, last_rows=last_rows)
     quantiles: dict[str, list[float | None]] = {}
-    for i, c in enumerate(columns):
-        n = start[f"v{i}"].rows
+    for c, v in zip(columns, names):
+        n = facts[v].n
         quantiles[c] = []
         for share in shares:
             if not n:
                 quantiles[c].append(None)
                 continue
             place = (n - 1) * share
-            low, high = ranked[f"v{i}", floor(place)], ranked[f"v{i}", ceil(place)]
+            low, high = ranked[v, floor(place)], ranked[v, ceil(place)]
             quantiles[c].append(low + (high - low) * (place - floor(place)))
     return quantiles
 
 
+def _counted(values: DataFrame, facts: Row, wanted: dict[tuple[str, int], int], n_shares: int) -> dict[tuple[str, int], Bracket]:
+    """The bracket of every wanted rank: the sketch's, or what lies beside it should it miss the rank."""
+    spans = {(v, k): (facts[v].ends[k], facts[v].ends[k + n_shares]) for (v, _), k in wanted.items()}
+    if not spans:
+        return {}
+    counts = values.agg(
+        *[
+            F.struct(F.count_if(F.col(v) < low).alias("below"), F.count_if(F.col(v).between(low, high)).alias("rows")).alias(f"{v}_{k}")
+            for (v, k), (low, high) in spans.items()
+        ]
+    ).first()
+    brackets = {}
+    for (v, rank), k in wanted.items():
+        (low, high), count, whole = spans[v, k], counts[f"{v}_{k}"], facts[v]
+        if rank < count.below:
+            brackets[v, rank] = Bracket(v, whole.low, nextafter(low, -inf), 0, count.below)
+        elif rank < count.below + count.rows:
+            brackets[v, rank] = Bracket(v, low, high, count.below, count.rows)
+        else:
+            so_far = count.below + count.rows
+            brackets[v, rank] = Bracket(v, nextafter(high, inf), whole.high, so_far, whole.n - so_far)
+    return brackets
+
+
 def order_statistics(
     df: DataFrame, targets: dict[tuple[str, int], Bracket], bins: int = BINS, last_rows: int = LAST_ROWS
 ) -> dict[tuple[str, int], float]:
@@ -87,17 +109,17 @@ def order_statistics(
         if not open_brackets:
             return {target: bracket.low for target, bracket in brackets.items()}
         rows = df.select(
-            F.explode(
-                F.array(
+            F.inline(
+                F.filter(F.array(
                     *[
                         F.struct(
                             F.lit(i).alias("id"), F.col(b.column).alias("v"), F.lit(b.low).alias("low"), F.lit(b.high).alias("high")
                         )
                         for i, b in enumerate(open_brackets)
                     ]
-                )
-            ).alias("b")
-        ).select("b.*").where("v between low and high")
+                ), lambda b: b["v"].between(b["low"], b["high"]))
+            )
+        )
 
         if all(b.rows <= last_rows for b in open_brackets):
             places = {

@@ -35,9 +35,11 @@ class Ranges(NamedTuple):
 
 
 def _quantile_cuts(df: DataFrame, axis: Column, rows_per_range: int, n_rows: int) -> list[float]:
-    ranges = min(MAX_RANGES, ceil(n_rows / rows_per_range))
+    ranges = ceil(n_rows / rows_per_range)
     if ranges <= 1:
         return []
+    if ranges > MAX_RANGES:  # their totals come to the driver
+        raise ValueError(f"{n_rows} rows need {ranges} ranges, more than {MAX_RANGES}; raise rows_per_range")
     fraction = min(1.0, SAMPLES_PER_RANGE * ranges / n_rows)
     sampled = df.select(axis.cast("double").alias("axis")).where("axis is not null and not isnan(axis)")
     sampled = sampled if fraction == 1.0 else sampled.sample(fraction=fraction, seed=7)

@@ -17,6 +17,8 @@ from flowsieve.operators.encode import LabelIndex
 from flowsieve.operators.profile import require_columns
 from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_windows, running_totals
 from flowsieve.operators.stages import FlowEstimator, FlowModel, flag, number, state, strings, text
+from flowsieve.session import written_table
+
 
 NEIGHBOURS = 3
 
@@ -124,10 +126,9 @@ def mutual_info(
         place = F.when(width > 0, (value / 2 - low / 2) / width).otherwise(F.lit(0.0))
         return F.col("f") + 0.999 * F.least(F.greatest(place, F.lit(0.0)), F.lit(1.0))
 
-    cuts = []
-    if total > rows_per_range:
-        cuts = cut_points(rows, axis(F.col("v")), rows_per_range, total * len(features))
-    points = rows.groupBy("f", "c", "v").agg(F.count("*").alias("n"))
+    points = written_table(rows.groupBy("f", "c", "v").agg(F.count("*").alias("n")), "points")  # the table is read once from here
+    n_points = points.count()
+    cuts = cut_points(points, axis(F.col("v")), rows_per_range, n_points) if n_points > rows_per_range else []
 
     # the nearest `neighbours` rows never need more than this many copies of one value
     copies = points.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(neighbours + 1)).cast("int"))))
@@ -191,7 +192,7 @@ def mutual_info(
         {"upto": "rows"},
         cuts,
         axis(F.col("x")),
-        counted=rows.select("f", F.col("v").alias("x"), F.lit(1).alias("rows")),
+        counted=points.select("f", F.col("v").alias("x"), F.col("n").alias("rows")),
     )
     counted = (
         swept.where("sign <> 0")
@@ -241,16 +242,13 @@ def rfe_rank(
     if step < 1 or keep < 1:
         raise ValueError("keep and step must be at least 1")
     table, short = _plain_names(df, features, label_index)
-    table = table.persist()
-    try:
-        left, removed = list(features), []
-        while len(left) > keep:
-            scores = _importances(table, [short[c] for c in left], "_y", trees, seed, max_depth)
-            weakest = sorted(zip(scores, left))[: min(step, len(left) - keep)]
-            removed.append([c for _, c in weakest])
-            left = [c for c in left if c not in removed[-1]]
-    finally:
-        table.unpersist()
+    table = written_table(table, "elimination")
+    left, removed = list(features), []
+    while len(left) > keep:
+        scores = _importances(table, [short[c] for c in left], "_y", trees, seed, max_depth)
+        weakest = sorted(zip(scores, left))[: min(step, len(left) - keep)]
+        removed.append([c for _, c in weakest])
+        left = [c for c in left if c not in removed[-1]]
     ranks = [(c, 1) for c in left]
     ranks += [(c, 2 + age) for age, batch in enumerate(reversed(removed)) for c in batch]
     return df.sparkSession.createDataFrame(ranks, "feature string, rfe_rank int")

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,6 +21,7 @@ from flowsieve.operators.bounds import bounded_rows, small_table
 from flowsieve.operators.evaluate import macro_f1
 from flowsieve.operators.ranges import ROWS_PER_RANGE, neighbour_windows, nested_ranges, sortable_number
 from flowsieve.operators.stages import FlowTransformer, strings, text
+from flowsieve.session import written_table
 
 THRESHOLD = 0.9
 MAX_HOT = 1_000_000
@@ -66,8 +67,10 @@ class AttackScore(FlowTransformer):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         classes, benign = self._read("classes"), self._read("benign")
+        if benign not in classes:
+            raise ValueError(f"benign class {benign!r} is not among {classes}: every row would count as an attack")
         probs = vector_to_array(F.col("probability"))
-        harmless = F.get(F.col("probs"), F.lit(classes.index(benign))) if benign in classes else F.lit(0.0)
+        harmless = F.get(F.col("probs"), F.lit(classes.index(benign)))
         scored = df.withColumn("probs", probs).withColumns(
             {"predicted_class": F.get(F.lit(classes), argmax(F.col("probs"))), "score": 1.0 - harmless}
         )
@@ -127,6 +130,7 @@ CLASSIFIERS = {
     "forest": RandomForestClassifier,
     "logistic": LogisticRegression,
     "perceptron": MultilayerPerceptronClassifier,
+    "bayes": NaiveBayes,
 }
 
 
@@ -190,15 +194,9 @@ def choose_model(
     Returns the model and the table ``(candidate, macro_f1, chosen)``.
     """
     evaluator = MacroF1(label_index, "prediction")
-    train, validation = train.persist(), validation.persist()
-    try:
-        models = {
-            name: train_classifier(train, label_index, kind, features, **params) for name, (kind, params) in candidates.items()
-        }
-        scores = {name: evaluator.evaluate(model.transform(validation)) for name, model in models.items()}
-    finally:
-        train.unpersist()
-        validation.unpersist()
+    train, validation = written_table(train, "candidates-train"), written_table(validation, "candidates-validation")
+    models = {name: train_classifier(train, label_index, kind, features, **params) for name, (kind, params) in candidates.items()}
+    scores = {name: evaluator.evaluate(model.transform(validation)) for name, model in models.items()}
     best = max(sorted(scores), key=scores.get)
     table = train.sparkSession.createDataFrame(
         [(name, score, name == best) for name, score in scores.items()], "candidate string, macro_f1 double, chosen boolean"
@@ -207,7 +205,14 @@ def choose_model(
 
 
 def fit_reconstruction(df: DataFrame, features: str = "features", components: int = 32) -> PipelineModel:
-    """Centring and principal components: the linear counterpart of an autoencoder bottleneck."""
+    """Centring and principal components: the linear counterpart of an autoencoder bottleneck.
+
+    No more components than the vectors have entries.
+    """
+    first = df.select(F.size(vector_to_array(named(features)))).first()
+    if first is None:
+        raise ValueError("no row to fit on")
+    components = min(components, first[0])
     centre = StandardScaler(inputCol=features, outputCol="_centred", withMean=True, withStd=False)
     pca = PCA(k=components, inputCol="_centred", outputCol="_reduced")
     return Pipeline(stages=[centre, pca]).fit(df)
@@ -225,6 +230,22 @@ def reconstruction_score(df: DataFrame, model: PipelineModel, output: str = "rec
     return projected.withColumn(output, F.greatest(lost, F.lit(0.0))).drop("_centred", "_reduced")
 
 
+def rebuilt_rows(df: DataFrame, model: PipelineModel, values: str = "values", rebuilt: str = "rebuilt") -> DataFrame:
+    """The input vector and its rebuilt form as arrays, for the losses that compare them."""
+    centre, pca = model.stages
+    matrix, mean = pca.pc.toArray(), centre.mean.toArray()  # entries x components: as small as the model
+    projected = pca.transform(centre.transform(df))
+    reduced = vector_to_array(F.col("_reduced"))
+    rows = F.array(*[F.array(*map(F.lit, [float(m), *map(float, row)])) for m, row in zip(mean, matrix)])
+
+    def entry(row: Column) -> Column:
+        terms = F.zip_with(F.slice(row, 2, matrix.shape[1]), reduced, lambda a, b: a * b)
+        return F.aggregate(terms, row[0], lambda total, x: total + x)
+
+    whole = vector_to_array(F.col(centre.getInputCol()))
+    return projected.withColumns({values: whole, rebuilt: F.transform(rows, entry)}).drop("_centred", "_reduced")
+
+
 def array_vector(df: DataFrame, array: str, output: str = "features") -> DataFrame:
     return df.withColumn(output, array_to_vector(named(array).cast("array<double>")))
 

@@ -558,3 +558,51 @@ oracle(
     f"""WITH {_MODEL} SELECT m.model, count(*) AS n, {', '.join(f'{_round(f"avg({c})")} AS {c}' for c in ('bytes_ratio', 'ttl_difference', 'proto_p1'))}
 FROM scaled, (SELECT unnest(['fitted', 'reloaded']) AS model) m GROUP BY m.model""",
 )
+
+# The same results by the paths that large tables take
+
+for _ranged, _plain in {
+    "roc_points_ranged": "roc_points",
+    "auc_ovr_ranged": "auc_ovr",
+    "mutual_info_ranged": "mutual_info",
+    "sequence_windows_hot": "sequence_windows_padded",
+}.items():
+    oracle(_ranged, ORACLES[_plain])
+oracle(
+    "feature_histogram_gaps",
+    f"""WITH {FLOWS}, f AS (SELECT attack_type, dbytes FROM flows WHERE isfinite(dbytes)),
+b AS (SELECT min(dbytes) AS lo, (max(dbytes) - min(dbytes)) / 20 AS width FROM f),
+h AS (SELECT attack_type AS label, CAST(least(floor((dbytes - lo) / width), 19) AS INT) AS bin, count(*) AS n, max(lo) AS lo, max(width) AS width FROM f, b GROUP BY 1, 2)
+SELECT label, bin, {_round('lo + bin * width')} AS bin_start, n, {_round('n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE)')} AS share,
+{_round('n / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE) / width')} AS density FROM h""",
+)
+
+# Models with a closed form
+
+oracle("reconstruction_full", "SELECT vec_id, CAST(0 AS DOUBLE) AS rebuilt_error, CAST(0 AS DOUBLE) AS reconstruction_error FROM embeddings")
+oracle(
+    "reconstruction_pair",
+    f"""WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings),
+v AS (SELECT count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM p)
+SELECT n, {_round('((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)) / 2', 5)} AS mean_error FROM v""",
+)
+_COUNTS = """r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS a, CAST(l_linenumber AS DOUBLE) AS b,
+CAST(l_partkey % 7 AS DOUBLE) AS c, CASE WHEN l_linestatus = 'O' THEN 1.0e0 ELSE 0.0e0 END AS y FROM lineitem)"""
+oracle(
+    "bayes_scores",
+    f"""WITH {_COUNTS}, s AS (SELECT y, count(*) AS n, sum(a) AS a, sum(b) AS b, sum(c) AS c FROM r GROUP BY y),
+t AS (SELECT y, ln(n + 1) AS pi, ln((a + 1) / (a + b + c + 3)) AS ta, ln((b + 1) / (a + b + c + 3)) AS tb, ln((c + 1) / (a + b + c + 3)) AS tc FROM s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_round('1 / (1 + exp((v.pi - u.pi) + r.a * (v.ta - u.ta) + r.b * (v.tb - u.tb) + r.c * (v.tc - u.tc)))', 5)} AS p0
+FROM r, (SELECT * FROM t WHERE y = 0) u, (SELECT * FROM t WHERE y = 1) v""",
+)
+oracle("vector_sums", f"WITH {_COUNTS} SELECT y, sum(c) AS s0, sum(a) AS s1, sum(b) AS s2 FROM r GROUP BY y")
+oracle(
+    "fit_checks",
+    f"""WITH {FLOWS}, {_split_cte('SELECT flow_id AS o_orderkey, attack_type AS c FROM flows')}, {_quota('test', 'counts', 'ceil(total * 0.2e0)')},
+rest AS (SELECT c, n - q AS n FROM test), {_quota('val', 'rest', 'ceil(total * (0.1e0 / (1 - 0.2e0)))')},
+parts AS (SELECT ranked.c, CASE WHEN place <= test.q THEN 'test' WHEN place <= test.q + val.q THEN 'val' ELSE 'train' END AS part
+  FROM ranked JOIN test ON ranked.c = test.c JOIN val ON ranked.c = val.c),
+k AS (SELECT part, c, count(*) AS n FROM parts GROUP BY 1, 2)
+SELECT part, CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_missing, true AS same_schema, '' AS unseen,
+{_round('max(n) / CAST(sum(n) AS DOUBLE)')} AS largest_share FROM k GROUP BY part""",
+)

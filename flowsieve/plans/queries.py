@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import file_stem, nan_to_null, numeric_columns, ratio, string_columns
-from flowsieve.functions.vectors import argmax, onehot
+from flowsieve.functions.vectors import argmax, mean_squared_error, onehot
 from flowsieve.operators import clean, encode, evaluate, profile, ranking, scale, score, split
 from flowsieve.operators.bounds import class_counts
 from flowsieve.operators.features import add_flow_features
-from flowsieve.plans.flow_model import fit_detector, fit_flow_model, load_model, save_model
+from flowsieve.plans.flow_model import fit_and_check, fit_detector, fit_flow_model, load_model, save_model
 from flowsieve.plans.tables import capture_name, embedding_columns, flow_columns, flows, live_records, scores, table
 from flowsieve.session import scratch_path
 from flowsieve.sources import flows as sources
@@ -24,6 +24,7 @@ from flowsieve.streaming import detect
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 DIGITS = 6
 KEYS = ["flow_id", "attack_type", "ts"]
+MODEL_PARTITIONS = 16  # of training tables: the flows come from one file
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -338,6 +339,12 @@ def mutual_info(spark, sf_dir):
     return _rounded_all(ranking.mutual_info(_cleaned(spark, sf_dir), RANKED, "state"))
 
 
+@query
+def mutual_info_ranged(spark, sf_dir):
+    """As ``mutual_info``, in value ranges."""
+    return _rounded_all(ranking.mutual_info(_cleaned(spark, sf_dir), RANKED, "state", rows_per_range=5_000))
+
+
 def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _cleaned(spark, sf_dir)
     return ranking.consensus(
@@ -361,13 +368,13 @@ def select_topk(spark, sf_dir):
 @query
 def rf_importance(spark, sf_dir):
     data = embedding_columns(spark, sf_dir)
-    return ranking.rf_importance(data, [f"e{i}" for i in range(64)], "label", trees=50)
+    return ranking.rf_importance(data, [f"e{i}" for i in range(64)], "label")
 
 
 @query
 def rfe_rank(spark, sf_dir):
     data = embedding_columns(spark, sf_dir)
-    return ranking.rfe_rank(data, [f"e{i}" for i in range(64)], "label", keep=30, trees=20, step=17)
+    return ranking.rfe_rank(data, [f"e{i}" for i in range(64)], "label", keep=30)
 
 
 # Splits and weights
@@ -430,6 +437,14 @@ def sequence_windows(spark, sf_dir):
     return seen.select("event_id", _sequence_text(F.col("sequence")).alias("sequence"))
 
 
+@query
+def sequence_windows_hot(spark, sf_dir):
+    """As ``sequence_windows_padded``, with every entity above the rows of a range."""
+    events = table(spark, sf_dir, "events").withColumn("flag", F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))
+    seen = score.sequence_windows(events, ["value", "flag"], "event_type", "ts", "event_id", 3, pad=True, rows_per_range=200)
+    return seen.select("event_id", _sequence_text(F.col("sequence")).alias("sequence"))
+
+
 @query
 def sequence_windows_padded(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("flag", F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))
@@ -440,7 +455,7 @@ def sequence_windows_padded(spark, sf_dir):
 @query
 def classifier_scores(spark, sf_dir):
     data = score.assemble_vector(embedding_columns(spark, sf_dir), [f"e{i}" for i in range(64)])
-    model = score.train_classifier(data, "label", "logistic", maxIter=20)
+    model = score.train_classifier(data, "label", "logistic")
     scored = score.predict(data, model)
     return scored.select("vec_id", "predicted", rounded(F.array_max("probs"), 3).alias("probability"))
 
@@ -449,7 +464,7 @@ def classifier_scores(spark, sf_dir):
 def model_choice(spark, sf_dir):
     parts = split.stratified_split(embedding_columns(spark, sf_dir), "label", "vec_id", {"val": 0.3})
     data = score.assemble_vector(parts, [f"e{i}" for i in range(64)]).select("label", "split", "features")
-    candidates = {"logistic": ("logistic", {"maxIter": 10}), "forest": ("forest", {"numTrees": 20, "seed": 42})}
+    candidates = {"logistic": ("logistic", {}), "forest": ("forest", {"seed": 42})}
     _, choice = score.choose_model(candidates, data.where("split = 'train'"), data.where("split = 'val'"), "label")
     return choice
 
@@ -461,6 +476,61 @@ def reconstruction_score(spark, sf_dir):
     return score.reconstruction_score(data, model).select("vec_id", rounded("reconstruction_error").alias("reconstruction_error"))
 
 
+@query
+def reconstruction_full(spark, sf_dir):
+    """With as many components as entries nothing is lost: the error is zero on every row."""
+    data = score.array_vector(table(spark, sf_dir, "embeddings"), "embedding")
+    model = score.fit_reconstruction(data, components=64)
+    rebuilt = score.rebuilt_rows(data, model)
+    error = mean_squared_error(F.col("values"), F.col("rebuilt"))
+    return rebuilt.select("vec_id", rounded(error).alias("rebuilt_error")).join(
+        score.reconstruction_score(data, model).select("vec_id", rounded("reconstruction_error").alias("reconstruction_error")), "vec_id"
+    )
+
+
+@query
+def reconstruction_pair(spark, sf_dir):
+    """Two columns and one component: the mean error is half the smaller eigenvalue of their covariance."""
+    pair = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 2).alias("pair"))
+    data = score.array_vector(pair, "pair")
+    scored = score.reconstruction_score(data, score.fit_reconstruction(data, components=1))
+    return scored.agg(F.count("*").alias("n"), rounded(F.avg("reconstruction_error"), 5).alias("mean_error"))
+
+
+@query
+def bayes_scores(spark, sf_dir):
+    """Multinomial naive Bayes over three counts: class probabilities in closed form."""
+    data = score.assemble_vector(_counts(spark, sf_dir), ["a", "b", "c"])
+    scored = score.predict(data, score.train_classifier(data, "y", "bayes"))
+    return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded(F.element_at("probs", 1), 5).alias("p0"))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").alias("a"), F.col("l_linenumber").cast("double").alias("b"),
+        (F.col("l_partkey") % 7).cast("double").alias("c"), F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0).alias("y"),
+    )
+
+
+@query
+def vector_sums(spark, sf_dir):
+    """The packed vector holds its columns in order."""
+    packed = score.assemble_vector(_counts(spark, sf_dir), ["c", "a", "b"])
+    parts = vector_to_array("features")
+    return packed.groupBy("y").agg(*[F.sum(parts[i]).alias(f"s{i}") for i in range(3)])
+
+
+@query
+def fit_checks(spark, sf_dir):
+    """The flow model fitted on the training part, applied to all three, and what the checks report."""
+    raw = flows(spark, sf_dir)
+    rows = split.three_way_split(raw, "attack_type", "flow_id")
+    parts = {name: rows.where(F.col("split") == name).drop("split") for name in ("train", "test", "val")}
+    checks = fit_and_check(parts, "attack_type", dataset="UNSW", key="flow_id", select=False, partitions=MODEL_PARTITIONS).checks
+    return checks.select("part", "n_rows", "n_missing", "same_schema", "unseen", rounded("largest_share").alias("largest_share"))
+
+
 def _value_odds():
     """A stand-in for a model of another library: probability by the value, loaded in the task."""
     return lambda x: np.column_stack([1 / (1 + x[:, 0]), x[:, 0] / (1 + x[:, 0])])
@@ -553,6 +623,18 @@ def auc_ovr(spark, sf_dir):
     return _rounded_all(evaluate.auc_ovr(scores(spark, sf_dir), "y", "probs"))
 
 
+@query
+def roc_points_ranged(spark, sf_dir):
+    """As ``roc_points``, in value ranges."""
+    return _rounded_all(evaluate.roc_points(scores(spark, sf_dir), "y", "probs", rows_per_range=100))
+
+
+@query
+def auc_ovr_ranged(spark, sf_dir):
+    """As ``auc_ovr``, in value ranges."""
+    return _rounded_all(evaluate.auc_ovr(scores(spark, sf_dir), "y", "probs", rows_per_range=100))
+
+
 @query
 def auc_summary(spark, sf_dir):
     return _rounded_all(evaluate.auc_summary(scores(spark, sf_dir), "y", "probs"))
@@ -568,6 +650,12 @@ def feature_histogram(spark, sf_dir):
     return _rounded_all(evaluate.feature_histogram(table(spark, sf_dir, "events"), "value", "event_type", 40))
 
 
+@query
+def feature_histogram_gaps(spark, sf_dir):
+    """A column with infinities: they are left out."""
+    return _rounded_all(evaluate.feature_histogram(flows(spark, sf_dir), "dbytes", "attack_type", 20))
+
+
 @query
 def feature_density(spark, sf_dir):
     return _rounded_all(evaluate.feature_density(table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag"))
@@ -718,7 +806,7 @@ def _class_means(df: DataFrame, label: str) -> DataFrame:
 def flow_model_scaled_means(spark, sf_dir):
     """Clean, drop duplicates, derive, encode and scale; then the class means of every feature."""
     raw = flows(spark, sf_dir)
-    model = fit_flow_model(raw, "attack_type", dataset="UNSW", key="flow_id", select=False)
+    model = fit_flow_model(raw, "attack_type", dataset="UNSW", key="flow_id", select=False, partitions=MODEL_PARTITIONS)
     return _class_means(model.transform(raw), "attack_type")
 
 
@@ -726,14 +814,14 @@ def flow_model_scaled_means(spark, sf_dir):
 def flow_model_end_to_end(spark, sf_dir):
     """As above, with the features chosen by F and mutual information."""
     raw = flows(spark, sf_dir)
-    model = fit_flow_model(raw, "attack_type", dataset="UNSW", key="flow_id", k=8, selector={"useAnova": True})
+    model = fit_flow_model(raw, "attack_type", dataset="UNSW", key="flow_id", k=8, selector={"useAnova": True}, partitions=MODEL_PARTITIONS)
     return _class_means(model.transform(raw), "attack_type")
 
 
 @query
 def flow_model_save_load(spark, sf_dir):
     raw = flows(spark, sf_dir)
-    model = fit_flow_model(raw, "attack_type", dataset="UNSW", key="flow_id", select=False)
+    model = fit_flow_model(raw, "attack_type", dataset="UNSW", key="flow_id", select=False, partitions=MODEL_PARTITIONS)
     path = scratch_path(spark, "model")
     save_model(model, path)
     both = {"fitted": model, "reloaded": load_model(path)}
@@ -749,7 +837,7 @@ def _detector(raw: DataFrame):
     addresses = ["src_ip", "dst_ip", "ts"]
     return fit_detector(
         raw, "attack_type", benign="N", dataset="UNSW", key="flow_id", keep=addresses, select=False, balanced=True,
-        classifier={"numTrees": 20, "maxDepth": 4, "seed": 42},
+        classifier={"seed": 42}, partitions=MODEL_PARTITIONS,
     )
 
 

@@ -44,16 +44,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written_table(df: DataFrame, name: str) -> DataFrame:
+def written_table(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """The table written to the shared folder and read back.
 
     For tables that several jobs read: a lost executor costs a re-read instead of the whole lineage,
-    and later jobs read only the columns they use. A table from fewer files than there are cores is
-    spread over all of them first; larger ones keep their partitions.
+    and later jobs read only the columns they use. ``partitions`` spreads a table from few files; the
+    number is the caller's, so that models which sample by partition don't depend on the cluster.
     """
     path = scratch_path(df.sparkSession, name)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        df = df.repartition(cores)
+    if partitions:
+        df = df.repartition(partitions)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

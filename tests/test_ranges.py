@@ -54,7 +54,7 @@ def test_narrowed_quantiles_equal_numpy(spark):
     rows += [(float("nan"), float("inf"), None, None)]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     shares = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = exact_quantiles(df, ["a", "b", "c", "d"], shares, exact_cells=10)
+    got = exact_quantiles(df, ["a", "b", "c", "d"], shares, last_rows=10)
     small = exact_quantiles(df, ["a", "b", "c", "d"], shares)
     for name, values in {"a": a, "b": b, "c": c, "d": a[::2]}.items():
         np.testing.assert_allclose(got[name], np.quantile(values, shares), rtol=1e-12)
@@ -74,5 +74,5 @@ def test_order_statistics_close_in_over_several_passes(spark):
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert exact_quantiles(df, ["v"], [0.5]) == {"v": [None]}
-    assert exact_quantiles(df, ["v"], [0.5], exact_cells=0) == {"v": [None]}
+    assert exact_quantiles(df, ["v"], [0.5], last_rows=0) == {"v": [None]}
     assert exact_quantiles(df, [], [0.5]) == {}
