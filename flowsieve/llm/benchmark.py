@@ -33,8 +33,8 @@ THRESHOLD = 0.5  # of an item's own score
 OVERLAP = 0.8
 SHINGLE = 5
 LEAST_STRIDE = 32
-GROUP_WORDS = 1 << 18
-BOUND_BLOCKS = 32
+GROUP_WORDS = 1 << 16
+BOUND_BLOCKS = 256
 POSTING_BLOCK = 16
 MAX_ITEMS = 100_000
 MAX_WORDS = 20_000_000
@@ -176,17 +176,15 @@ class Index:
         stretch = np.concatenate([f + np.arange(len(t)) // self.stride for f, t in zip(first, texts)])
         ids = np.concatenate(texts)
         known = ids >= 0
-        keys = np.unique(stretch[known] * len(self.terms) + ids[known])
+        stretch, ids = stretch[known], ids[known]
+        after = ~np.isin(stretch, first)  # a stretch ends the passage that the one before begins
+        keys = np.unique(np.concatenate([stretch, stretch[after] - 1]) * len(self.terms) + np.concatenate([ids, ids[after]]))
         sums = np.zeros((int(sizes.sum()), self.bounds.shape[1]), np.float32)
         if len(keys):
             owner = keys // len(self.terms)
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             sums[owner[starts]] = np.add.reduceat(self.bounds[keys % len(self.terms)], starts, axis=0)
-        joined = sums.copy()
-        joined[:-1] += sums[1:]
-        last = first + sizes - 1
-        joined[last] = sums[last]
-        reached = joined.max(1) >= self.threshold - 1e-3
+        reached = sums.max(1) >= self.threshold - 1e-3
         return [np.flatnonzero(reached[f : f + s]).tolist() for f, s in zip(first, sizes)]
 
     def leaks(self, texts: Iterable[str | None]) -> Iterator[list[Leak]]:
