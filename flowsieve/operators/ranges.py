@@ -24,6 +24,8 @@ from flowsieve.operators.bounds import MAX_CLASSES, bounded_rows, small_table
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 100_000
 SAMPLES_PER_RANGE = 20
+TEXT_SAMPLE = 20_000
+TEXT_CUTS = 256
 
 
 class Ranges(NamedTuple):
@@ -72,20 +74,22 @@ def nested_ranges(df: DataFrame, axis: Column, tie_axis: Column, rows_per_range:
 
 
 def sortable_number(df: DataFrame, name: str, rows: DataFrame) -> Column:
-    """A double that never decreases along a column: numbers and times as they are, text by the six
-    bytes that follow the prefix all values share (smallest and largest value tell the prefix)."""
+    """A double that never decreases along a column: numbers and times as they are, text by the number of
+    cut strings that it reaches. The cuts are evenly spaced among at most ``TEXT_SAMPLE`` distinct values,
+    taken by their hash; they only place rows."""
     column, kind = named(name), df.schema[name].dataType
     if isinstance(kind, T.NumericType):
         return column.cast("double")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return column.cast("timestamp").cast("double")
     data = F.encode(column.cast("string"), "utf-8")
-    low, high = rows.agg(F.min(data), F.max(data)).first()
-    shared = 0
-    while low and high and shared < min(len(low), len(high)) and low[shared] == high[shared]:
-        shared += 1
-    digits = F.rpad(F.hex(F.substring(data, shared + 1, 6)), 12, "0")
-    return F.conv(digits, 16, 10).cast("double")
+    seen = rows.select(data.alias("value")).where("value is not null").distinct().orderBy(F.xxhash64("value"), "value").limit(TEXT_SAMPLE)
+    values = sorted(bytes(row["value"]) for row in seen.collect())
+    cuts = sorted({values[len(values) * i // TEXT_CUTS] for i in range(TEXT_CUTS)}) if values else []
+    if not cuts:
+        return F.lit(0.0)
+    reached = F.filter(F.array(*map(F.lit, map(bytearray, cuts))), lambda cut: cut <= data)
+    return F.size(reached).cast("double")
 
 
 def _bucket(df: DataFrame, axis: Column, cuts: list[float], name: str) -> DataFrame:

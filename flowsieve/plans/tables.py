@@ -64,6 +64,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedding_columns(spark: SparkSession, sf_dir: str, n: int = 64) -> DataFrame:
     values = table(spark, sf_dir, "embeddings")
+    shortest, longest = values.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if shortest is not None and (shortest, longest) != (n, n):
+        raise ValueError(f"embeddings of {shortest} to {longest} entries; {n} expected")
     return values.select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(n)])
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.functions.vectors import cross_entropy, in_top_k, mean_squared_error
 from flowsieve.operators import evaluate, quantiles, score
+from flowsieve.operators.ranges import sortable_number
 from flowsieve.plans.flow_model import fit_detector
 
 
@@ -75,3 +76,11 @@ def test_timeline_refuses_wrong_times(spark):
     with pytest.raises(ValueError, match="hours"):
         evaluate.attack_timeline(df, "t", "y", max_hours=1000)
     assert evaluate.attack_timeline(df.where("false"), "t", "y").collect() == []
+
+
+def test_one_foreign_key_does_not_crowd_the_others(spark):
+    keys = [f"sensor-long-prefix-{i:04d}" for i in range(999)] + ["A"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    placed = sorted((r["k"], r["x"]) for r in df.select("k", sortable_number(df, "k", df).alias("x")).collect())
+    assert len({x for _, x in placed}) > 200
+    assert [x for _, x in placed] == sorted(x for _, x in placed)
