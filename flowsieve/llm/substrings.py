@@ -223,7 +223,8 @@ def repeated_windows(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> D
     places = own.select("doc", "tag", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select(
         "doc", "tag", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place")
     )
-    again = places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
+    # written: only a join of two plain exchanges lets the engine split a crowded anchor over tasks
+    again = stored(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
     hits = places.join(again, "anchor").groupBy("doc", "tag").agg(
         F.collect_list(F.struct("place", (F.col("n") > group_suffixes).alias("hot"))).alias("h")  # one document's
     )
