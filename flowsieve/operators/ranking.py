@@ -205,15 +205,14 @@ def mutual_info(
     return sums.select(F.get(F.lit(features), F.col("f")).alias("feature"), score.alias("mi_score"))
 
 
-def _forest(label: str, trees: int, seed: int, max_depth: int) -> RandomForestClassifier:
-    return RandomForestClassifier(
-        featuresCol="_features", labelCol=label, numTrees=trees, seed=seed, maxDepth=max_depth, cacheNodeIds=False
-    )
-
-
-def _importances(df: DataFrame, features: list[str], label_index: str, trees: int, seed: int, max_depth: int) -> list[float]:
+def _importances(
+    df: DataFrame, features: list[str], label_index: str, trees: int, seed: int, max_depth: int, **forest
+) -> list[float]:
     assembled = VectorAssembler(inputCols=features, outputCol="_features").transform(df)
-    return _forest(label_index, trees, seed, max_depth).fit(assembled).featureImportances.toArray().tolist()
+    model = RandomForestClassifier(
+        featuresCol="_features", labelCol=label_index, numTrees=trees, seed=seed, maxDepth=max_depth, cacheNodeIds=False, **forest
+    )
+    return model.fit(assembled).featureImportances.toArray().tolist()
 
 
 def _plain_names(df: DataFrame, features: list[str], label_index: str) -> tuple[DataFrame, dict[str, str]]:
@@ -224,16 +223,17 @@ def _plain_names(df: DataFrame, features: list[str], label_index: str) -> tuple[
 
 
 def rf_importance(
-    df: DataFrame, features: list[str], label_index: str, trees: int = 200, seed: int = 42, max_depth: int = 5
+    df: DataFrame, features: list[str], label_index: str, trees: int = 200, seed: int = 42, max_depth: int = 5, **forest
 ) -> DataFrame:
-    """Random-forest importance per feature."""
+    """Random-forest importance per feature. ``forest`` goes to the forest."""
     table, short = _plain_names(df, features, label_index)
-    found = _importances(table, list(short.values()), "_y", trees, seed, max_depth)
+    found = _importances(table, list(short.values()), "_y", trees, seed, max_depth, **forest)
     return df.sparkSession.createDataFrame(list(zip(features, found)), "feature string, rf_importance double")
 
 
 def rfe_rank(
-    df: DataFrame, features: list[str], label_index: str, keep: int, trees: int = 100, step: int = 1, seed: int = 42, max_depth: int = 5
+    df: DataFrame, features: list[str], label_index: str, keep: int, trees: int = 100, step: int = 1, seed: int = 42,
+    max_depth: int = 5, **forest,
 ) -> DataFrame:
     """Recursive elimination: the ``step`` least important features go each round.
 
@@ -245,7 +245,7 @@ def rfe_rank(
     table = written_table(table, "elimination")
     left, removed = list(features), []
     while len(left) > keep:
-        scores = _importances(table, [short[c] for c in left], "_y", trees, seed, max_depth)
+        scores = _importances(table, [short[c] for c in left], "_y", trees, seed, max_depth, **forest)
         weakest = sorted(zip(scores, left))[: min(step, len(left) - keep)]
         removed.append([c for _, c in weakest])
         left = [c for c in left if c not in removed[-1]]

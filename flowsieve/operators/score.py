@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -246,6 +247,25 @@ def rebuilt_rows(df: DataFrame, model: PipelineModel, values: str = "values", re
     return projected.withColumns({values: whole, rebuilt: F.transform(rows, entry)}).drop("_centred", "_reduced")
 
 
+class JointModel(NamedTuple):
+    """A classifier and a reconstruction over the same vectors."""
+
+    classifier: Model
+    reconstruction: PipelineModel
+
+
+def fit_joint(
+    df: DataFrame, label_index: str, kind: str = "forest", features: str = "features", components: int = 32, **params
+) -> JointModel:
+    """Class head and reconstruction head fitted on the same rows."""
+    return JointModel(train_classifier(df, label_index, kind, features, **params), fit_reconstruction(df, features, components))
+
+
+def joint_rows(df: DataFrame, model: JointModel) -> DataFrame:
+    """Adds what the joint loss and the evaluation record compare: ``probs``, ``predicted``, ``values``, ``rebuilt``."""
+    return predict(rebuilt_rows(df, model.reconstruction), model.classifier)
+
+
 def array_vector(df: DataFrame, array: str, output: str = "features") -> DataFrame:
     return df.withColumn(output, array_to_vector(named(array).cast("array<double>")))
 

@@ -1,7 +1,7 @@
 """The registered queries as plain SQL, written independently of the operators.
 
-Left out are the queries that SQL cannot express: forests, classifiers and principal components, and
-the end-to-end selection on top of them.
+Left out are the queries that SQL cannot express: forests, iterative classifiers and many principal components,
+and the end-to-end selection on top of them.
 """
 
 from __future__ import annotations
@@ -595,6 +595,16 @@ t AS (SELECT y, ln(n + 1) AS pi, ln((a + 1) / (a + b + c + 3)) AS ta, ln((b + 1)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_round('1 / (1 + exp((v.pi - u.pi) + r.a * (v.ta - u.ta) + r.b * (v.tb - u.tb) + r.c * (v.tc - u.tc)))', 5)} AS p0
 FROM r, (SELECT * FROM t WHERE y = 0) u, (SELECT * FROM t WHERE y = 1) v""",
 )
+oracle(
+    "joint_model_loss",
+    f"""WITH {_COUNTS}, s AS (SELECT y, count(*) AS n, sum(a) AS a, sum(b) AS b FROM r GROUP BY y),
+t AS (SELECT y, ln(n + 1) AS pi, ln((a + 1) / (a + b + 2)) AS ta, ln((b + 1) / (a + b + 2)) AS tb FROM s),
+p AS (SELECT r.y, 1 / (1 + exp((v.pi - u.pi) + r.a * (v.ta - u.ta) + r.b * (v.tb - u.tb))) AS p0 FROM r, (SELECT * FROM t WHERE y = 0) u, (SELECT * FROM t WHERE y = 1) v),
+e AS (SELECT avg(-ln(least(greatest(CASE WHEN y = 0 THEN p0 ELSE 1 - p0 END, 1e-7), 1 - 1e-7))) AS ce FROM p),
+c AS (SELECT var_pop(a) AS a, var_pop(b) AS b, covar_pop(a, b) AS c FROM r),
+m AS (SELECT ((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)) / 2 AS mse FROM c)
+SELECT {_round('ce', 5)} AS cross_entropy, {_round('mse', 5)} AS mse, {_round('ce + 0.3e0 * mse', 5)} AS joint_loss FROM e, m""",
+)
 oracle("vector_sums", f"WITH {_COUNTS} SELECT y, sum(c) AS s0, sum(a) AS s1, sum(b) AS s2 FROM r GROUP BY y")
 oracle(
     "fit_checks",
@@ -606,3 +616,19 @@ k AS (SELECT part, c, count(*) AS n FROM parts GROUP BY 1, 2)
 SELECT part, CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_missing, true AS same_schema, '' AS unseen,
 {_round('max(n) / CAST(sum(n) AS DOUBLE)')} AS largest_share FROM k GROUP BY part""",
 )
+
+_SMALL = "r AS (SELECT l_linenumber AS n, l_partkey % 5 AS p, l_suppkey % 3 AS q, CASE WHEN l_linenumber + l_partkey % 5 >= 6 THEN 1.0e0 ELSE 0.0e0 END AS y FROM lineitem)"
+_GAINS = f"""{_SMALL}, x AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v, y FROM r" for c in "npq")}),
+b AS (SELECT feature, v, count(*) AS k, sum(y) AS s FROM x GROUP BY 1, 2),
+c AS (SELECT feature, sum(k) OVER w AS kl, sum(s) OVER w AS sl, sum(k) OVER (PARTITION BY feature) AS ka, sum(s) OVER (PARTITION BY feature) AS sa
+  FROM b WINDOW w AS (PARTITION BY feature ORDER BY v)),
+g AS (SELECT feature, max(2 * (sl / kl) * (sl / kl) * kl / ka + 2 * ((sa - sl) / (ka - kl)) * ((sa - sl) / (ka - kl)) * (ka - kl) / ka) AS gain
+  FROM c WHERE kl < ka GROUP BY feature),
+best AS (SELECT feature, row_number() OVER (ORDER BY gain DESC) AS place FROM g)"""
+oracle("stump_importance", f"WITH {_GAINS} SELECT feature, CASE WHEN place = 1 THEN 1.0e0 ELSE 0.0e0 END AS rf_importance FROM best")
+oracle(
+    "stump_elimination",
+    f"""WITH {_GAINS} SELECT feature, CAST(CASE WHEN place = 1 THEN 1 ELSE 1 + row_number() OVER (PARTITION BY place = 1 ORDER BY feature DESC) END AS INT) AS rfe_rank
+FROM best""",
+)
+oracle("stream_detector_agreement", "SELECT CAST(0 AS BIGINT) AS n_differing, true AS any_alert")

@@ -377,6 +377,26 @@ def rfe_rank(spark, sf_dir):
     return ranking.rfe_rank(data, [f"e{i}" for i in range(64)], "label", keep=30)
 
 
+STUMP = {"trees": 1, "max_depth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
+
+
+def _small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, p, q = F.col("l_linenumber"), F.col("l_partkey") % 5, F.col("l_suppkey") % 3
+    return table(spark, sf_dir, "lineitem").select(n.alias("n"), p.alias("p"), q.alias("q"), (n + p >= 6).cast("double").alias("y"))
+
+
+@query
+def stump_importance(spark, sf_dir):
+    """One split over all rows and features: the importance is that of the largest Gini gain."""
+    return _rounded_all(ranking.rf_importance(_small_counts(spark, sf_dir), ["n", "p", "q"], "y", **STUMP))
+
+
+@query
+def stump_elimination(spark, sf_dir):
+    """Elimination with the same stump, in a forced order."""
+    return ranking.rfe_rank(_small_counts(spark, sf_dir), ["n", "p", "q"], "y", keep=1, **STUMP)
+
+
 # Splits and weights
 
 
@@ -505,6 +525,15 @@ def bayes_scores(spark, sf_dir):
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", rounded(F.element_at("probs", 1), 5).alias("p0"))
 
 
+@query
+def joint_model_loss(spark, sf_dir):
+    """Classifier and reconstruction fitted together, and the joint loss of what they give."""
+    data = score.assemble_vector(_counts(spark, sf_dir), ["a", "b"])
+    model = score.fit_joint(data, "y", "bayes", components=1)
+    rows = score.joint_rows(data, model).withColumn("y", F.col("y").cast("int"))
+    return _rounded_all(evaluate.joint_loss(rows, "y", "probs", "values", "rebuilt"), 5)
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(
@@ -848,6 +877,13 @@ def detector_scores(spark, sf_dir):
     return evaluate.confusion(_detector(raw).transform(raw), "attack_type", "predicted_class", ["A", "N", "R"])
 
 
+@query
+def stream_detector_agreement(spark, sf_dir):
+    """Source addresses whose alerts differ between the stream and the table."""
+    counts = stream_detector(spark, sf_dir)
+    return counts.agg(F.count_if(~F.col("n_stream").eqNullSafe(F.col("n_batch"))).alias("n_differing"), (F.count("*") > 0).alias("any_alert"))
+
+
 @query
 def stream_detector(spark, sf_dir):
     """The same model on the flows as a stream and as a table: alert rows per source address."""
