@@ -1,9 +1,10 @@
 """Toxic documents by compression distance.
 
 A text becomes a sequence of 32-bit codes, one for each run of five bytes, and is cut into windows.
-Two zstandard dictionaries are trained, one on the stretches that toxic texts share and ordinary
-ones lack, one the other way round. A window that the toxic dictionary shortens by more bytes than
-the ordinary one speaks for toxicity; coded this way, a match saves many times what the
+Two zstandard dictionaries are trained: the ordinary one holds the stretches that ordinary texts
+share and toxic ones lack, the toxic one holds those and the stretches that only toxic texts share, so that what
+is common to both cancels out. A window that the toxic dictionary shortens by more bytes than the
+ordinary one speaks for toxicity; coded this way, a match saves many times what the
 compressor's own choices add or take. The largest gain of a document's windows is held against a
 threshold calibrated on labelled documents that trained neither dictionary.
 """
@@ -158,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     found = stored(_stretches(training, chosen), "stretches")
     dictionaries = {}
     size = DICTIONARY_BYTES
-    for x in (1, 0):  # the ordinary dictionary is as long as the toxic one
+    for x in (1, 0):  # as much from the one as from the other
         data = b""
         for row in found.where(F.col("label") == x).orderBy(F.col("n").desc(), "stretch").limit(MAX_STRETCHES).collect():
             if len(data) + len(row["stretch"]) > size:
@@ -166,6 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
             data = bytes(row["stretch"]) + data  # frequent ones last: near matches are cheap
         dictionaries[x] = data or b"\0" * 8
         size = len(dictionaries[x])
+    dictionaries[1] = dictionaries[0] + dictionaries[1]  # toxic texts are ordinary language, too
     gains = scored(rest, dictionaries[1], dictionaries[0]).groupBy("label", "gain").agg(F.count("*").alias("n")).collect()
     threshold, scale = calibrated([(r["label"], r["gain"], r["n"]) for r in gains])
     return Model(dictionaries[1], dictionaries[0], threshold, scale)
