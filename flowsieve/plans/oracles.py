@@ -632,3 +632,13 @@ oracle(
 FROM best""",
 )
 oracle("stream_detector_agreement", "SELECT CAST(0 AS BIGINT) AS n_differing, true AS any_alert")
+
+_LISTED = "(SELECT string_agg(label || '=' || CAST(n AS VARCHAR), ',' ORDER BY label) FROM k WHERE split = '{}')"
+oracle(
+    "holdout_metadata",
+    f"""WITH {_HOLDOUT}, k AS (SELECT split, CAST(label AS VARCHAR) AS label, count(*) AS n FROM parts GROUP BY 1, 2),
+t AS (SELECT CAST(sum(n) FILTER (split = 'train') AS BIGINT) AS a, CAST(sum(n) FILTER (split = 'validation') AS BIGINT) AS b, CAST(sum(n) FILTER (split = 'test') AS BIGINT) AS c FROM k)
+SELECT a + b AS original_training_samples, c AS original_test_samples, a AS new_train_samples, b AS validation_samples, c AS test_samples, 0.15e0 AS val_size,
+CAST(42 AS INT) AS random_state, {_LISTED.format('train')} AS train_distribution, {_LISTED.format('validation')} AS val_distribution, {_LISTED.format('test')} AS test_distribution FROM t""",
+)
+oracle("source_counts", f"WITH {FLOWS} SELECT concat('capture-', proto) AS source, count(*) AS n FROM flows GROUP BY 1")

@@ -106,6 +106,23 @@ def split_metadata(spark, sf_dir):
     )
 
 
+@query
+def holdout_metadata(spark, sf_dir):
+    """The hold-out record, written as JSON and read back."""
+    record = metadata.holdout_metadata(_holdout(spark, sf_dir))
+    path = scratch_path(spark, "holdout-metadata")
+    metadata.write_metadata(record, path)
+    back = spark.read.schema(record.schema).json(path)
+    text = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return back.select("*").withColumns({c: text(c) for c in ("train_distribution", "val_distribution", "test_distribution")})
+
+
+@query
+def source_counts(spark, sf_dir):
+    labelled = flows(spark, sf_dir).withColumn("source_file", F.concat(F.lit("capture-"), F.col("proto")))
+    return metadata.source_counts(labelled)
+
+
 @query
 def read_write_roundtrip(spark, sf_dir):
     """Orders written as Parquet and CSV split folders and read back through the split reader."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.functions.columns import named
@@ -22,6 +22,36 @@ def dataset_metadata(df: DataFrame, label: str = "attack_type", source: str | No
     )
 
 
+def source_counts(df: DataFrame, source: str = "source_file") -> DataFrame:
+    """Rows by source file as a table, for corpora with more files than one record should list."""
+    return df.groupBy(named(source).cast("string").alias("source")).agg(F.count("*").alias("n"))
+
+
+def holdout_metadata(df: DataFrame, label: str = "label", val_size: float = 0.15, random_state: int = 42, split: str = "split") -> DataFrame:
+    """The record of a hold-out split, from one scan: sizes of the original and new parts, the parameters, and
+    the class counts of each part. ``df`` is what ``holdout_split`` gives."""
+    cells = df.groupBy(named(split).alias("split"), named(label).cast("string").alias("class")).agg(F.count("*").alias("n"))
+
+    def rows(*parts: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("split").isin(*parts), F.col("n"))), F.lit(0).cast("bigint"))
+
+    def classes(part: str) -> Column:  # one entry per class
+        return F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("split") == part, F.struct("class", "n")))))
+
+    return cells.agg(
+        rows("train", "validation").alias("original_training_samples"),
+        rows("test").alias("original_test_samples"),
+        rows("train").alias("new_train_samples"),
+        rows("validation").alias("validation_samples"),
+        rows("test").alias("test_samples"),
+        F.lit(val_size).alias("val_size"),
+        F.lit(random_state).alias("random_state"),
+        classes("train").alias("train_distribution"),
+        classes("validation").alias("val_distribution"),
+        classes("test").alias("test_distribution"),
+    )
+
+
 def split_metadata(df: DataFrame, label: str, parameters: dict[str, float | int], split: str = "split") -> DataFrame:
     """One row per split: rows, class counts and shares, and the parameters of the split."""
     cells = df.groupBy(named(split).alias("split"), named(label).cast("string").alias("class")).agg(F.count("*").alias("n"))
