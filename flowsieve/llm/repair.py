@@ -36,6 +36,7 @@ LEAST_GAIN = 0.05
 MAX_PARTS = 1_000_000
 _TABLE_BITS = 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_NO_PAIR = np.uint64(2**64 - 1)  # symbols stay below 2**32 - 1
 
 
 class Grammar(NamedTuple):
@@ -73,25 +74,26 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: i
         keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         inside = ~begins[1:]
         chosen = _frequent(keys[inside], pairs, least)
-        held = np.zeros(1 << _TABLE_BITS, np.uint64)
+        held = np.full(1 << _TABLE_BITS, _NO_PAIR)
         number = np.zeros(1 << _TABLE_BITS, np.uint32)
         slots = (chosen * _MIX) >> np.uint64(64 - _TABLE_BITS)
         _, first = np.unique(slots, return_index=True)  # the more frequent pair keeps a shared slot
         chosen, slots = chosen[np.sort(first)], slots[np.sort(first)]
         held[slots] = chosen
-        number[slots] = np.arange(len(chosen), dtype=np.uint32) + np.uint32(base + n_rules)
+        number[slots] = np.arange(len(chosen), dtype=np.uint32)
+        keys[~inside] = _NO_PAIR - np.uint64(1)
         slots = (keys * _MIX) >> np.uint64(64 - _TABLE_BITS)
-        at = np.flatnonzero((held[slots] == keys) & inside & (number[slots] > 0))
+        at = np.flatnonzero(held[slots] == keys)
         if not len(at):
             break
         run = np.concatenate(([True], np.diff(at) != 1))  # neighbouring places overlap: every other one
         order = np.arange(len(at))
         at = at[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]
-        fresh = number[slots[at]]
-        used, place = np.unique(fresh, return_inverse=True)
-        rules.append(np.stack([symbols[at], symbols[at + 1]], 1)[np.unique(place, return_index=True)[1]])
-        symbols[at] = (place + base + n_rules).astype(np.uint32)
-        n_rules += len(used)
+        pair = number[slots[at]]
+        used = np.bincount(pair, minlength=len(chosen)) > 0  # overlaps may have taken all places of a pair
+        rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(2**32 - 1)], 1).astype(np.uint32))
+        symbols[at] = (np.cumsum(used) - 1 + base + n_rules).astype(np.uint32)[pair]
+        n_rules += int(used.sum())
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         saved = len(at) / len(symbols)

@@ -70,6 +70,8 @@ class WordEncoder(dict):
         """Words that are more than lower-case ASCII letters."""
         stem = word.rstrip(PUNCTUATION)
         tail = word[len(stem) :]
+        if tail and stem.isalpha() and stem.islower():
+            return self[stem] + self[tail]
         text = stem.decode()
         low = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
         if not text.isalpha() or not low.isalpha() or len(stem) > 500:
