@@ -35,7 +35,7 @@ def _let(value: Column, body) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words inside windows that occur twice or more."""
+    """Words inside windows that occur twice or more; a document's windows are told apart by 64-bit hashes."""
     n = F.size(words) - WINDOW
     keys = F.when(
         n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(WINDOW)]))
