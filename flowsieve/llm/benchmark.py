@@ -246,7 +246,8 @@ def find_leaks(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = zip(*records(batch, "doc_id", "text")) if batch.num_rows else ((), ())
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            texts = (t for (t,) in records(batch, "text"))
             rows = [(doc_id, *leak) for doc_id, leaks in zip(ids, shared.value.leaks(texts)) for leak in leaks]
             columns = list(zip(*rows)) or [()] * len(_FIELDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, _, k) in zip(columns, _FIELDS)], names=[n for n, *_ in _FIELDS])
@@ -260,7 +261,7 @@ def without_leaks(docs: DataFrame, index: Index) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            texts = (t for (t,) in records(batch, "text"))
             yield batch.filter(pa.array([not leaks for leaks in shared.value.leaks(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -113,8 +113,11 @@ def gram_codes(codes: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def records(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names))
+def records(batch: pa.RecordBatch, *names: str, rows: int = 512) -> Iterator[tuple]:
+    """The batch's rows as tuples, a few at a time: whole batches of texts would stand in memory twice."""
+    part = batch.select(list(names))
+    for at in range(0, batch.num_rows, rows):
+        yield from zip(*(column.to_pylist() for column in part.slice(at, rows).columns))
 
 
 def crc(data: bytes) -> int:

@@ -147,7 +147,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray) -> DataFrame:
                     pred[row], scores[row] = langs[best], odd[best]
                 held.clear()
 
-            for row, text in enumerate(batch.column(batch.schema.get_field_index("text")).to_pylist() if langs else ()):
+            for row, (text,) in enumerate(records(batch, "text") if langs else ()):
                 if text is None or not LETTER.search(text):
                     continue
                 held.append((row, slices(text)))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import stored, table
+from flowsieve.llm.common import records, stored, table
 
 SHINGLE = 3
 RADIUS = 3
@@ -60,7 +60,7 @@ def with_fingerprint(docs: DataFrame, name: str = "fp", size: int = SHINGLE) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            values = np.array([fingerprint(t, size) for t in batch.column(at).to_pylist()], np.uint64).view(np.int64)
+            values = np.array([fingerprint(t, size) for (t,) in records(batch, "text")], np.uint64).view(np.int64)
             rest = [c for k, c in enumerate(batch.columns) if k != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(values)], names=schema.names)
 

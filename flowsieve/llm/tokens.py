@@ -36,7 +36,7 @@ class WordEncoder(dict):
     BPE model; all others take its whole pipeline.
     """
 
-    def __init__(self, path: str, keep: int = 350_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, models

@@ -196,8 +196,7 @@ def scored(docs: DataFrame, toxic: bytes, ordinary: bytes, name: str = "gain") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            found = pa.array([gain(t, *shared.value) for t in texts], pa.int32())
+            found = pa.array([gain(t, *shared.value) for (t,) in records(batch, "text")], pa.int32())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
 
     return docs.mapInArrow(run, schema)
