@@ -64,21 +64,13 @@ def id_fold(name: str, folds: int) -> Column:
     return F.crc32(F.col(name).cast("string").cast("binary")) % folds
 
 
-def word_codes(data: bytes) -> tuple[list[bytes], np.ndarray]:
-    """Words between ASCII white space, and a 64-bit code of each.
-
-    A code is a polynomial over the word's bytes, each byte replaced by a random odd number; codes
-    are mixed, so that every bit depends on the whole word.
-    """
-    words = data.split()
-    return words, codes_of(words)
-
-
 _RANDOM = np.random.default_rng(20).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def codes_of(words: list[bytes]) -> np.ndarray:
+    """A 64-bit code of each word: a polynomial over its bytes, each byte replaced by a random odd number, mixed
+    so that every bit depends on the whole word."""
     if not words:
         return np.zeros(0, np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
