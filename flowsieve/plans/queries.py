@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import file_stem, nan_to_null, numeric_columns, ratio, string_columns
 from flowsieve.functions.vectors import argmax, mean_squared_error, onehot
 from flowsieve.operators import clean, encode, evaluate, profile, ranking, scale, score, split
-from flowsieve.operators.bounds import class_counts
 from flowsieve.operators.features import add_flow_features
 from flowsieve.plans.flow_model import fit_and_check, fit_detector, fit_flow_model, load_model, save_model
 from flowsieve.plans.tables import capture_name, embedding_columns, flow_columns, flows, live_records, scores, table
