@@ -241,17 +241,6 @@ def grouped(docs: DataFrame, most: int = SHARD_ROWS, size: int = SHINGLE) -> Dat
     return found.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, most: int = SHARD_ROWS, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs without those of a document that links to one with a smaller id.
-
-    Repeated rows of one id and text stay once. Rows that share an id stay together if one of them is the
-    first of its component; rows without an id stay.
-    """
-    found = grouped(docs, most, size).where("doc_id is not null")
-    later = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first")
-    return docs.join(stored(later.select("doc_id"), "later"), "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document; an empty table gives no row."""
     found = grouped(table(spark, sf_dir, "documents"))
