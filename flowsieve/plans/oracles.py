@@ -486,6 +486,15 @@ g AS (SELECT label, total, h, CAST(i AS INT) AS point, (lo - 3 * h) + i * (((hi
 SELECT g.label, point, {_round('max(position)')} AS position, {_round('sum(n * exp(-0.5e0 * pow((position - x) / h, 2)) / (total * h * sqrt(2 * pi())))')} AS density
 FROM g JOIN v ON g.label = v.label GROUP BY g.label, point""",
 )
+oracle(
+    "feature_density_outlier",
+    f"""WITH l AS (SELECT l_returnflag AS label, CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 1e6 ELSE CAST(l_extendedprice AS DOUBLE) / 1000 END AS price FROM lineitem),
+v AS (SELECT label, price AS x, count(*) AS n FROM l GROUP BY 1, 2),
+s AS (SELECT label, count(*) AS total, stddev_samp(price) * pow(count(*), -0.2e0) AS h, min(price) AS lo, max(price) AS hi FROM l GROUP BY 1),
+g AS (SELECT label, total, h, CAST(i AS INT) AS point, (lo - 3 * h) + i * (((hi + 3 * h) - (lo - 3 * h)) / 199) AS position FROM s, range(200) t(i))
+SELECT g.label, point, {_round('max(position)')} AS position, {_round('sum(n * exp(-0.5e0 * pow((position - x) / h, 2)) / (total * h * sqrt(2 * pi())))')} AS density
+FROM g JOIN v ON g.label = v.label GROUP BY g.label, point""",
+)
 _HOURS = "by_hour AS (SELECT date_trunc('hour', ts) AS hour, avg(CASE WHEN event_type = 'error' THEN 1.0e0 ELSE 0.0e0 END) AS ratio, count(*) AS n FROM events GROUP BY 1)"
 oracle(
     "attack_timeline",

@@ -706,6 +706,14 @@ def feature_density(spark, sf_dir):
     return _rounded_all(evaluate.feature_density(table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag"))
 
 
+@query
+def feature_density_outlier(spark, sf_dir):
+    """Many distinct values, and one of a single label far beyond the others."""
+    far = (F.col("l_orderkey") == 1) & (F.col("l_linenumber") == 1)
+    price = F.when(far, 1e6).otherwise(F.col("l_extendedprice").cast("double") / 1000)
+    return _rounded_all(evaluate.feature_density(table(spark, sf_dir, "lineitem").withColumn("price", price), "price", "l_returnflag"))
+
+
 @query
 def attack_timeline(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("attack", F.when(F.col("event_type") == "error", 1).otherwise(0))

@@ -145,6 +145,19 @@ def test_density_equals_the_kernel_sum(spark):
         assert at[0] == pytest.approx(x.min() - 3 * h) and at[-1] == pytest.approx(x.max() + 3 * h)
 
 
+def test_density_with_a_far_outlier(spark):
+    rng = np.random.default_rng(8)
+    plain, far = rng.gamma(2, 1000, 1000), np.append(rng.gamma(2, 1000, 1000), 1e9)
+    df = spark.createDataFrame([(float(x), 0) for x in plain] + [(float(x), 1) for x in far], "bytes double, label int")
+    got = evaluate.feature_density(df, "bytes", "label")
+    for label, x in ((0, plain), (1, far)):
+        part = got.where(F.col("label") == label).orderBy("point").collect()
+        at = np.array([r["position"] for r in part])
+        h = x.std(ddof=1) * len(x) ** -0.2
+        want = np.exp(-0.5 * ((at[:, None] - x) / h) ** 2).sum(1) / (len(x) * h * np.sqrt(2 * np.pi))
+        np.testing.assert_allclose([r["density"] * h for r in part], want * h, atol=1e-8)
+
+
 def test_timeline_has_the_empty_hour(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 1, 0, 5), 1), (datetime(2024, 1, 1, 0, 50), 0), (datetime(2024, 1, 1, 2, 0), 1)], "t timestamp_ntz, label int")
     rows = evaluate.attack_timeline(df, "t", "label").orderBy("hour").collect()
