@@ -21,6 +21,7 @@ from flowsieve.session import written_table
 
 
 NEIGHBOURS = 3
+MAX_DEPTH = 30  # the most that Spark allows
 
 
 def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -223,9 +224,9 @@ def _plain_names(df: DataFrame, features: list[str], label_index: str) -> tuple[
 
 
 def rf_importance(
-    df: DataFrame, features: list[str], label_index: str, trees: int = 200, seed: int = 42, max_depth: int = 5, **forest
+    df: DataFrame, features: list[str], label_index: str, trees: int = 200, seed: int = 42, max_depth: int = MAX_DEPTH, **forest
 ) -> DataFrame:
-    """Random-forest importance per feature. ``forest`` goes to the forest."""
+    """Random-forest importance per feature. ``forest`` goes to the forest; trees grow to Spark's limit of depth unless ``max_depth`` is less."""
     table, short = _plain_names(df, features, label_index)
     found = _importances(table, list(short.values()), "_y", trees, seed, max_depth, **forest)
     return df.sparkSession.createDataFrame(list(zip(features, found)), "feature string, rf_importance double")
@@ -233,7 +234,7 @@ def rf_importance(
 
 def rfe_rank(
     df: DataFrame, features: list[str], label_index: str, keep: int, trees: int = 100, step: int = 1, seed: int = 42,
-    max_depth: int = 5, **forest,
+    max_depth: int = MAX_DEPTH, **forest,
 ) -> DataFrame:
     """Recursive elimination: the ``step`` least important features go each round.
 

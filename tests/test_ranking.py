@@ -94,6 +94,19 @@ def test_forest_and_elimination_put_the_informative_feature_first(sample):
     assert sorted(ranks.values()) == [1, 2, 3, 4]
 
 
+def test_forest_is_as_deep_as_its_features(spark):
+    rng = np.random.default_rng(6)
+    bits = rng.random((4000, 10)) < 0.3
+    first = np.where(bits.any(1), bits.argmax(1), 10) % 2  # the last bits count only where all before are 0
+    names = [f"b{i}" for i in range(10)] + ["noise"]
+    rows = [[float(y), *map(float, b), float(x)] for y, b, x in zip(first, bits, rng.random(4000) < 0.3)]
+    df = spark.createDataFrame(rows, ["y", *names])
+    scores = {r["feature"]: r["rf_importance"] for r in ranking.rf_importance(df, names, "y", trees=5, featureSubsetStrategy="all").collect()}
+    assert scores["b8"] > 0.01 and scores["b9"] > 10 * scores["noise"]
+    ranks = {r["feature"]: r["rfe_rank"] for r in ranking.rfe_rank(df, names, "y", keep=10, trees=5, featureSubsetStrategy="all").collect()}
+    assert ranks["noise"] == 2
+
+
 def test_selector_keeps_label_and_best(sample, spark):
     df, _, _ = sample
     model = ranking.FeatureSelector(k=2, labelCol="y", useAnova=True, useMi=True).fit(df)
