@@ -1,6 +1,7 @@
 """Toxic documents by compression distance.
 
-A text becomes a sequence of 32-bit codes, one for each run of five bytes, and is cut into windows.
+A text becomes two sequences of 32-bit codes, one for each run of five bytes and eight for each whole word,
+and both are cut into windows.
 Two zstandard dictionaries are trained, one on the stretches that toxic texts share and ordinary
 ones lack, one the other way round. A window that the toxic dictionary shortens by more bytes than
 the ordinary one speaks for toxicity; coded this way, a match saves many times what the
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import id_fold, records, stored, table, unused_name
+from flowsieve.llm.common import codes_of, id_fold, mixed, records, stored, table, unused_name
 from flowsieve.operators.bounds import bounded_rows, small_table
 
 RUN = 5
+WORD_CODES = 8
+_AROUND = b".,;:!?()[]{}<>*_-'\""
 WINDOW = 1024  # codes
 SLICE = WINDOW << 9
 FOLDS = 5
@@ -62,6 +65,22 @@ def codes(text: str | None) -> Iterator[np.ndarray]:
         yield out ^ (out >> np.uint32(13))
 
 
+def word_codes(text: str | None) -> Iterator[np.ndarray]:
+    """``WORD_CODES`` codes of each whole word without punctuation around it, in slices of bounded length."""
+    words = (text or "").lower().encode().split()
+    for at in range(0, len(words), SLICE // WORD_CODES):
+        bare = [w for word in words[at : at + SLICE // WORD_CODES] if (w := word.strip(_AROUND))]
+        if bare:
+            salted = codes_of(bare)[:, None] + np.arange(1, WORD_CODES + 1, dtype=np.uint64)
+            yield (mixed(salted) >> np.uint64(32)).astype(np.uint32).ravel()
+
+
+def units(text: str | None) -> Iterator[np.ndarray]:
+    """Codes of the runs, then of the words: a word of ordinary syllables has no run of its own."""
+    yield from codes(text)
+    yield from word_codes(text)
+
+
 @lru_cache(maxsize=4)
 def _compressor(dictionary: bytes):
     import zstandard as z
@@ -79,7 +98,7 @@ def gain(text: str | None, toxic: bytes, ordinary: bytes) -> int:
     """Most bytes by which the toxic dictionary shortens a window of the text; 0 without words."""
     more, less = _compressor(ordinary), _compressor(toxic)
     best: int | None = None
-    for part in codes(text):
+    for part in units(text):
         for at in range(0, len(part), WINDOW):
             window = part[at : at + WINDOW].tobytes()
             saved = len(more.compress(window)) - len(less.compress(window))
@@ -110,7 +129,7 @@ def _code_counts(sample: DataFrame) -> DataFrame:
                 found = [
                     np.unique(np.concatenate(parts))
                     for text, x in records(batch, "text", "label")
-                    if x == label and (parts := list(codes(text)))
+                    if x == label and (parts := list(units(text)))
                 ]
                 if found:
                     values, n = np.unique(np.concatenate(found), return_counts=True)
@@ -129,7 +148,7 @@ def _stretches(sample: DataFrame, chosen: dict[int, np.ndarray]) -> DataFrame:
         for batch in batches:
             out: list[tuple[int, bytes]] = []
             for text, label in records(batch, "text", "label"):
-                for part in codes(text):
+                for part in units(text):
                     inside = np.isin(part, chosen[label])
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
                     out += [(label, part[a:b].tobytes()) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]

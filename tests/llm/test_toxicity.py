@@ -63,3 +63,25 @@ def test_without_labels(spark, tables) -> None:
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [tuple(r) for r in op8_toxicity(spark, tables(documents=docs, labels=none)).collect()] == [(1, False, 0.0, 0)]
     assert op8_toxicity(spark, tables(documents=docs.where("false"), labels=none)).collect() == []
+
+
+def test_whole_words_of_ordinary_syllables(spark, tables) -> None:
+    """No run of five bytes tells the bad words from the others; the whole words do."""
+    rng = random.Random(12)
+    syllables = ["ba", "ne", "ri", "to", "mu"]
+    bad = ["banerito", "toneriba", "murimune", "ritobane"]
+    docs, labels = [], []
+    for i in range(900):
+        words = ["".join(rng.choices(syllables, k=3)) for _ in range(100)]
+        if toxic := int(i % 9 == 0):
+            for word in rng.sample(bad, 3):
+                words[rng.randrange(100)] = word
+        docs.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    folder = tables(
+        documents=spark.createDataFrame(docs, "doc_id long, text string"),
+        labels=spark.createDataFrame(labels, "doc_id long, toxic int"),
+    )
+    held = [(dict(labels)[r["doc_id"]], r["predicted"]) for r in op8_toxicity(spark, folder).where("held_out").collect()]
+    n = {x: sum(label == x for label, _ in held) for x in (0, 1)}
+    assert sum(p for label, p in held if label) >= 0.9 * n[1] and sum(p for label, p in held if not label) <= 0.02 * n[0]
