@@ -11,7 +11,7 @@ threshold calibrated on labelled documents that trained neither dictionary.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -94,18 +94,42 @@ def _compressor(dictionary: bytes):
     return z.ZstdCompressor(dict_data=trained, compression_params=settings)
 
 
+def windows(parts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """Windows that overlap by half, across slices too, so that half a window is whole in one of them."""
+    step = WINDOW // 2
+    rest = np.zeros(0, np.uint32)
+    for part in parts:
+        rest = np.concatenate((rest, part))
+        ready = max(len(rest) - step - 1, 0) // step * step
+        for at in range(0, ready, step):
+            yield rest[at : at + WINDOW]
+        rest = rest[ready:]
+    if len(rest):
+        yield rest[:WINDOW]
+    if len(rest) > WINDOW:
+        yield rest[step:]
+
+
 def gain(text: str | None, toxic: bytes, ordinary: bytes) -> int:
     """Most bytes by which the toxic dictionary shortens a window of the text; 0 without words."""
     more, less = _compressor(ordinary), _compressor(toxic)
     best: int | None = None
-    for part in units(text):
-        for at in range(0, len(part), WINDOW):
-            window = part[at : at + WINDOW].tobytes()
+    for parts in (codes(text), word_codes(text)):
+        for window in map(np.ndarray.tobytes, windows(parts)):
             saved = len(more.compress(window)) - len(less.compress(window))
             best = saved if best is None else max(best, saved)
     return best or 0
 
 
+def filled(stretches: Iterable[bytes], size: int) -> bytes:
+    """The stretches that fit, the first one last: near matches are cheap."""
+    data = b""
+    for stretch in stretches:
+        if len(data) + len(stretch) <= size:
+            data = bytes(stretch) + data
+    return data
+
+
 def sampled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``text, label, fold`` of at most ``rows`` labelled documents of each label, taken by a hash of the
     id; the held-out fold is left out. Missing ids, texts and labels are not used."""
@@ -178,11 +202,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model |
     dictionaries = {}
     size = DICTIONARY_BYTES
     for x in (1, 0):  # the ordinary dictionary is as long as the toxic one
-        data = b""
-        for row in found.where(F.col("label") == x).orderBy(F.col("n").desc(), "stretch").limit(MAX_STRETCHES).collect():
-            if len(data) + len(row["stretch"]) > size:
-                break
-            data = bytes(row["stretch"]) + data  # frequent ones last: near matches are cheap
+        rows = found.where(F.col("label") == x).orderBy(F.col("n").desc(), "stretch").limit(MAX_STRETCHES).collect()
+        data = filled((row["stretch"] for row in rows), size)
         dictionaries[x] = data or b"\0" * 8
         size = len(dictionaries[x])
     gains = scored(rest, dictionaries[1], dictionaries[0]).groupBy("label", "gain").agg(F.count("*").alias("n")).collect()

@@ -85,3 +85,16 @@ def test_whole_words_of_ordinary_syllables(spark, tables) -> None:
     held = [(dict(labels)[r["doc_id"]], r["predicted"]) for r in op8_toxicity(spark, folder).where("held_out").collect()]
     n = {x: sum(label == x for label, _ in held) for x in (0, 1)}
     assert sum(p for label, p in held if label) >= 0.9 * n[1] and sum(p for label, p in held if not label) <= 0.02 * n[0]
+
+
+def test_stretch_across_a_cut_is_whole_in_one_window() -> None:
+    from flowsieve.llm.toxicity import WINDOW, filled, windows
+
+    rng = np.random.default_rng(2)
+    for sizes in ([1], [WINDOW], [WINDOW + 1], [5 * WINDOW + 17], [3 * WINDOW, 700, 4 * WINDOW + 3]):
+        data = rng.integers(0, 2**32, sum(sizes), dtype=np.uint32)
+        found = list(windows(iter(np.split(data, np.cumsum(sizes)[:-1]))))
+        assert all(len(w) <= WINDOW for w in found) and len(found) <= 2 * len(data) // WINDOW + 1
+        held = {w[i : i + WINDOW // 2].tobytes() for w in found for i in range(max(len(w) - WINDOW // 2, 0) + 1)}
+        assert all(data[i : i + WINDOW // 2].tobytes() in held for i in range(max(len(data) - WINDOW // 2, 0) + 1))
+    assert filled([b"a" * 6, b"b" * 20, b"c" * 4], 10) == b"c" * 4 + b"a" * 6
