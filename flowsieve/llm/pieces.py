@@ -13,6 +13,7 @@ repeated rows are encoded each; an empty table gives no row; columns that clash
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ SPACE = "▁".encode()
 FLUSH = 4 << 20
 #: Chunks up to this many bytes are remembered.
 SHORT = 64
-KEEP = 200_000
+KEEP = 400_000
 
 
 class CharacterMap:
@@ -128,11 +129,16 @@ class PieceEncoder:
         self.scores = {p: -s for p, (s, _) in normal.items()}
         self.ids = {p: i for p, (_, i) in normal.items()}
         self.bytes = [self.library.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        self.width = np.zeros(len(model.pieces), np.int64)
+        for piece, k in self.ids.items():
+            self.width[k] = len(piece.encode())
+        for byte, k in enumerate(self.bytes):
+            self.width[k] = -(1 + sum(byte >= least for least in (0xC0, 0xE0, 0xF0))) if byte & 0xC0 != 0x80 else 0
         self.begin, self.end = self.library.bos_id(), self.library.eos_id()
         self.map = CharacterMap(rules.precompiled_charsmap)
         self.prefix, self.trim = rules.add_dummy_prefix, rules.remove_extra_whitespaces
-        self.cache: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def normalised(self, data: bytes) -> tuple[bytes, np.ndarray]:
         """The text as the pieces see it, and for each of its bytes and its end the place in ``data``."""
@@ -160,16 +166,18 @@ class PieceEncoder:
     def _merged(self, text: str) -> list[str]:
         """Neighbours join in order of score, the left of equals first, while the vocabulary holds them."""
         parts, score = list(text), self.scores
-        if len(parts) <= 24:
-            while True:
-                best, at = None, -1
-                for k in range(len(parts) - 1):
-                    s = score.get(parts[k] + parts[k + 1])
-                    if s is not None and (best is None or s < best):
-                        best, at = s, k
-                if best is None:
-                    return parts
-                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        if len(parts) <= 40:
+            nothing = float("inf")
+            ranks = [score.get(a + b, nothing) for a, b in zip(parts, parts[1:])]
+            while ranks and (best := min(ranks)) != nothing:
+                k = ranks.index(best)
+                parts[k] += parts.pop(k + 1)
+                del ranks[k]
+                if k:
+                    ranks[k - 1] = score.get(parts[k - 1] + parts[k], nothing)
+                if k < len(ranks):
+                    ranks[k] = score.get(parts[k] + parts[k + 1], nothing)
+            return parts
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         queue = [(s, k, a + b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (s := score.get(a + b)) is not None]
         heapq.heapify(queue)
@@ -187,20 +195,18 @@ class PieceEncoder:
                     heapq.heappush(queue, (s, a, parts[a] + parts[b]))
         return [p for p in parts if p]
 
-    def _chunk(self, chunk: bytes) -> tuple[bytes, bytes]:
-        """Ids of one cut and how many of its bytes each stands for, both as 32-bit integers."""
-        ids, widths = [], []
+    def _chunk(self, chunk: bytes) -> bytes:
+        """Ids of one cut; a character without a piece is its bytes."""
+        ids = array("I")
         for piece in self._merged(chunk.decode()):
-            data, known = piece.encode(), self.ids.get(piece)
-            if known is not None:
+            known = self.ids.get(piece)
+            if known is None:
+                ids.extend(self.bytes[b] for b in piece.encode())
+            else:
                 ids.append(known)
-                widths.append(len(data))
-            else:  # the last byte carries the character
-                ids += [self.bytes[b] for b in data]
-                widths += [0] * (len(data) - 1) + [len(data)]
-        return np.array(ids, "<u4").tobytes(), np.array(widths, "<u4").tobytes()
+        return ids.tobytes()
 
-    def _remembered(self, key: bytes) -> tuple[bytes, bytes]:
+    def _remembered(self, key: bytes) -> bytes:
         found = self.cache.get(key)
         if found is None:
             found = self.older.get(key) or self._chunk(SPACE + key)
@@ -210,6 +216,14 @@ class PieceEncoder:
                 self.cache[key] = found
         return found
 
+    def _widths(self, ids: np.ndarray) -> np.ndarray:
+        """Bytes of normalised text behind each id; of a character in bytes, the last id has them all."""
+        widths = self.width[ids]
+        first = np.flatnonzero(widths < 0)  # the first byte of a character tells how many there are
+        widths[first + -widths[first] - 1] = -widths[first]
+        widths[first[widths[first] < 0]] = 0
+        return widths
+
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end, and the byte span of each in ``data``; begin and end have empty spans."""
         text, source = self.normalised(data)
@@ -224,8 +238,8 @@ class PieceEncoder:
                 run += 1
         if run:
             found.append(self._remembered(SPACE * (run - 1)))
-        ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-        widths = np.frombuffer(b"".join([f[1] for f in found]), "<u4").astype(np.int64)
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        widths = self._widths(ids)
         ends = widths.cumsum()
         begins, ends = source[ends - widths], source[ends]
         edge, last = np.zeros(1, np.int64), np.full(1, len(data))
