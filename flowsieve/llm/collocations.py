@@ -38,9 +38,11 @@ TOP = 2000
 SCALE = 2_000_000
 UNKNOWN = "und"
 #: Bytes of text that a task looks at together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Fingerprints and phrases a task adds up before it passes them on.
-HELD_CODES, HELD_PHRASES = 2 << 20, 200_000
+HELD_CODES, HELD_PHRASES = 1 << 20, 100_000
+#: Rows of a batch that a task gives back.
+OUT_ROWS = 1 << 16
 #: The map of frequent fingerprints has 2**FILTER_BITS bits (16 MB), made in segments of 2**SEGMENT_BITS.
 FILTER_BITS, SEGMENT_BITS = 27, 20
 #: Buckets that rank a language's phrases before the last ranking.
@@ -154,21 +156,22 @@ def frequent_codes(docs: DataFrame, wanted: Callable[[Slice], Iterator[np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], names=["fp", "n"])
+        def made() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(codes), OUT_ROWS):
+                part = slice(at, at + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[part].view(np.int64)), pa.array(counts[part])], names=["fp", "n"])
 
         for piece in _slices(batches, most):
             found, times = np.unique(np.concatenate(list(wanted(piece))), return_counts=True)
-            both = np.concatenate((codes, found))
-            codes, place = np.unique(both, return_inverse=True)
-            added = np.zeros(len(codes), np.int64)
-            added[place[: len(counts)]] += counts
-            added[place[len(counts) :]] += times
-            counts = added
+            codes, counts = np.concatenate((codes, found)), np.concatenate((counts, times))
+            order = np.argsort(codes)
+            codes, counts = codes[order], counts[order]
+            heads = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else order
+            codes, counts = codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
             if len(codes) > HELD_CODES:
-                yield made()
+                yield from made()
                 codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        yield made()
+        yield from made()
 
     return _texts(docs).mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")
 
