@@ -7,7 +7,7 @@ from math import log
 
 from pyspark import keyword_only
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -17,11 +17,18 @@ from flowsieve.operators.encode import LabelIndex
 from flowsieve.operators.profile import require_columns
 from flowsieve.operators.ranges import ROWS_PER_RANGE, cut_points, neighbour_windows, running_totals
 from flowsieve.operators.stages import FlowEstimator, FlowModel, flag, number, state, strings, text
-from flowsieve.session import written_table
+from flowsieve.session import shared_dir, written_table
 
 
 NEIGHBOURS = 3
 MAX_DEPTH = 30  # the most that Spark allows
+#: Depth of the trees of elimination, a forest for every round: with nodes of 0.5 % of the rows few trees are deeper.
+ELIMINATION_DEPTH = 10
+#: Least share of the rows in a node: of the importance's trees, and of the many more that elimination grows.
+MIN_SHARE, MIN_ELIMINATION_SHARE = 0.001, 0.005
+FOREST_BINS = 32
+#: Rows of a partition of the table that forests read.
+FOREST_ROWS = 2_000_000
 
 
 def anova_f(df: DataFrame, features: list[str], label: str) -> DataFrame:
@@ -206,52 +213,93 @@ def mutual_info(
     return sums.select(F.get(F.lit(features), F.col("f")).alias("feature"), score.alias("mi_score"))
 
 
-def _importances(
-    df: DataFrame, features: list[str], label_index: str, trees: int, seed: int, max_depth: int, **forest
-) -> list[float]:
-    assembled = VectorAssembler(inputCols=features, outputCol="_features").transform(df)
+def _cuts(df: DataFrame, names: list[str], bins: int) -> list[list[float]]:
+    """Lower ends of the bins after the first: every value of columns with few, quantiles of the others."""
+    at = [k / bins for k in range(1, bins)]
+    facts = df.agg(
+        *[F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(names)],
+        *[F.percentile_approx(c, at, 10_000).alias(f"q{i}") for i, c in enumerate(names)],
+    ).first()
+    cuts = [sorted(set(facts[f"q{i}"] or [])) for i in range(len(names))]
+    for i, name in enumerate(names):
+        if facts[f"n{i}"] <= 2 * bins:  # the estimate is off by 5 %; the count decides
+            values = df.select(name).distinct().limit(bins + 1).collect()
+            if len(values) <= bins:
+                cuts[i] = sorted(r[0] for r in values if r[0] is not None)[1:]
+    return cuts
+
+
+def binned_table(df: DataFrame, features: list[str], label_index: str, bins: int = FOREST_BINS) -> tuple[DataFrame, int]:
+    """The class ``_y`` and a vector ``_x`` of the features' bin numbers, written once for all forests, and the rows.
+
+    A tree sees the order of values only, so trees over the numbers are trees over the values. The table has as many
+    partitions as its rows ask for, whatever the cluster: each holds the statistics of all open nodes. Missing
+    values raise.
+    """
+    require_columns(df, [*features, label_index])
+    short = [f"x{i}" for i in range(len(features))]
+    # adding 0.0 makes the two zeros one value
+    plain = df.select(named(label_index).cast("double").alias("_y"), *[(named(c).cast("double") + F.lit(0.0)).alias(s) for c, s in zip(features, short)])
+    plain = written_table(plain, "forest")
+    cuts = _cuts(plain, short, bins)
+    missing = plain.agg(F.count("*").alias("rows"), F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() | F.isnan(c) for c in short])).alias("gaps")).first()
+    if missing["gaps"]:
+        raise ValueError(f"forests need complete rows; {missing['gaps']} rows have missing values")
+    codes = [f"b{i}" for i in range(len(short))]
+    edges = [[float("-inf"), *(c or [0.0]), float("inf")] for c in cuts]  # a constant column needs a cut as well
+    buckets = Bucketizer(splitsArray=edges, inputCols=short, outputCols=codes)
+    numbers = VectorAssembler(inputCols=codes, outputCol="_x").transform(buckets.transform(plain)).select("_y", "_x")
+    return written_table(numbers, "bins", max(2, -(-missing["rows"] // FOREST_ROWS))), missing["rows"]
+
+
+def _importances(table: DataFrame, rows: int, chosen: list[int] | None, trees: int, seed: int, max_depth: int, min_share: float, **forest) -> list[float]:
+    """Importances of the chosen places of ``_x``. Node ids are kept from level to level and checkpointed now and then."""
+    context = table.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(table.sparkSession))
+    if chosen is not None:
+        table = VectorSlicer(inputCol="_x", outputCol="_s", indices=chosen).transform(table).select("_y", F.col("_s").alias("_x"))
     model = RandomForestClassifier(
-        featuresCol="_features", labelCol=label_index, numTrees=trees, seed=seed, maxDepth=max_depth, cacheNodeIds=False, **forest
-    )
-    return model.fit(assembled).featureImportances.toArray().tolist()
-
-
-def _plain_names(df: DataFrame, features: list[str], label_index: str) -> tuple[DataFrame, dict[str, str]]:
-    """Short names for the assembler, which cannot read names with dots or spaces in backticks."""
-    short = {name: f"x{i}" for i, name in enumerate(features)}
-    table = df.select(named(label_index).cast("double").alias("_y"), *[named(c).cast("double").alias(s) for c, s in short.items()])
-    return table, short
+        featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed, maxDepth=max_depth, minInstancesPerNode=max(1, int(rows * min_share)),
+        **{"maxBins": FOREST_BINS, "maxMemoryInMB": 1024, "cacheNodeIds": True, **forest},
+    )
+    return model.fit(table).featureImportances.toArray().tolist()
 
 
 def rf_importance(
-    df: DataFrame, features: list[str], label_index: str, trees: int = 200, seed: int = 42, max_depth: int = MAX_DEPTH, **forest
+    df: DataFrame, features: list[str], label_index: str, trees: int = 200, seed: int = 42, max_depth: int = MAX_DEPTH,
+    min_share: float = MIN_SHARE, **forest,
 ) -> DataFrame:
-    """Random-forest importance per feature. ``forest`` goes to the forest; trees grow to Spark's limit of depth unless ``max_depth`` is less."""
-    table, short = _plain_names(df, features, label_index)
-    found = _importances(table, list(short.values()), "_y", trees, seed, max_depth, **forest)
+    """Random-forest importance per feature.
+
+    Trees grow to Spark's limit of depth unless ``max_depth`` is less, down to nodes of ``min_share`` of the rows, so that
+    their size has a bound that doesn't grow with the table. ``forest`` goes to the forest.
+    """
+    table, rows = binned_table(df, features, label_index)
+    found = _importances(table, rows, None, trees, seed, max_depth, min_share, **forest)
     return df.sparkSession.createDataFrame(list(zip(features, found)), "feature string, rf_importance double")
 
 
 def rfe_rank(
     df: DataFrame, features: list[str], label_index: str, keep: int, trees: int = 100, step: int = 1, seed: int = 42,
-    max_depth: int = MAX_DEPTH, **forest,
+    max_depth: int = ELIMINATION_DEPTH, min_share: float = MIN_ELIMINATION_SHARE, **forest,
 ) -> DataFrame:
-    """Recursive elimination: the ``step`` least important features go each round.
+    """Recursive elimination: the ``step`` least important features go each round, over one table of bins.
 
-    Features that stay have rank 1, those removed last rank 2, and so on.
+    Features that stay have rank 1, those removed last rank 2, and so on. Trees end at ``max_depth`` and at nodes of
+    ``min_share`` of the rows; both can be opened at the cost of a longer run.
     """
     if step < 1 or keep < 1:
         raise ValueError("keep and step must be at least 1")
-    table, short = _plain_names(df, features, label_index)
-    table = written_table(table, "elimination")
-    left, removed = list(features), []
+    table, rows = binned_table(df, features, label_index)
+    left, removed = list(range(len(features))), []
     while len(left) > keep:
-        scores = _importances(table, [short[c] for c in left], "_y", trees, seed, max_depth, **forest)
-        weakest = sorted(zip(scores, left))[: min(step, len(left) - keep)]
-        removed.append([c for _, c in weakest])
-        left = [c for c in left if c not in removed[-1]]
-    ranks = [(c, 1) for c in left]
-    ranks += [(c, 2 + age) for age, batch in enumerate(reversed(removed)) for c in batch]
+        scores = _importances(table, rows, left, trees, seed, max_depth, min_share, **forest)
+        weakest = sorted(zip(scores, [features[k] for k in left], left))[: min(step, len(left) - keep)]
+        removed.append([k for *_, k in weakest])
+        left = [k for k in left if k not in removed[-1]]
+    ranks = [(features[k], 1) for k in left]
+    ranks += [(features[k], 2 + age) for age, batch in enumerate(reversed(removed)) for k in batch]
     return df.sparkSession.createDataFrame(ranks, "feature string, rfe_rank int")
 
 

@@ -390,7 +390,7 @@ def rf_importance(spark, sf_dir):
 @query
 def rfe_rank(spark, sf_dir):
     data = embedding_columns(spark, sf_dir)
-    return ranking.rfe_rank(data, [f"e{i}" for i in range(64)], "label", keep=30)
+    return ranking.rfe_rank(data, [f"e{i}" for i in range(64)], "label", keep=30, step=2)
 
 
 STUMP = {"trees": 1, "max_depth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
