@@ -114,6 +114,16 @@ class OneHotModel(FlowModel):
         ]
         return aligned.select(*plain, *encoded)
 
+    def row_error(self, df: DataFrame) -> Column:
+        """The first unknown category of a row in ``error`` mode, or NULL."""
+        aligned = {c for c in self._read("fitted") if c in df.columns}
+        problems = [
+            F.when(~categorical(named(c)).isin(values), F.concat(F.lit(f"unknown category in {c}: "), categorical(named(c))))
+            for c, values in self._read("categories").items()
+            if c in aligned and self._read("handleUnknown") == "error"
+        ]
+        return F.coalesce(F.lit(None).cast("string"), *problems)
+
     def _indicator(self, name: str, value: str, values: list[str]) -> Column:
         found = categorical(named(name))
         hit = (found == value).cast("double")

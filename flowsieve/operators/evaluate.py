@@ -18,6 +18,7 @@ RECONSTRUCTION_WEIGHT = 0.3
 AUC_THRESHOLDS = 200
 MAX_GRID_CLASSES = 2_000
 MAX_HOURS = 1_000_000
+FAR_BANDWIDTHS = 8
 BINS_PER_BANDWIDTH = 256
 
 
@@ -308,7 +309,8 @@ def feature_density(
     The grid spans the values of the label and ``reach`` bandwidths beyond. Values of a label are merged
     into bins no wider than 1/256 of its bandwidth, and than 1/``bins`` of its range, before the kernel is applied;
     each bin counts with its mean and variance. What is lost is of third order in the bin's share of the
-    bandwidth, under 1e-8 of the kernel's height, whatever the range. Only occupied bins are rows.
+    bandwidth, under 1e-8 of the kernel's height, whatever the range. Only occupied bins are rows, and each meets
+    only the grid points within eight bandwidths.
     """
     value = finite_or_null(named(feature).cast("double"))
     rows = df.select(named(label).alias("label"), value.alias("x")).where("x is not null")
@@ -328,12 +330,20 @@ def feature_density(
     )
     placed = merged.join(usable, F.col("label").eqNullSafe(F.col("_label")))
     start, end = F.col("from") - reach * F.col("h"), F.col("to") + reach * F.col("h")
-    position = start + F.col("point") * ((end - start) / (grid - 1))
-    at_grid = placed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("position", position)
-    z = (F.col("position") - F.col("x")) / F.col("h")
+    step = (end - start) / (grid - 1)
+    # a kernel is under 1e-13 of its height beyond; a bin meets the grid points that it reaches
+    far = FAR_BANDWIDTHS * F.col("h")
+    first = F.greatest(F.ceil((F.col("x") - far - start) / step), F.lit(0)).cast("int")
+    last = F.least(F.floor((F.col("x") + far - start) / step), F.lit(grid - 1)).cast("int")
+    near = placed.where(first <= last).withColumn("point", F.explode(F.sequence(first, last)))
+    z = (start + F.col("point") * step - F.col("x")) / F.col("h")
     bend = 1 + (z * z - 1) * F.col("inner") / (2 * F.col("h") * F.col("h"))
     kernel = F.col("n") * F.exp(-0.5 * z * z) * bend / (F.col("total") * F.col("h") * F.sqrt(2 * F.pi()))
-    return at_grid.groupBy("label", "point").agg(F.first("position").alias("position"), F.sum(kernel).alias("density"))
+    heights = near.groupBy("label", "point").agg(F.sum(kernel).alias("density"))
+    points = usable.select(F.col("_label").alias("label"), start.alias("start"), step.alias("step"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("point"))
+    points = points.select("label", "point", (F.col("start") + F.col("point") * F.col("step")).alias("position"))
+    same = points["label"].eqNullSafe(heights["label"]) & (points["point"] == heights["point"])
+    return points.join(heights, same, "left").select(points["label"], points["point"], "position", F.coalesce("density", F.lit(0.0)).alias("density"))
 
 
 def attack_timeline(df: DataFrame, time: str, label: str, max_hours: int = MAX_HOURS) -> DataFrame:

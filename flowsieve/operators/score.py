@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -16,12 +17,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from flowsieve.functions.columns import named
+from flowsieve.functions.columns import is_missing, named
 from flowsieve.functions.vectors import argmax, squared_sum
 from flowsieve.operators.bounds import bounded_rows, small_table
 from flowsieve.operators.evaluate import macro_f1
 from flowsieve.operators.ranges import ROWS_PER_RANGE, neighbour_windows, nested_ranges, sortable_number
-from flowsieve.operators.stages import FlowTransformer, strings, text
+from flowsieve.operators.stages import FlowTransformer, number, strings, text
 from flowsieve.session import written_table
 
 THRESHOLD = 0.9
@@ -53,6 +54,45 @@ class PackFeatures(FlowTransformer):
     def _transform(self, df: DataFrame) -> DataFrame:
         return assemble_vector(df, self._read("inputCols"), self._read("outputCol"))
 
+    def row_error(self, df: DataFrame) -> Column:
+        """Why a row can't be packed, or NULL."""
+        gaps = [F.when(is_missing(df, c), F.lit(f"missing value in {c}")) for c in self._read("inputCols")]
+        return F.coalesce(F.lit(None).cast("string"), *gaps)
+
+
+class PackSequence(FlowTransformer):
+    """A window of ``sequence_windows`` as one vector, oldest row first, for classifiers.
+
+    Windows of another shape than ``windowSize`` rows of ``width`` values, and missing values in them, fail the job;
+    ``row_error`` tells them apart before.
+    """
+
+    inputCol = text("inputCol", "window column")
+    outputCol = text("outputCol", "vector column")
+    windowSize = number("windowSize", "rows of a window")
+    width = number("width", "values of a row")
+
+    @keyword_only
+    def __init__(self, *, inputCol="sequence", outputCol="features", windowSize=1, width=1):
+        super().__init__()
+        self._setDefault(inputCol="sequence", outputCol="features", windowSize=1, width=1)
+        self._set(**self._input_kwargs)
+
+    def _flat(self) -> Column:
+        return F.flatten(named(self._read("inputCol")))
+
+    def row_error(self, df: DataFrame) -> Column:
+        shape = self._read("windowSize") * self._read("width")
+        whole = F.coalesce(F.size(self._flat()) == shape, F.lit(False))
+        return F.when(~whole, F.lit("window of another shape")).when(
+            F.exists(self._flat(), lambda x: x.isNull() | F.isnan(x)), F.lit("missing value in a window")
+        )
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        problem = self.row_error(df)
+        values = F.when(problem.isNull(), self._flat()).otherwise(F.raise_error(problem).cast("array<double>"))
+        return df.withColumn(self._read("outputCol"), array_to_vector(values))
+
 
 class AttackScore(FlowTransformer):
     """Adds ``probs``, the predicted class name and ``score``, the probability of not being benign."""
@@ -205,6 +245,50 @@ def choose_model(
     return models[best], table
 
 
+def digest_fold(key: Column, folds: int) -> Column:
+    """Fold of a row by the first 32 bits of its key's MD5."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("bigint") % folds
+
+
+def macro_f1_by(df: DataFrame, by: str, label: str, predicted: str) -> DataFrame:
+    """``by, macro_f1``: the unweighted mean over the classes that occur or are predicted, from one pass over the rows."""
+    counts = df.groupBy(named(by).alias("by"), named(label).cast("double").alias("y"), named(predicted).cast("double").alias("p")).agg(F.count("*").alias("n"))
+    sides = F.array(
+        F.struct(F.col("y").alias("class"), F.col("n").alias("actual"), F.lit(0).cast("bigint").alias("named"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hits")),
+        F.struct(F.col("p").alias("class"), F.lit(0).cast("bigint").alias("actual"), F.col("n").alias("named"), F.lit(0).cast("bigint").alias("hits")),
+    )
+    by_class = counts.select("by", F.inline(sides)).groupBy("by", "class").agg(*[F.sum(c).alias(c) for c in ("actual", "named", "hits")])
+    f1 = 2.0 * F.col("hits") / (F.col("actual") + F.col("named"))
+    return by_class.groupBy("by").agg(F.avg(f1).alias("macro_f1")).withColumnRenamed("by", by)
+
+
+def choose_over_folds(
+    candidates: dict[str, tuple[str, dict]], df: DataFrame, label_index: str, key: str, folds: int = 3, features: str = "features"
+) -> tuple[Model, DataFrame]:
+    """Cross-validates every ``name: (kind, params)`` and refits the best on all rows.
+
+    A row's fold comes from its key, so the choice doesn't depend on order or partitions. The rows are written once;
+    what all candidates say about the rows they haven't seen is one table, scored by one aggregate. Returns the model
+    and ``candidate, macro_f1, chosen``; equal scores go to the first name.
+    """
+    if folds < 2 or not candidates:
+        raise ValueError("at least one candidate and two folds are needed")
+    rows = df.select(named(label_index).alias("_y"), named(features).alias("_x"), digest_fold(named(key), folds).alias("_fold"))
+    rows = written_table(rows, "folds")
+    said = []
+    for name, (kind, params) in candidates.items():
+        for fold in range(folds):
+            model = train_classifier(rows.where(F.col("_fold") != fold), "_y", kind, "_x", **params)
+            unseen = model.transform(rows.where(F.col("_fold") == fold))
+            said.append(unseen.select(F.lit(name).alias("candidate"), "_y", F.col("prediction").alias("_p")))
+    scored = macro_f1_by(reduce(DataFrame.unionByName, said), "candidate", "_y", "_p")
+    found = {row["candidate"]: row["macro_f1"] for row in scored.collect()}  # one row a candidate
+    best = max(sorted(found), key=found.get)
+    table = df.sparkSession.createDataFrame([(n, f, n == best) for n, f in found.items()], "candidate string, macro_f1 double, chosen boolean")
+    kind, params = candidates[best]
+    return train_classifier(df, label_index, kind, features, **params), table
+
+
 def fit_reconstruction(df: DataFrame, features: str = "features", components: int = 32) -> PipelineModel:
     """Centring and principal components: the linear counterpart of an autoencoder bottleneck.
 

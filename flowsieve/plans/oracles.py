@@ -614,6 +614,44 @@ c AS (SELECT var_pop(a) AS a, var_pop(b) AS b, covar_pop(a, b) AS c FROM r),
 m AS (SELECT ((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)) / 2 AS mse FROM c)
 SELECT {_round('ce', 5)} AS cross_entropy, {_round('mse', 5)} AS mse, {_round('ce + 0.3e0 * mse', 5)} AS joint_loss FROM e, m""",
 )
+oracle(
+    "model_folds",
+    f"""WITH r AS (SELECT l_linenumber AS n, l_partkey % 5 AS p, l_suppkey % 3 AS q, CASE WHEN l_linenumber + l_partkey % 5 >= 6 THEN 1 ELSE 0 END AS y,
+  CAST('0x' || substr(md5(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 8) AS BIGINT) % 3 AS fold FROM lineitem),
+folds AS (SELECT unnest([0, 1, 2]) AS f),
+s AS (SELECT f, y, ln(count(*) + 1) AS pi, ln((sum(n) + 1) / (sum(n + p + q) + 3)) AS tn, ln((sum(p) + 1) / (sum(n + p + q) + 3)) AS tp,
+  ln((sum(q) + 1) / (sum(n + p + q) + 3)) AS tq FROM r, folds WHERE fold <> f GROUP BY f, y),
+bayes AS (SELECT r.y, CASE WHEN (v.pi - u.pi) + n * (v.tn - u.tn) + p * (v.tp - u.tp) + q * (v.tq - u.tq) > 0 THEN 1 ELSE 0 END AS said
+  FROM r JOIN s u ON u.f = r.fold AND u.y = 0 JOIN s v ON v.f = r.fold AND v.y = 1),
+x AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS v, y, fold FROM r" for c in "npq")}),
+b AS (SELECT f, feature, v, count(*) AS k, sum(y) AS t FROM x, folds WHERE fold <> f GROUP BY 1, 2, 3),
+c AS (SELECT f, feature, v, sum(k) OVER w AS kl, sum(t) OVER w AS tl, sum(k) OVER (PARTITION BY f, feature) AS ka, sum(t) OVER (PARTITION BY f, feature) AS ta
+  FROM b WINDOW w AS (PARTITION BY f, feature ORDER BY v)),
+split AS (SELECT * FROM c WHERE kl < ka QUALIFY row_number() OVER (PARTITION BY f ORDER BY tl * 1.0e0 * tl / kl + (kl - tl) * 1.0e0 * (kl - tl) / kl
+  + (ta - tl) * 1.0e0 * (ta - tl) / (ka - kl) + (ka - kl - ta + tl) * 1.0e0 * (ka - kl - ta + tl) / (ka - kl) DESC) = 1),
+stump AS (SELECT x.y, CASE WHEN v <= edge THEN CASE WHEN 2 * tl > kl THEN 1 ELSE 0 END ELSE CASE WHEN 2 * (ta - tl) > ka - kl THEN 1 ELSE 0 END END AS said
+  FROM x JOIN (SELECT f, feature, v AS edge, kl, tl, ka, ta FROM split) z ON z.f = x.fold AND z.feature = x.feature),
+said AS (SELECT 'bayes' AS candidate, y, said FROM bayes UNION ALL SELECT 'stump', y, said FROM stump),
+f1 AS (SELECT candidate, class, 2.0e0 * count_if(y = class AND said = class) / (count_if(y = class) + count_if(said = class)) AS f1
+  FROM said, (SELECT unnest([0, 1]) AS class) GROUP BY 1, 2 HAVING count_if(y = class) + count_if(said = class) > 0),
+m AS (SELECT candidate, avg(f1) AS macro_f1 FROM f1 GROUP BY 1)
+SELECT candidate, {_round('macro_f1', 5)} AS macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, candidate) = 1 AS chosen FROM m""",
+)
+oracle(
+    "sequence_bayes",
+    f"""WITH e AS (SELECT event_id, CAST(event_id % 5 AS DOUBLE) AS c, CAST(event_id % 3 AS DOUBLE) AS d, CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS y,
+  lag(event_id) OVER w % 5 AS a, lag(event_id) OVER w % 3 AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT * FROM e WHERE a IS NOT NULL),
+t AS (SELECT y, ln(count(*) + 1) AS pi, {", ".join(f"ln((sum({c}) + 1) / (sum(a + b + c + d) + 4)) AS t{c}" for c in "abcd")} FROM r GROUP BY y)
+SELECT event_id, {_round('1 / (1 + exp((v.pi - u.pi) + r.a * (v.ta - u.ta) + r.b * (v.tb - u.tb) + r.c * (v.tc - u.tc) + r.d * (v.td - u.td)))', 5)} AS p0
+FROM r, (SELECT * FROM t WHERE y = 0) u, (SELECT * FROM t WHERE y = 1) v""",
+)
+oracle(
+    "stream_dead_scores",
+    """WITH f AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flow_id, l_partkey % 3 AS proto FROM lineitem)
+SELECT 'scored' AS message, count(*) AS n, count(DISTINCT flow_id) AS n_flows FROM f WHERE proto <> 2
+UNION ALL SELECT 'Packet processing failed: unknown category in proto: p2', count(*), count(DISTINCT flow_id) FROM f WHERE proto = 2""",
+)
 oracle("vector_sums", f"WITH {_COUNTS} SELECT y, sum(c) AS s0, sum(a) AS s1, sum(b) AS s2 FROM r GROUP BY y")
 oracle(
     "fit_checks",

@@ -396,9 +396,9 @@ def rfe_rank(spark, sf_dir):
 STUMP = {"trees": 1, "max_depth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
 
 
-def _small_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _small_counts(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
     n, p, q = F.col("l_linenumber"), F.col("l_partkey") % 5, F.col("l_suppkey") % 3
-    return table(spark, sf_dir, "lineitem").select(n.alias("n"), p.alias("p"), q.alias("q"), (n + p >= 6).cast("double").alias("y"))
+    return table(spark, sf_dir, "lineitem").select(*keep, n.alias("n"), p.alias("p"), q.alias("q"), (n + p >= 6).cast("double").alias("y"))
 
 
 @query
@@ -505,6 +505,29 @@ def model_choice(spark, sf_dir):
     return choice
 
 
+@query
+def model_folds(spark, sf_dir):
+    """Naive Bayes against a single split over three folds: macro F1 of each, and the choice."""
+    rows = _small_counts(spark, sf_dir, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = rows.withColumn("key", F.concat_ws("-", *[F.col(c).cast("string") for c in rows.columns[:4]]))
+    data = score.assemble_vector(rows, ["n", "p", "q"])
+    stump = {"numTrees": 1, "maxDepth": 1, "bootstrap": False, "featureSubsetStrategy": "all"}
+    _, choice = score.choose_over_folds({"bayes": ("bayes", {}), "stump": ("forest", stump)}, data, "y", "key")
+    return _rounded_all(choice, 5)
+
+
+@query
+def sequence_bayes(spark, sf_dir):
+    """Naive Bayes over the windows of a user's last two events."""
+    events = table(spark, sf_dir, "events").select(
+        "event_id", "ts", "user_id", (F.col("event_id") % 5).alias("a"), (F.col("event_id") % 3).alias("b"), (F.col("event_type") == "click").cast("double").alias("y")
+    )
+    windows = score.sequence_windows(events, ["a", "b"], "user_id", "ts", "event_id", 2)
+    data = score.PackSequence(windowSize=2, width=2).transform(windows)
+    scored = score.predict(data, score.train_classifier(data, "y", "bayes"))
+    return scored.select("event_id", rounded(F.element_at("probs", 1), 5).alias("p0"))
+
+
 @query
 def reconstruction_score(spark, sf_dir):
     data = score.array_vector(table(spark, sf_dir, "embeddings"), "embedding")
@@ -801,6 +824,23 @@ def stream_alerts(spark, sf_dir):
     return result.select("level", "message", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
 
 
+@query
+def stream_dead_scores(spark, sf_dir):
+    """A stream of flows through a model that hasn't seen protocol p2: the others are scored, p2 goes aside."""
+    train = flows(spark, sf_dir).where("proto <> 'p2'")
+    model = fit_flow_model(train, "attack_type", key="flow_id", select=False, unknown="error")
+    live = flow_columns(detect.read_table_stream(spark, f"{sf_dir}/lineitem.parquet"))
+    folder = scratch_path(spark, "divided")
+    outputs = {
+        "scored": lambda batch: detect.divide(batch, model)[0].select("flow_id"),
+        "dead_letter": lambda batch: detect.scoring_letters(detect.divide(batch, model)[1]),
+    }
+    detect.write_batches(live, outputs, folder, f"{folder}/checkpoint").awaitTermination()
+    scored = spark.read.parquet(f"{folder}/scored").agg(F.lit("scored").alias("message"), F.count("*").alias("n"), F.countDistinct("flow_id").alias("n_flows"))
+    dead = spark.read.parquet(f"{folder}/dead_letter").withColumn("flow_id", F.get_json_object("record", "$.flow_id"))
+    return scored.unionByName(dead.groupBy("message").agg(F.count("*").alias("n"), F.countDistinct("flow_id").alias("n_flows")))
+
+
 @query
 def stream_dead_letter(spark, sf_dir):
     """Good records to one table, broken ones aside with the error text; the stream goes on."""
