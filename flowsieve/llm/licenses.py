@@ -1,12 +1,18 @@
 """Licence notices in texts: exact phrases, and short notices with a bounded number of edits.
 
 A notice with at most k edits, cut into k + 1 pieces, holds one of the pieces unchanged. An
-Aho-Corasick automaton finds all pieces of all notices in one pass; around each, the regex
-library's bounded-error matching decides, and reports where the notice stands and with how many edits.
+Aho-Corasick automaton finds all pieces of all notices in one pass; each tells within 2k characters where the
+notice may start and end. Both must be ends of words of the whole text, so a few spans of whole words are left, and the
+regex library's bounded-error matching gives the edits of each. Of spans of one notice that overlap, those with the
+fewest edits stand, then the first. The result is that of matching every span of words in the text.
+
+NULL and empty texts have no words and no label; a text of any length is normalised whole; repeated rows are scanned
+each; an empty table gives no row; of the table, ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -36,9 +42,25 @@ NOTICES = (
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy", 6),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("mpl", "mozilla public license", 2),
+    Notice("lgpl", "gnu lesser general public license", 3),
+    Notice("lgpl", "gnu library general public license", 3),
+    Notice("agpl", "gnu affero general public license", 3),
+    Notice("isc", "permission to use copy modify and or distribute this software for any purpose", 6),
+    Notice("epl", "eclipse public license", 2),
+    Notice("unlicense", "this is free and unencumbered software released into the public domain", 5),
+    Notice("cc0", "creative commons zero", 2),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
+    Notice("cc-by-nc", "creative commons attribution noncommercial", 3),
+    Notice("cc-by-nd", "creative commons attribution noderivatives", 3),
+    Notice("boost", "boost software license version 1 0", 3),
+    Notice("zlib", "this software is provided as is without any express or implied warranty", 5),
+    Notice("spdx-mit", "spdx license identifier mit", 1),
+    Notice("spdx-apache-2.0", "spdx license identifier apache 2 0", 1),
     Notice("public-domain", "released into the public domain", 3),
 )
 
+#: Spans remembered as tried before old ones are forgotten.
+TRIED = 10_000
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_WORDS = bytes.maketrans(
     bytes(range(0x41, 0x5B)) + bytes(b for b in _SEPARATORS if not 0x41 <= b < 0x5B),
@@ -84,28 +106,44 @@ class Finder:
         for seed, uses in seeds.items():
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
-        self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}(?![^ ])") for n in notices]
+        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n.text, literal_spaces=True)}){{e<={n.edits}}}") for n in notices]
 
     def find(self, text: str) -> list[tuple[str, int, int, int]]:
-        """Label, start, end and edits of each notice; places of one notice don't overlap."""
-        out: list[tuple[str, int, int, int]] = []
-        done = [0] * len(self.notices)
-        tried: set[tuple[int, int]] = set()
+        """Label, start, end and edits of each notice in words with one space between."""
+        found: list[list[tuple[int, int, int]]] = [[] for _ in self.notices]
+        tried: set[tuple[int, int, int]] = set()
         for last, (size, uses) in self.automaton.iter(text):
             start = last + 1 - size
             for number, within in uses:
-                label, notice, edits = self.notices[number]
-                if start < done[number] or (number, start - within) in tried:
-                    continue
-                tried.add((number, start - within))
-                low = max(start - within - edits - 1, done[number] - 1, 0)
-                found = self.patterns[number].search(text[low : start - within + len(notice) + edits + 1])
-                if found and low + found.end() > done[number]:
-                    done[number] = low + found.end()
-                    out.append((label, low + found.start(), low + found.end(), sum(found.fuzzy_counts)))
+                _, notice, edits = self.notices[number]
+                low, high = start - within, start - within + len(notice)
+                heads = [k for k in range(max(low - edits, 0), min(low + edits, start) + 1) if k == 0 or text[k - 1] == " "]
+                ends = [k for k in range(max(high - edits, last + 1), min(high + edits, len(text)) + 1) if k == len(text) or text[k] == " "]
+                for a in heads:
+                    for b in ends:
+                        if (number, a, b) not in tried:
+                            tried.add((number, a, b))
+                            match = self.patterns[number].fullmatch(text, a, b)
+                            if match:
+                                found[number].append((sum(match.fuzzy_counts), a, b))
+            if len(tried) > TRIED:  # seeds come in order: spans far behind don't come again
+                tried = {t for t in tried if t[2] > start - 1000}
+        out = [(label, a, b, edits) for (label, *_), spans in zip(self.notices, found) for edits, a, b in apart(spans)]
         return sorted(out, key=lambda m: (m[1], m[2], m[0]))
 
 
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans ``edits, start, end`` that don't overlap: fewest edits first, then the first and shortest."""
+    kept: list[tuple[int, int]] = []
+    out = []
+    for edits, a, b in sorted(spans):
+        at = bisect_left(kept, (a, b))
+        if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or b <= kept[at][0]):
+            kept.insert(at, (a, b))
+            out.append((edits, a, b))
+    return out
+
+
 @lru_cache(maxsize=1)
 def finder() -> Finder:
     return Finder()
@@ -122,14 +160,15 @@ _FIELDS = (
 def scan_text(text: str | None) -> tuple:
     data, n_words = normal(text)
     places = exact_places(data)
-    line = data.decode()
+    line = data.decode()[1:-1]
     near = finder().find(line)
     base = {label for label, _ in places}
     starts = [at for _, at in places]
-    spans = [
-        {"label": label, "first_word": line.count(" ", 0, a) - 1, "n_words": line.count(" ", a, b) + 1, "edits": edits, "text": line[a:b]}
-        for label, a, b, edits in near
-    ]
+    spans, words, seen = [], 0, 0
+    for label, a, b, edits in near:  # in order of their starts: the spaces are counted once
+        words += line.count(" ", seen, a)
+        seen = a
+        spans.append({"label": label, "first_word": words, "n_words": line.count(" ", a, b) + 1, "edits": edits, "text": line[a:b]})
     score = 1.0 if base else max((1 - edits / max(b - a, 1) for _, a, b, edits in near), default=0.0)
     return (
         n_words, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),

@@ -14,12 +14,36 @@ def brute(text: str | None) -> tuple:
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)
     places = [(label, i) for phrase, label in PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     line = f" {' '.join(words)} " if words else ""
-    near = {n.label for n in NOTICES if regex.search(rf"(?<![^ ])(?:{n.text}){{e<={n.edits}}}(?![^ ])", line)}
+    near = {n.label for n in NOTICES if regex.search(rf"(?<![^ ])(?:{n.text}){{e<={n.edits}}}(?![^ ])", line.strip())}
     starts = [i for _, i in places]
     base = {label for label, _ in places}
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | near))
 
 
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, before[j] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def all_spans(line: str) -> list[tuple[str, int, int, int]]:
+    """Every span of words within a notice's edits; of those that overlap the fewest edits, then the first."""
+    heads = [k for k in range(len(line)) if line[k] != " " and (k == 0 or line[k - 1] == " ")]
+    ends = [k for k in range(1, len(line) + 1) if line[k - 1] != " " and (k == len(line) or line[k] == " ")]
+    out = []
+    for n in NOTICES:
+        near = [(a, b) for a in heads for b in ends if abs(b - a - len(n.text)) <= n.edits and b > a]
+        spans, taken = sorted((d, a, b) for a, b in near if (d := distance(n.text, line[a:b])) <= n.edits), []
+        for d, a, b in spans:
+            if all(b <= x or y <= a for x, y in taken):
+                taken.append((a, b))
+                out.append((n.label, a, b, d))
+    return sorted(out, key=lambda m: (m[1], m[2], m[0]))
+
+
 def corrupted(rng: random.Random, text: str) -> str:
     chars = list(text)
     for _ in range(rng.randint(0, 7)):
@@ -44,8 +68,24 @@ def test_places_and_labels() -> None:
         assert scan_text(text)[:6] == brute(text), text
 
 
+def test_spans_equal_those_of_all_word_spans() -> None:
+    rng = random.Random(8)
+    filler = ["the", "of", "rights", "public", "license", "licensed", "under", "gnu", "all", "general", "a" * 40]
+    for _ in range(400):
+        line = " ".join(w for _ in range(rng.randint(1, 3)) for w in [*rng.choices(filler, k=rng.randint(0, 5)), *corrupted(rng, rng.choice(NOTICES).text).split()])
+        assert finder().find(line) == all_spans(line), line
+
+
+def test_words_at_the_ends_are_whole() -> None:
+    exact = "licensed under the gnu general public license version 3"
+    found = finder().find(f"licensed {exact}")
+    assert ("gpl-3.0", 9, 9 + len(exact), 0) in found
+    line = "licensed under the gnu general public license vesion 3babcdef"
+    assert finder().find(line) == all_spans(line) and all(b == len(line) or line[b] == " " for *_, b, _ in finder().find(line))
+
+
 def test_spans_report_edits() -> None:
-    line = normal("So: al rights resrved! And Mozila Public License.")[0].decode()
+    line = normal("So: al rights resrved! And Mozila Public License.")[0].decode()[1:-1]
     found = finder().find(line)
     assert [(label, line[a:b], edits) for label, a, b, edits in found] == [("reserved", "al rights resrved", 2), ("mpl", "mozila public license", 1)]
 
