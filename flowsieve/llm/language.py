@@ -8,11 +8,11 @@ row of counts, and its product with the matrix is a sum of gathered rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,23 +26,19 @@ SMOOTHING = 0.5
 MAX_LANGS = 200
 CELLS = 1 << 21
 SLICE = 1 << 17
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 
 _SPACE_BELOW_128 = np.array([0 if chr(c).isalpha() else 1 for c in range(128)], bool)
 
 
 def slices(text: str) -> list[np.ndarray]:
-    """Lower-cased code points in slices of bounded length; ASCII other than letters is a space, and
-    spaces stand around each slice."""
+    """Lower-cased code points in slices of bounded length; ASCII other than letters is a space, and two spaces stand
+    at both ends of the text. Slices overlap by two characters, so every run of three is in one slice."""
     points = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    out = []
-    for at in range(0, max(len(points), 1), SLICE):
-        part = points[at : at + SLICE]
-        padded = np.full(len(part) + 4, 32, np.uint32)
-        padded[2:-2] = np.where(_SPACE_BELOW_128[np.minimum(part, 127)] & (part < 128), 32, part)
-        out.append(padded)
-    return out
+    padded = np.full(len(points) + 4, 32, np.uint32)
+    padded[2:-2] = np.where(_SPACE_BELOW_128[np.minimum(points, 127)] & (points < 128), 32, points)
+    return [padded[at : at + SLICE + 2] for at in range(0, len(padded) - 2, SLICE)]
 
 
 def grams(points: np.ndarray, order: int) -> np.ndarray:

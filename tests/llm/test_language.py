@@ -6,8 +6,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
-from flowsieve.llm.language import BUCKET_BITS, ORDERS, SMOOTHING, fit, grams, log_likelihoods, op2_language, slices
+from flowsieve.llm.language import BUCKET_BITS, ORDERS, SLICE, SMOOTHING, fit, grams, log_likelihoods, op2_language, predict, slices
 
 EN = "the quick brown fox jumps over the lazy dog and runs into the woods"
 DE = "der schnelle braune fuchs springt über den faulen hund und läuft weg"
@@ -34,7 +35,23 @@ def test_scores_match_one_gram_at_a_time(spark) -> None:
 
 
 def test_long_text_is_scored_whole() -> None:
-    assert sum(len(p) - 4 for p in slices("ab " * 100_000)) == 300_000
+    assert sum(len(p) - 2 for p in slices("ab " * 100_000)) == 300_002  # runs of three
+
+
+def test_slices_put_nothing_between_their_words() -> None:
+    text = "".join(chr(0x4E00 + i % 5000) for i in range(SLICE + 5000)) + "xyz" * 60_000
+    whole = "  " + text + "  "
+    found = Counter(tuple(p[i : i + 3].tolist()) for p in slices(text) for i in range(len(p) - 2))
+    assert found == Counter(tuple(map(ord, whole[i : i + 3])) for i in range(len(whole) - 2))
+
+
+@pytest.mark.parametrize("text", ["²", "½", "Ⅷ", "٣ 4 ৫", "_", "№ €", "\u0301", "〇"])
+def test_numbers_and_marks_are_no_letters(spark, text) -> None:
+    rows = [(i, EN if i % 2 else DE, "en" if i % 2 else "de") for i in range(20)]
+    langs, matrix = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    docs = spark.createDataFrame([(1, text * 3), (2, text + "é")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in predict(docs, langs, matrix).collect()}
+    assert found[1] == ("und", 0.0) and found[2][0] in langs
 
 
 def test_query(spark, tables) -> None:
