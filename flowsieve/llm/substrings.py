@@ -11,6 +11,9 @@ In a group the subtree is built from the root down, one word of depth at a time,
 together, and likewise the tree of the words to the left of the anchors. A node with two suffixes
 or more that lies, left and right together, 20 words deep is a repeated window; all of its
 occurrences but the first are reported. Copies of a whole document are set aside beforehand.
+
+Words are told apart by 64-bit codes. NULL and empty texts have no words; texts of any length are read whole; an
+empty table gives no row; other columns pass through (``without_repeats``) or aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import codes_of, gram_codes, records, stored, table, unused_name
+from flowsieve.llm.common import codes_of, gram_codes, mixed, records, stored, table, unused_name
 
 WINDOW = 20
 GRAM = 8
@@ -34,9 +37,8 @@ SPAN = WINDOW - GRAM + 1
 LEFT = SPAN - 1  # words that a window may have left of its anchor
 GROUP_SUFFIXES = 50_000
 NO_ID = 2**63 - 1
-EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
-_SUFFIX = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("low", "i1"), ("high", "i1"), ("words", "<u4", (LEFT + WINDOW,))])
+_SUFFIX = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("low", "i1"), ("high", "i1"), ("words", "<u8", (LEFT + WINDOW,))])
 _WHOLE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4")])
 
 
@@ -107,8 +109,8 @@ def _suffixes(found: DataFrame, parts: int) -> DataFrame:
                 rows = np.zeros(len(cold), _SUFFIX)
                 rows["doc"], rows["tag"], rows["at"] = doc, tag, cold
                 rows["low"], rows["high"] = cold - last[~hot], cold - first[~hot]
-                padded = np.zeros(len(codes) + LEFT + WINDOW, np.uint32)
-                padded[LEFT : LEFT + len(codes)] = codes >> np.uint64(32)
+                padded = np.zeros(len(codes) + LEFT + WINDOW, np.uint64)
+                padded[LEFT : LEFT + len(codes)] = codes
                 rows["words"] = padded[cold[:, None] + np.arange(LEFT + WINDOW)]
                 near.append(rows)
                 keys.append(grams[cold])
@@ -125,7 +127,7 @@ def _suffixes(found: DataFrame, parts: int) -> DataFrame:
             if whole:
                 first_of, again = _firsts(np.concatenate(whole))
                 out += _by_part(first_of, first_of["a"], parts, 1)
-                out += _by_part(again, again["a"], parts, 2)
+                out += _by_part(again, mixed(again["doc"].view(np.uint64)), parts, 2)  # they meet nobody
             columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()))]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "kind", "data"])
 
@@ -149,7 +151,8 @@ def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _refined(node: np.ndarray, words: np.ndarray) -> np.ndarray:
     """Nodes one word deeper."""
-    return np.unique((node.astype(np.uint64) << np.uint64(32)) | words, return_inverse=True)[1]
+    number = np.unique(words, return_inverse=True)[1]
+    return np.unique(node * (int(number.max(initial=0)) + 1) + number, return_inverse=True)[1]
 
 
 def repeats(rows: np.ndarray) -> np.ndarray:
@@ -172,7 +175,7 @@ def repeats(rows: np.ndarray) -> np.ndarray:
         here = np.flatnonzero((rows["low"] <= before) & (before <= rows["high"]))
         if len(here) < 2:
             continue
-        node = _refined(right[WINDOW - before][here], left[before][here].astype(np.uint32))
+        node = _refined(right[WINDOW - before][here], left[before][here])
         first = np.full(int(node.max()) + 1, len(here))
         np.minimum.at(first, node, np.arange(len(here)))  # rows are in document order
         again = here[first[node] != np.arange(len(here))]

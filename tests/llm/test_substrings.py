@@ -72,3 +72,19 @@ def test_oracle(spark) -> None:
     con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
     found = op4_substrings(spark, "/root/testdata/sf0.001").select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(map(tuple, found)) == Counter(con.sql(ORACLE).fetchall())
+
+
+def test_words_that_share_half_a_code_stay_apart(spark) -> None:
+    import numpy as np
+
+    from flowsieve.llm.common import codes_of
+
+    numbers = [str(i).encode() for i in range(400_000)]
+    halves = codes_of(numbers) >> np.uint64(32)
+    order = np.argsort(halves, kind="stable")
+    twins = [(numbers[a], numbers[b]) for a, b in zip(order, order[1:]) if halves[a] == halves[b]]
+    assert len(twins) > 3
+    tail = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(len(twins))]
+    rows = [(2 * k + side, f"{word.decode()} {tail[k]}") for k, pair in enumerate(twins) for side, word in enumerate(pair)]
+    found = {r["doc_id"]: r["n_removed"] for r in digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: 30 * (i % 2) for i, _ in rows}
