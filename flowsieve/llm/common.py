@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,9 @@ from pyspark.sql import functions as F
 from flowsieve.session import scratch_path, shared_dir
 
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: While a scratch table is written: texts and shingle sets are long, and a batch stands in the JVM and in the worker.
+WRITE_WITH = {CLEAN_SHUFFLES: "true", BATCH_ROWS: "1000"}
 #: Fixed by the contracts: the characters between words.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -31,15 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEAN_SHUFFLES, None)
-    spark.conf.set(CLEAN_SHUFFLES, "true")
+    before = {key: spark.conf.get(key, None) for key in WRITE_WITH}
+    for key, value in WRITE_WITH.items():
+        spark.conf.set(key, value)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEAN_SHUFFLES)
-        else:
-            spark.conf.set(CLEAN_SHUFFLES, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -110,6 +118,20 @@ def records(batch: pa.RecordBatch, *names: str, rows: int = 512) -> Iterator[tup
     part = batch.select(list(names))
     for at in range(0, batch.num_rows, rows):
         yield from zip(*(column.to_pylist() for column in part.slice(at, rows).columns))
+    give_back()
+
+
+@lru_cache(maxsize=1)
+def _c_library() -> ctypes.CDLL | None:
+    library = ctypes.CDLL(None) if sys.platform.startswith("linux") else None
+    return library if hasattr(library, "malloc_trim") else None
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker lives on for later stages and would keep the most it ever had."""
+    pa.default_memory_pool().release_unused()
+    if _c_library() is not None:
+        _c_library().malloc_trim(0)
 
 
 def crc(data: bytes) -> int:
