@@ -35,7 +35,7 @@ WINDOW = 20
 GRAM = 8
 SPAN = WINDOW - GRAM + 1
 LEFT = SPAN - 1  # words that a window may have left of its anchor
-GROUP_SUFFIXES = 50_000
+GROUP_SUFFIXES = 20_000
 NO_ID = 2**63 - 1
 
 _SUFFIX = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("low", "i1"), ("high", "i1"), ("words", "<u8", (LEFT + WINDOW,))])

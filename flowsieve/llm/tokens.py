@@ -2,7 +2,7 @@
 
 The tokenizer splits at white space, so the ids of a text are those of its words in turn. A worker
 has each distinct word encoded by the library once and then takes it from a bounded cache, which
-saves nine tenths of the library's work. ``tests/llm/test_tokens.py`` holds the result against
+saves nine tenths of the library's work. ``tests/llm/test_repair.py`` holds the result against
 whole texts.
 """
 
