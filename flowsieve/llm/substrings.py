@@ -36,6 +36,7 @@ GRAM = 8
 SPAN = WINDOW - GRAM + 1
 LEFT = SPAN - 1  # words that a window may have left of its anchor
 GROUP_SUFFIXES = 20_000
+SLICE = 1 << 15  # suffixes that are packed together
 NO_ID = 2**63 - 1
 
 _SUFFIX = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("low", "i1"), ("high", "i1"), ("words", "<u8", (LEFT + WINDOW,))])
@@ -90,50 +91,65 @@ def _suffixes(found: DataFrame, parts: int) -> DataFrame:
     """Packed suffixes by group, from ``doc, text`` and the tags, places and hot marks of its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            near: list[np.ndarray] = []
-            keys: list[np.ndarray] = []
-            whole: list[np.ndarray] = []
-            for doc, text, hits in records(batch, "doc", "text", "hits"):
-                words = text.encode().split()
-                tag = _tag(words)[1]
-                mine = [h for h in hits if h["tag"] == tag]
-                if not mine:
-                    continue  # another text of the same id
-                codes = codes_of(words)
-                grams, at = anchors(codes)
-                where = np.array([p for h in mine for p in h["places"]], np.int64)
-                hot = np.array([x for h in mine for x in h["hot"]], bool)
-                first, last = np.searchsorted(at, where, "left"), np.searchsorted(at, where, "right") - 1
-                cold = where[~hot]
-                rows = np.zeros(len(cold), _SUFFIX)
-                rows["doc"], rows["tag"], rows["at"] = doc, tag, cold
-                rows["low"], rows["high"] = cold - last[~hot], cold - first[~hot]
-                padded = np.zeros(len(codes) + LEFT + WINDOW, np.uint64)
-                padded[LEFT : LEFT + len(codes)] = codes
-                rows["words"] = padded[cold[:, None] + np.arange(LEFT + WINDOW)]
-                near.append(rows)
-                keys.append(grams[cold])
-                if hot.any():
-                    starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot])])
-                    long = np.zeros(len(starts), _WHOLE)
-                    long["a"] = gram_codes(codes, WINDOW)[starts]
-                    long["b"] = gram_codes(codes ^ np.uint64(0xA5A5A5A5A5A5A5A5), WINDOW)[starts]
-                    long["doc"], long["tag"], long["at"] = doc, tag, starts
-                    whole.append(long)
-            out: list[tuple[int, int, bytes]] = []
-            if near:
-                out += _by_part(np.concatenate(near), np.concatenate(keys), parts, 0)
-            if whole:
-                first_of, again = _firsts(np.concatenate(whole))
-                out += _by_part(first_of, first_of["a"], parts, 1)
-                out += _by_part(again, mixed(again["doc"].view(np.uint64)), parts, 2)  # they meet nobody
-            columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["part", "kind", "data"])
+            for doc, text, hits in records(batch, "doc", "text", "hits", rows=64):
+                for kind, keys, rows in _of_document(doc, text.encode().split(), hits):
+                    held.append((kind, keys, rows))
+                    n += len(rows)
+                    if n >= SLICE:
+                        yield _packed(held, parts)
+                        held, n = [], 0
+        yield _packed(held, parts)
 
     return found.mapInArrow(run, "part int, kind int, data binary")
 
 
+def _of_document(doc: int, words: list[bytes], hits: list[dict]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Kind, keys and rows of a document's suffixes (0) and whole windows (1), a slice at a time."""
+    tag = _tag(words)[1]
+    mine = [h for h in hits if h["tag"] == tag]
+    if not mine:
+        return  # another text of the same id
+    codes = codes_of(words)
+    grams, at = anchors(codes)
+    where = np.array([p for h in mine for p in h["places"]], np.int64)
+    hot = np.array([x for h in mine for x in h["hot"]], bool)
+    first, last = np.searchsorted(at, where, "left"), np.searchsorted(at, where, "right") - 1
+    padded = np.zeros(len(codes) + LEFT + WINDOW, np.uint64)
+    padded[LEFT : LEFT + len(codes)] = codes
+    cold = np.flatnonzero(~hot)
+    for a in range(0, len(cold), SLICE):
+        some = cold[a : a + SLICE]
+        here = where[some]
+        rows = np.zeros(len(some), _SUFFIX)
+        rows["doc"], rows["tag"], rows["at"] = doc, tag, here
+        rows["low"], rows["high"] = here - last[some], here - first[some]
+        rows["words"] = padded[here[:, None] + np.arange(LEFT + WINDOW)]
+        yield 0, grams[here], rows
+    if hot.any():
+        starts = np.concatenate([np.arange(a, b + 1) for a, b in zip(first[hot], last[hot])])
+        rows = np.zeros(len(starts), _WHOLE)
+        rows["a"] = gram_codes(codes, WINDOW)[starts]
+        rows["b"] = gram_codes(codes ^ np.uint64(0xA5A5A5A5A5A5A5A5), WINDOW)[starts]
+        rows["doc"], rows["tag"], rows["at"] = doc, tag, starts
+        yield 1, rows["a"], rows
+
+
+def _packed(held: list[tuple[int, np.ndarray, np.ndarray]], parts: int) -> pa.RecordBatch:
+    out: list[tuple[int, int, bytes]] = []
+    near = [h for h in held if h[0] == 0]
+    whole = [h[2] for h in held if h[0] == 1]
+    if near:
+        out += _by_part(np.concatenate([h[2] for h in near]), np.concatenate([h[1] for h in near]), parts, 0)
+    if whole:
+        first_of, again = _firsts(np.concatenate(whole))
+        out += _by_part(first_of, first_of["a"], parts, 1)
+        out += _by_part(again, mixed(again["doc"].view(np.uint64)), parts, 2)  # they meet nobody
+    columns = [pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.int32(), pa.int32(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "kind", "data"])
+
+
 def _by_part(rows: np.ndarray, keys: np.ndarray, parts: int, kind: int) -> list[tuple[int, int, bytes]]:
     part = (keys % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
