@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 from flowsieve.functions.columns import named, string_columns
 from flowsieve.operators.bounds import MAX_CLASSES, bounded_rows, label_text, small_table
 from flowsieve.operators.profile import require_columns
-from flowsieve.operators.stages import FlowEstimator, FlowModel, number, state, strings, text
+from flowsieve.operators.stages import FlowEstimator, FlowModel, FlowTransformer, number, state, strings, text
 
 MISSING = "Missing"
+#: Most values of a column in a sparse vector: the dictionary goes to the driver and to every task.
+MAX_WIDE = 100_000
 
 
 def categorical(column: Column) -> Column:
@@ -58,6 +60,16 @@ def category_values(df: DataFrame, columns: list[str], limit: int) -> dict[str,
     return {c: sorted(found_values) for c, found_values in values.items()}
 
 
+def category_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Exact number of categories of every column, from one pass; values meet spread over all tasks."""
+    if not columns:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), categorical(named(c)).alias("value")) for c in columns])
+    found = df.select(F.inline(cells)).distinct().groupBy("column").agg(F.count("*").alias("n"))
+    counts = {row["column"]: row["n"] for row in bounded_rows(found, len(columns), "columns")}
+    return {c: counts.get(c, 0) for c in columns}
+
+
 class OneHot(FlowEstimator):
     """Replaces text columns by 0/1 columns ``<column>_<value>``, appended after the others.
 
@@ -133,27 +145,93 @@ class OneHotModel(FlowModel):
         return F.when(found.isin(values), hit).otherwise(problem)
 
 
+class CategoryTexts(FlowTransformer):
+    """Adds the text of each categorical column under a short name; a column the table lacks counts as missing."""
+
+    inputCols = strings("inputCols", "categorical columns")
+    outputCols = strings("outputCols", "their texts")
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, outputCols=None):
+        super().__init__()
+        self._setDefault(inputCols=[], outputCols=[])
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        pairs = zip(self._read("inputCols"), self._read("outputCols"))
+        return df.withColumns({out: categorical(named(c)) if c in df.columns else F.lit(MISSING) for c, out in pairs})
+
+
+class KnownCategories(FlowTransformer):
+    """Fails the job at a category that the dictionary lacks, if ``handleUnknown`` is ``error``; see ``row_error``."""
+
+    inputCols = strings("inputCols", "categorical columns")
+    indexCols = strings("indexCols", "their places in the dictionary")
+    sizes = state("sizes", "entries of each dictionary; the next place stands for all other values")
+    handleUnknown = text("handleUnknown", "ignore or error")
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, indexCols=None, sizes=None, handleUnknown="ignore"):
+        super().__init__()
+        self._setDefault(inputCols=[], indexCols=[], sizes=[], handleUnknown="ignore")
+        self._set(**self._input_kwargs)
+
+    def row_error(self, df: DataFrame) -> Column:
+        """The first unknown category of a row in ``error`` mode, or NULL."""
+        columns = zip(self._read("inputCols"), self._read("indexCols"), self._read("sizes"))
+        problems = [
+            F.when(named(index) >= size, F.concat(F.lit(f"unknown category in {c}: "), categorical(named(c)) if c in df.columns else F.lit(MISSING)))
+            for c, index, size in columns
+            if self._read("handleUnknown") == "error"
+        ]
+        return F.coalesce(F.lit(None).cast("string"), *problems)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        if self._read("handleUnknown") != "error" or not self._read("indexCols"):
+            return df
+        first, problem = self._read("indexCols")[0], self.row_error(df)
+        return df.withColumn(first, F.when(problem.isNull(), named(first)).otherwise(F.raise_error(problem).cast("double")))
+
+
+class PackCategories(FlowTransformer):
+    """Joins the indicator vectors into one and drops the columns they were made from."""
+
+    inputCols = strings("inputCols", "indicator vectors")
+    dropCols = strings("dropCols", "columns that go")
+    outputCol = text("outputCol", "sparse vector of all categories")
+
+    @keyword_only
+    def __init__(self, *, inputCols=None, dropCols=None, outputCol="onehot"):
+        super().__init__()
+        self._setDefault(inputCols=[], dropCols=[], outputCol="onehot")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        packed = VectorAssembler(inputCols=self._read("inputCols"), outputCol=self._read("outputCol")).transform(df)
+        gone = {*self._read("inputCols"), *self._read("dropCols")}
+        return packed.select(*[named(c) for c in packed.columns if c not in gone])
+
+
 def fit_onehot_vector(
-    df: DataFrame, columns: list[str], output: str = "onehot", max_categories: int = 100_000
+    df: DataFrame, columns: list[str], output: str = "onehot", max_categories: int = MAX_WIDE, unknown: str = "ignore", keep: bool = True
 ) -> PipelineModel:
     """One sparse vector for all categorical columns, for more categories than columns can carry.
 
-    Values are in sorted order, column after column; an unknown value adds nothing to the vector.
+    Values are in sorted order, column after column; an unknown value adds nothing to the vector (``ignore``) or
+    fails the job (``error``). A column with more than ``max_categories`` values, counted exactly, raises. Without ``keep``
+    the categorical columns go.
     """
-    distinct = df.agg(*[F.approx_count_distinct(categorical(named(c))).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    too_wide = [c for i, c in enumerate(columns) if distinct[f"n{i}"] > max_categories]
+    too_wide = [c for c, n in category_counts(df, columns).items() if n > max_categories]
     if too_wide:
         raise ValueError(f"more than {max_categories} categories in {', '.join(too_wide)}")
-    text_columns = [f"_text{i}" for i in range(len(columns))]
-    values = ", ".join(f"coalesce(cast(`{c.replace('`', '``')}` as string), '{MISSING}') as {t}" for c, t in zip(columns, text_columns))
-    indices, hots = [f"_index{i}" for i in range(len(columns))], [f"_hot{i}" for i in range(len(columns))]
-    stages = [
-        SQLTransformer(statement=f"select *, {values} from __THIS__"),
-        StringIndexer(inputCols=text_columns, outputCols=indices, handleInvalid="keep", stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=indices, outputCols=hots, dropLast=True),
-        VectorAssembler(inputCols=hots, outputCol=output),
-    ]
-    return Pipeline(stages=stages).fit(df)
+    texts, indices, hots = ([f"_{kind}{i}" for i in range(len(columns))] for kind in ("text", "index", "hot"))
+    words = CategoryTexts(inputCols=columns, outputCols=texts)
+    table = words.transform(df.select(*map(named, columns)))
+    indexer = StringIndexer(inputCols=texts, outputCols=indices, handleInvalid="keep", stringOrderType="alphabetAsc").fit(table)
+    encoder = OneHotEncoder(inputCols=indices, outputCols=hots, dropLast=True).fit(indexer.transform(table))
+    known = KnownCategories(inputCols=columns, indexCols=indices, sizes=[len(v) for v in indexer.labelsArray], handleUnknown=unknown)
+    pack = PackCategories(inputCols=hots, dropCols=[*texts, *indices, *([] if keep else columns)], outputCol=output)
+    return PipelineModel([words, indexer, known, encoder, pack])
 
 
 class LabelIndex(FlowEstimator):

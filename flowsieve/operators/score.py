@@ -14,6 +14,7 @@ from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronCl
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -30,11 +31,13 @@ MAX_HOT = 1_000_000
 
 
 def assemble_vector(df: DataFrame, features: list[str], output: str = "features") -> DataFrame:
-    """Packs the feature columns into one vector; a missing value fails the job.
+    """Packs the feature columns into one vector; a missing value fails the job. Vectors among them stay sparse.
 
     Flow corpora use names that a vector assembler cannot address, hence short names in between.
     """
-    short = {f"_v{i}": named(c).cast("double") for i, c in enumerate(features)}
+    short = {
+        f"_v{i}": named(c) if isinstance(df.schema[c].dataType, VectorUDT) else named(c).cast("double") for i, c in enumerate(features)
+    }
     packed = VectorAssembler(inputCols=list(short), outputCol=output, handleInvalid="error")
     return packed.transform(df.withColumns(short)).drop(*short)
 

@@ -209,6 +209,18 @@ oracle(
 SELECT flow_id, {', '.join(f"CAST(proto = 'p{i}' AS DOUBLE) AS h{i}" for i in range(3))},
 {', '.join(f"CAST(state = '{v}' AS DOUBLE) AS h{i}" for i, v in ((3, 'F'), (4, 'Missing'), (5, 'O')))} FROM t""",
 )
+oracle(
+    "onehot_model_wide",
+    f"""WITH {FLOWS}, r AS (SELECT row_number() OVER () AS id, flow_id, attack_type, spkts, proto, dst_ip AS host FROM flows),
+d AS (SELECT DISTINCT attack_type AS c, spkts, proto, host FROM r), m AS (SELECT min(spkts) AS lo, max(spkts) - min(spkts) AS span FROM d),
+z AS (SELECT 1 + count(DISTINCT proto) + count(DISTINCT host) AS v FROM d),
+s AS (SELECT c, count(*) AS n, sum((spkts - lo) / span) AS x FROM d, m GROUP BY c),
+k AS (SELECT c, ln(n + 1) AS pi, ln(x + 1) AS tx, ln(x + 2 * n + v) AS total FROM s, z),
+p AS (SELECT c, proto, ln(count(*) + 1) AS t FROM d GROUP BY c, proto), h AS (SELECT c, host, ln(count(*) + 1) AS t FROM d GROUP BY c, host),
+w AS (SELECT id, flow_id, k.c, pi + (spkts - lo) / span * (tx - total) + coalesce(p.t, 0) + coalesce(h.t, 0) - 2 * total AS w
+  FROM r CROSS JOIN m CROSS JOIN k LEFT JOIN p ON p.c = k.c AND p.proto = r.proto LEFT JOIN h ON h.c = k.c AND h.host = r.host)
+SELECT flow_id, {_round("1 - sum(CASE WHEN c = 'N' THEN exp(w) ELSE 0 END) / sum(exp(w))", 5)} AS score FROM w GROUP BY id, flow_id""",
+)
 oracle(
     "onehot_unknown",
     f"""WITH {FLOWS}, t AS (SELECT flow_id, attack_type, CASE WHEN attack_type = 'N' THEN proto || 'n' ELSE proto END AS proto FROM flows)

@@ -275,6 +275,16 @@ def onehot_vector(spark, sf_dir):
     return hot.select("flow_id", *[F.col("hot")[i].alias(f"h{i}") for i in range(6)])
 
 
+@query
+def onehot_model_wide(spark, sf_dir):
+    """A detector over a column of 250 categories, which reach the classifier as one sparse vector."""
+    raw = flows(spark, sf_dir).select("flow_id", "attack_type", "spkts", "proto", F.col("dst_ip").alias("host"))
+    model = fit_detector(
+        raw, "attack_type", benign="N", kind="bayes", dataset="UNSW", key="flow_id", select=False, max_categories=200, partitions=MODEL_PARTITIONS
+    )
+    return model.transform(raw).select("flow_id", rounded(F.col("score"), 5).alias("score"))
+
+
 @query
 def onehot_unknown(spark, sf_dir):
     """Categories fitted on the attack classes only; those of other flows are unknown."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowsieve.operators import score
 from flowsieve.operators.encode import OneHot
-from flowsieve.plans.flow_model import fit_detector
+from flowsieve.plans.flow_model import fit_detector, load_model, save_model
 from flowsieve.streaming import detect
 
 
@@ -64,3 +64,41 @@ def test_folds_choose_the_better_candidate(spark):
     assert model.transform(df).where("prediction <> y").count() == 0
     with pytest.raises(ValueError, match="two folds"):
         score.choose_over_folds({}, df, "y", "k")
+
+
+def _hosts(spark, n):
+    rows = [(str(i), "N" if i % 3 else "A", float(i % 5), f"h{i % n}", "tcp" if i % 2 else "udp") for i in range(120)]
+    return spark.createDataFrame(rows, "flow_id string, attack_type string, spkts double, host string, proto string")
+
+
+def test_wide_categories_agree_with_columns_and_survive_saving(spark, tmp_path):
+    """One sparse vector or a column for each category: the classifier's probabilities are equal."""
+    raw = _hosts(spark, 30)
+    common = {"benign": "N", "kind": "bayes", "dataset": "UNSW", "key": "flow_id", "select": False}
+    wide = fit_detector(raw, "attack_type", max_categories=20, **common)
+    assert any(type(s).__name__ == "PackCategories" for s in wide.stages)
+    narrow = fit_detector(raw, "attack_type", max_categories=200, **common)
+    save_model(wide, str(tmp_path / "m"))
+    again = load_model(str(tmp_path / "m"))
+    new = raw.limit(1).withColumn("host", F.lit("never seen")).unionByName(raw.limit(1).withColumn("host", F.lit(None).cast("string")))
+    rows = raw.unionByName(new)
+    got = [sorted((r["flow_id"], round(r["score"], 9)) for r in m.transform(rows).collect()) for m in (wide, narrow, again)]
+    assert got[0] == got[1] == got[2]
+    assert len(wide.transform(raw.drop("host")).collect()) == 120
+
+
+def test_unknown_wide_category_is_a_dead_letter(spark):
+    raw = _hosts(spark, 30)
+    model = fit_detector(raw, "attack_type", benign="N", kind="bayes", dataset="UNSW", key="flow_id", select=False, max_categories=20, unknown="error")
+    rows = raw.unionByName(raw.limit(2).withColumn("host", F.lit("odd")))
+    scored, dead = detect.divide(rows, model)
+    assert scored.count() == 120
+    assert [r["error"] for r in dead.collect()] == ["unknown category in host: odd"] * 2
+    with pytest.raises(Exception, match="unknown category in host: odd"):
+        model.transform(rows).select("score").collect()
+
+
+def test_more_wide_categories_than_allowed(spark):
+    raw = _hosts(spark, 30)
+    with pytest.raises(ValueError, match="more than 25 categories in host"):
+        fit_detector(raw, "attack_type", benign="N", kind="bayes", dataset="UNSW", key="flow_id", select=False, max_categories=20, max_wide=25)
