@@ -312,12 +312,30 @@ def reconstruction_score(df: DataFrame, model: PipelineModel, output: str = "rec
     The components are orthonormal, so the squared error is the squared length that the projection
     loses; the rebuilt vector itself is never formed.
     """
-    projected = model.transform(df)
+    return _with_error(model.transform(df), output)
+
+
+def _with_error(projected: DataFrame, output: str) -> DataFrame:
     whole, reduced = vector_to_array(F.col("_centred")), vector_to_array(F.col("_reduced"))
     lost = (squared_sum(whole) - squared_sum(reduced)) / F.size(whole)
     return projected.withColumn(output, F.greatest(lost, F.lit(0.0))).drop("_centred", "_reduced")
 
 
+class ReconstructionError(FlowTransformer):
+    """``reconstruction_score`` as the stage after centring and projection, so that both live in a saved model."""
+
+    outputCol = text("outputCol", "error column")
+
+    @keyword_only
+    def __init__(self, *, outputCol="reconstruction_error"):
+        super().__init__()
+        self._setDefault(outputCol="reconstruction_error")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return _with_error(df, self._read("outputCol"))
+
+
 def rebuilt_rows(df: DataFrame, model: PipelineModel, values: str = "values", rebuilt: str = "rebuilt") -> DataFrame:
     """The input vector and its rebuilt form as arrays, for the losses that compare them."""
     centre, pca = model.stages

@@ -90,6 +90,13 @@ string_agg(attack_type || '=' || CAST(n AS VARCHAR), ',' ORDER BY attack_type) A
 string_agg(attack_type, ',' ORDER BY attack_type) AS attack_types,
 (SELECT string_agg(DISTINCT 'capture-' || proto, ',' ORDER BY 'capture-' || proto) FROM flows) AS source_files FROM n""",
 )
+oracle(
+    "linked_metadata",
+    f"""WITH {FLOWS}, n AS (SELECT attack_type, count(*) AS n FROM flows GROUP BY 1)
+SELECT 'capture-' || dst_ip AS source, count(*) AS n, (SELECT CAST(sum(n) AS BIGINT) FROM n) AS total_samples,
+(SELECT count(DISTINCT dst_ip) FROM flows) AS n_source_files,
+(SELECT string_agg(attack_type || '=' || CAST(n AS VARCHAR), ',' ORDER BY attack_type) FROM n) AS class_distribution FROM flows GROUP BY dst_ip""",
+)
 oracle(
     "read_write_roundtrip",
     """SELECT o_orderkey, o_orderpriority, o_totalprice, o_orderstatus AS split, f.format
@@ -626,6 +633,20 @@ c AS (SELECT var_pop(a) AS a, var_pop(b) AS b, covar_pop(a, b) AS c FROM r),
 m AS (SELECT ((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c)) / 2 AS mse FROM c)
 SELECT {_round('ce', 5)} AS cross_entropy, {_round('mse', 5)} AS mse, {_round('ce + 0.3e0 * mse', 5)} AS joint_loss FROM e, m""",
 )
+oracle(
+    "joint_detector",
+    f"""WITH {FLOWS}, m AS (SELECT min(spkts) AS al, max(spkts) - min(spkts) AS aspan, min(ct_srv_src) AS bl, max(ct_srv_src) - min(ct_srv_src) AS bspan FROM flows),
+r AS (SELECT row_number() OVER () AS id, flow_id, attack_type, (spkts - al) / aspan AS a, (ct_srv_src - bl) / bspan AS b FROM flows, m),
+v AS (SELECT avg(a) AS ma, avg(b) AS mb, var_pop(a) AS va, var_pop(b) AS vb, covar_pop(a, b) AS ab FROM r),
+l AS (SELECT *, (va + vb) / 2 - sqrt(pow((va - vb) / 2, 2) + ab * ab) - va AS low FROM v),
+e AS (SELECT ma, mb, ab / sqrt(ab * ab + low * low) AS x, low / sqrt(ab * ab + low * low) AS y FROM l),
+s AS (SELECT attack_type AS c, count(*) AS n, sum(a) AS a, sum(b) AS b FROM r GROUP BY c),
+k AS (SELECT c, ln(n + 1) AS pi, ln((a + 1) / (a + b + 2)) AS ta, ln((b + 1) / (a + b + 2)) AS tb FROM s),
+w AS (SELECT id, flow_id, r.a, r.b, k.c, pi + r.a * ta + r.b * tb AS w FROM r, k)
+SELECT flow_id, {_round("1 - sum(CASE WHEN c = 'N' THEN exp(w) ELSE 0 END) / sum(exp(w))", 5)} AS score,
+{_round("pow((any_value(a) - any_value(ma)) * any_value(x) + (any_value(b) - any_value(mb)) * any_value(y), 2) / 2", 5)} AS reconstruction_error
+FROM w, e GROUP BY id, flow_id""",
+)
 oracle(
     "model_folds",
     f"""WITH r AS (SELECT l_linenumber AS n, l_partkey % 5 AS p, l_suppkey % 3 AS q, CASE WHEN l_linenumber + l_partkey % 5 >= 6 THEN 1 ELSE 0 END AS y,

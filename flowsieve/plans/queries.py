@@ -90,6 +90,19 @@ def dataset_metadata(spark, sf_dir):
     )
 
 
+@query
+def linked_metadata(spark, sf_dir):
+    """The record that points to the written table of files, joined with what that table holds."""
+    labelled = flows(spark, sf_dir).withColumn("source_file", F.concat(F.lit("capture-"), F.col("dst_ip")))
+    record = metadata.linked_metadata(labelled, scratch_path(spark, "sources")).first()
+    files = spark.read.parquet(record["source_table"]).groupBy("source").agg(F.sum("n").alias("n"))
+    counts = ",".join(f"{c}={n}" for c, n in sorted(record["class_distribution"].items()))
+    return files.select(
+        "source", "n", F.lit(record["total_samples"]).alias("total_samples"), F.lit(record["n_source_files"]).alias("n_source_files"),
+        F.lit(counts).alias("class_distribution"),
+    )
+
+
 @query
 def split_metadata(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
@@ -583,6 +596,19 @@ def joint_model_loss(spark, sf_dir):
     return _rounded_all(evaluate.joint_loss(rows, "y", "probs", "values", "rebuilt"), 5)
 
 
+@query
+def joint_detector(spark, sf_dir):
+    """Class and reconstruction head in one detector, saved and read back: both scores of every row."""
+    raw = flows(spark, sf_dir).select("flow_id", "attack_type", "spkts", "ct_srv_src")
+    model = fit_detector(
+        raw, "attack_type", benign="N", kind="bayes", components=1, dataset="UNSW", key="flow_id", select=False, dedup="none", partitions=MODEL_PARTITIONS
+    )
+    path = scratch_path(spark, "detector")
+    save_model(model, path)
+    scored = load_model(path).transform(raw)
+    return scored.select("flow_id", rounded(F.col("score"), 5).alias("score"), rounded(F.col("reconstruction_error"), 5).alias("reconstruction_error"))
+
+
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(

@@ -27,6 +27,29 @@ def source_counts(df: DataFrame, source: str = "source_file") -> DataFrame:
     return df.groupBy(named(source).cast("string").alias("source")).agg(F.count("*").alias("n"))
 
 
+def linked_metadata(df: DataFrame, sources: str, label: str = "attack_type", source: str = "source_file") -> DataFrame:
+    """The record of ``dataset_metadata`` with the number of source files and the path of their table instead of their names.
+
+    Rows by class and source file are counted once and written as Parquet to ``sources`` (``class, source, n``); the record comes from
+    that table and doesn't grow with the number of files. Rows without a class or a source count under NULL.
+    """
+    cells = df.groupBy(named(label).cast("string").alias("class"), named(source).cast("string").alias("source")).agg(F.count("*").alias("n"))
+    cells.write.parquet(sources)
+    written = df.sparkSession.read.schema(cells.schema).parquet(sources)
+    # two steps: a distinct count of files in one row would gather them in one task
+    files = written.where("source is not null").select("source").distinct().agg(F.count("*").alias("n_source_files"))
+    by_class = written.groupBy("class").agg(F.sum("n").alias("n"))
+    entries = F.sort_array(F.collect_list(F.when(F.col("class").isNotNull(), F.struct("class", "n"))))  # one entry per class
+    record = by_class.agg(
+        F.sum("n").alias("total_samples"),
+        F.lit(len(df.columns)).alias("total_features"),
+        F.map_from_entries(entries).alias("class_distribution"),
+        F.sort_array(F.collect_list("class")).alias("attack_types"),
+    )
+    count = files.first()["n_source_files"]
+    return record.withColumns({"n_source_files": F.lit(count).cast("bigint"), "source_table": F.lit(sources)})
+
+
 def holdout_metadata(df: DataFrame, label: str = "label", val_size: float = 0.15, random_state: int = 42, split: str = "split") -> DataFrame:
     """The record of a hold-out split, from one scan: sizes of the original and new parts, the parameters, and
     the class counts of each part. ``df`` is what ``holdout_split`` gives."""

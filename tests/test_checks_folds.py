@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from flowsieve.operators import score
 from flowsieve.operators.encode import OneHot
 from flowsieve.plans.flow_model import fit_detector, load_model, save_model
+from flowsieve.sources import metadata
 from flowsieve.streaming import detect
 
 
@@ -102,3 +104,26 @@ def test_more_wide_categories_than_allowed(spark):
     raw = _hosts(spark, 30)
     with pytest.raises(ValueError, match="more than 25 categories in host"):
         fit_detector(raw, "attack_type", benign="N", kind="bayes", dataset="UNSW", key="flow_id", select=False, max_categories=20, max_wide=25)
+
+
+def test_joint_detector_equals_its_parts(spark, tmp_path):
+    """The reconstruction head of a reloaded detector against NumPy's components of the scaled columns."""
+    raw = _hosts(spark, 4).withColumn("dur", (F.col("flow_id").cast("int") % 11).cast("double") * F.col("spkts"))
+    model = fit_detector(raw, "attack_type", benign="N", kind="bayes", components=2, dataset="UNSW", key="flow_id", select=False, dedup="none")
+    save_model(model, str(tmp_path / "m"))
+    rows = load_model(str(tmp_path / "m")).transform(raw).select("flow_id", "features", "reconstruction_error", "score").collect()
+    x = np.array([r["features"].toArray() for r in rows])
+    centred = x - x.mean(0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    lost = ((centred - centred @ axes[:2].T @ axes[:2]) ** 2).mean(1)
+    assert [r["reconstruction_error"] for r in rows] == pytest.approx(lost.tolist(), abs=1e-9)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_linked_record_counts_files_and_missing_names(spark, tmp_path):
+    df = spark.createDataFrame([("a", "f1"), ("a", "f2"), ("b", "f1"), (None, "f1"), ("b", None)], "attack_type string, source_file string")
+    record = metadata.linked_metadata(df, str(tmp_path / "files")).first()
+    assert (record["total_samples"], record["n_source_files"], record["class_distribution"]) == (5, 2, {"a": 2, "b": 2})
+    assert "source_files" not in record.asDict() and spark.read.parquet(record["source_table"]).count() == 5
+    empty = metadata.linked_metadata(df.limit(0), str(tmp_path / "none")).first()
+    assert empty["n_source_files"] == 0 and empty["class_distribution"] == {}
