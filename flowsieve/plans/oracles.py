@@ -77,6 +77,14 @@ CAST(CASE attack_type WHEN 'A' THEN 0 ELSE 1 END AS INT) AS attack_label,
 CASE attack_type WHEN 'A' THEN 'Monday-WorkingHours' WHEN 'N' THEN 'Thursday-Infiltration-no-metadata' ELSE 'Sunday-Scan-no-metadata' END AS source_file
 FROM flows""",
 )
+oracle(
+    "assemble_conflicts",
+    f"""WITH {FLOWS} SELECT flow_id, CAST(CASE attack_type WHEN 'N' THEN spkts ELSE sttl END AS DOUBLE) AS x,
+CASE attack_type WHEN 'A' THEN CAST(ct_srv_src AS VARCHAR) WHEN 'N' THEN CAST(dttl AS VARCHAR) ELSE proto END AS mark,
+CASE attack_type WHEN 'A' THEN 'BENIGN' WHEN 'N' THEN 'DDoS' ELSE 'Scan' END AS attack_type,
+CAST(CASE attack_type WHEN 'A' THEN 0 ELSE 1 END AS INT) AS attack_label,
+CASE attack_type WHEN 'A' THEN 'Monday' WHEN 'N' THEN 'Friday-DDoS' ELSE 'Sunday-Scan' END AS source_file FROM flows""",
+)
 oracle(
     "union_by_name",
     """SELECT c_custkey, c_mktsegment, c_acctbal AS balance FROM customer

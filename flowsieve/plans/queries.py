@@ -69,6 +69,21 @@ def assemble_folder(spark, sf_dir):
     return _rounded_all(sources.assemble(spark, folder))
 
 
+@query
+def assemble_conflicts(spark, sf_dir):
+    """Captures that disagree about types: a number in one is text in another, an integer in one a double in the next."""
+    raw = flows(spark, sf_dir)
+    folder = scratch_path(spark, "captures")
+    forms = {
+        "A": ("Monday", F.col("sttl"), F.col("ct_srv_src")), "N": ("Friday-DDoS", F.col("spkts"), F.col("dttl")),
+        "R": ("Sunday-Scan", F.col("sttl"), F.col("proto")),
+    }
+    for flag, (day, x, mark) in forms.items():
+        part = raw.where(F.col("attack_type") == flag).select("flow_id", x.alias("x"), mark.alias("mark"))
+        part.write.parquet(f"{folder}/{day}.parquet")
+    return sources.assemble(spark, folder)
+
+
 @query
 def union_by_name(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.col("c_acctbal").alias("balance"))

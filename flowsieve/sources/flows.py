@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowsieve.functions.columns import file_stem, named
+from flowsieve.operators.bounds import bounded_rows
 from flowsieve.operators.profile import require_columns
 
+MAX_SCHEMAS = 1_000
+
 # The storage format of each corpus, and the class each capture day stands for. The
 # first rule whose tokens all occur in the file name decides; matching is case-sensitive.
 CORPUS_FORMATS = {"CIC": "parquet", "UNSW": "csv"}
@@ -94,30 +104,53 @@ def assemble(spark: SparkSession, folder: str, schema: T.StructType | str | None
     """All ``*.parquet`` captures of a folder as one labelled table, columns matched by name.
 
     A capture may be one file or a folder of part files. Columns it lacks are NULL. One scan reads
-    everything; only when captures disagree about the type of a column are they read by schema and
-    widened (numbers to double, the rest to text).
+    everything. Only when captures disagree about the type of a column is there one scan for each schema, and
+    such columns are widened (numbers to double, the rest to text). A given schema is taken as it is.
     """
     captures = f"{folder}/*.parquet"
+    if schema is not None:
+        return _labelled([spark.read.schema(schema).parquet(captures)])
     try:
-        reader = spark.read.schema(schema) if schema is not None else spark.read.option("mergeSchema", True)
-        flows = reader.parquet(captures)
-    except Exception as error:  # the JVM error for this has no Python class of its own
-        if "CANNOT_MERGE_SCHEMA" not in str(error):
+        return _labelled([spark.read.option("mergeSchema", True).parquet(captures)])
+    except (PySparkException, Py4JJavaError) as error:
+        if not _is_conflict(error):
             raise
-        return _assemble_widened(spark, captures)
-    return with_capture_labels(flows.withColumn("_capture", capture_file(F.col("_metadata.file_path"))), F.col("_capture")).drop("_capture")
-
-
-def _assemble_widened(spark: SparkSession, captures: str) -> DataFrame:
-    files = spark.read.parquet(captures).inputFiles()
-    groups: dict[str, list[str]] = {}
-    for file in files:
-        groups.setdefault(spark.read.parquet(file).schema.json(), []).append(file)
-    tables = [
-        spark.read.parquet(*paths).withColumn("_capture", capture_file(F.col("_metadata.file_path")))
-        for paths in groups.values()
-    ]
-    return with_capture_labels(union_by_name(tables), F.col("_capture")).drop("_capture")
+    return _labelled([spark.read.schema(spark.read.parquet(files[0]).schema).parquet(*files) for files in files_by_schema(spark, captures)])
+
+
+def _labelled(tables: list[DataFrame]) -> DataFrame:
+    named_rows = [t.withColumn("_capture", capture_file(F.col("_metadata.file_path"))) for t in tables]
+    flows = named_rows[0] if len(tables) == 1 else union_by_name(named_rows)
+    return with_capture_labels(flows, F.col("_capture")).drop("_capture")
+
+
+def _is_conflict(error: PySparkException | Py4JJavaError) -> bool:
+    """Whether Spark's condition is that two files have different types for a column."""
+    condition = error.getCondition() if isinstance(error, PySparkException) else _java_condition(error.java_exception)
+    return (condition or "").startswith("CANNOT_MERGE_SCHEMA")
+
+
+def _java_condition(error) -> str | None:
+    return error.getCondition() if "getCondition" in dir(error) else None
+
+
+def files_by_schema(spark: SparkSession, captures: str) -> list[list[str]]:
+    """The Parquet files in groups of one schema. Tasks read the footers, through Arrow's file systems; what
+    reaches the driver is the list of files, which every read needs, and at most ``MAX_SCHEMAS`` groups."""
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for uri in batch.column("file_path").to_pylist():
+                system, path = fs.FileSystem.from_uri(uri)
+                found.append(str(pq.read_schema(path, filesystem=system).remove_metadata()))
+            yield pa.RecordBatch.from_arrays([batch.column("file_path"), pa.array(found, pa.string())], names=["file_path", "kinds"])
+
+    paths = spark.read.parquet(captures).select("_metadata.file_path").distinct()
+    plain = F.url_decode(F.replace("file_path", F.lit("+"), F.lit("%2B")))
+    literal = F.regexp_replace(plain, r"([\[\]{}*?\\])", r"\\$1")  # a path of a read is a pattern
+    groups = paths.mapInArrow(footers, "file_path string, kinds string").groupBy("kinds").agg(F.sort_array(F.collect_list(literal)).alias("files"))
+    return sorted(row["files"] for row in bounded_rows(groups, MAX_SCHEMAS, "schemas of the captures"))
 
 
 def union_by_name(tables: list[DataFrame]) -> DataFrame:

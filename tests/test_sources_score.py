@@ -51,6 +51,18 @@ def test_assemble_by_name_with_missing_columns_and_odd_names(spark, tmp_path):
     assert record["total_features"] == 6
 
 
+def test_files_by_schema_with_odd_names(spark, tmp_path):
+    for i in range(4):
+        pd.DataFrame({"a": [i]}).to_parquet(tmp_path / f"Monday {i} [x] + 100%.parquet")
+    pd.DataFrame({"a": [2.5], "b": ["x"]}).to_parquet(tmp_path / "Tuesday.parquet")
+    groups = sources.files_by_schema(spark, f"{tmp_path}/*.parquet")
+    assert sorted(map(len, groups)) == [1, 4]
+    rows = sources.assemble(spark, str(tmp_path)).collect()
+    assert sorted((r["a"], r["b"], r["attack_type"]) for r in rows if r["b"] is None) == [(float(i), None, "BENIGN") for i in range(4)]
+    assert [(r["a"], r["attack_type"], r["source_file"]) for r in rows if r["b"]] == [(2.5, "Bruteforce", "Tuesday")]
+    assert {r["source_file"] for r in rows if not r["b"]} == {f"Monday {i} [x] + 100%" for i in range(4)}
+
+
 def test_assemble_widens_conflicting_types(spark, tmp_path):
     pd.DataFrame({"a": [1], "s": ["x"]}).to_parquet(tmp_path / "Monday.parquet")
     pd.DataFrame({"a": [2.5], "s": [7]}).to_parquet(tmp_path / "Tuesday.parquet")
