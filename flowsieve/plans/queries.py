@@ -511,6 +511,15 @@ def sequence_windows(spark, sf_dir):
     return seen.select("event_id", _sequence_text(F.col("sequence")).alias("sequence"))
 
 
+@query
+def stream_sequences(spark, sf_dir):
+    """The last four events of each user, kept as state of a stream over the table."""
+    events = detect.read_table_stream(spark, f"{sf_dir}/events.parquet")
+    events = events.withColumn("flag", F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))
+    seen = _stream_result(spark, detect.stream_windows(events, ["value", "flag"], "user_id", "ts", "event_id", 4), "windows")
+    return seen.select("event_id", _sequence_text(F.col("sequence")).alias("sequence"))
+
+
 @query
 def sequence_windows_hot(spark, sf_dir):
     """As ``sequence_windows_padded``, with every entity above the rows of a range."""
