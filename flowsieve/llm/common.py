@@ -134,8 +134,8 @@ def give_back() -> None:
         _c_library().malloc_trim(0)
 
 
-def crc(data: bytes) -> int:
-    return zlib.crc32(data) & 0xFFFFFFFF
+def crc(data: bytes, before: int = 0) -> int:
+    return zlib.crc32(data, before) & 0xFFFFFFFF
 
 
 def unused_name(df: DataFrame, wanted: str) -> str:

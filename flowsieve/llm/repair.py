@@ -1,19 +1,22 @@
 """Re-Pair grammar compression of token ids, one grammar per shard.
 
-Frequent neighbouring id pairs become nonterminals, round after round; a round replaces the most
-frequent pairs of the moment together, left to right. A shard file holds the rules, the length each
-rule expands to, the compressed sequence and an index of its documents, so that any stretch of ids
-is decoded without the rest.
+Frequent neighbouring id pairs become nonterminals, round after round, until no pair occurs
+``MIN_COUNT`` times; a round replaces the most frequent pairs of the moment together, left to right.
+A shard file holds the rules, the length each rule expands to, the compressed sequence, an index of
+its documents and the place of every ``MARK_STEP``-th symbol among the ids, so that any stretch of
+ids, also within a document, is decoded without the rest.
 
 File: ``MAGIC``, header length (unsigned 32-bit), JSON header, then little-endian arrays: doc ids
 (signed 64-bit), doc id present (one byte), first id and first symbol of each document (unsigned
-64-bit), rules (two unsigned 32-bit), expansion lengths (unsigned 32-bit), symbols (``width`` bytes).
+64-bit), rules (two unsigned 32-bit), expansion lengths (unsigned 32-bit), places (unsigned 64-bit),
+symbols (``width`` bytes).
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 from typing import NamedTuple
 
 import numpy as np
@@ -26,13 +29,14 @@ from flowsieve.llm.common import crc, open_folder, records, scratch_folder, stor
 from flowsieve.llm.tokens import tokenizer_path, word_encoder
 from flowsieve.operators.bounds import bounded_rows, small_table
 
-MAGIC = b"REPAIR1\n"
+MAGIC = b"REPAIR2\n"
 END_ID = 2
 SHARD_IDS = 2_000_000
-ROUNDS = 4
-PAIRS_PER_ROUND = 16384
+PAIRS_PER_ROUND = 16384  # the others wait for a later round
 MIN_COUNT = 8
-LEAST_GAIN = 0.05
+MARK_STEP = 64
+READ_IDS = 1 << 18
+DEALT_CHARS = 64
 MAX_PARTS = 1_000_000
 _TABLE_BITS = 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -59,8 +63,11 @@ def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
     return values[np.lexsort((values, -counts))[:most]]
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT) -> Grammar:
-    """Grammar of the ids; no rule spans the start of a document. Stops when a round saves too little."""
+def compress(ids: np.ndarray, starts: np.ndarray, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT) -> Grammar:
+    """Grammar of the ids; no rule spans the start of a document. Goes on until no pair occurs ``least`` times.
+
+    Every round replaces a place at least, because the most frequent pair always has its slot.
+    """
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols = ids.astype(np.uint32)
     begins = np.zeros(len(ids) + 1, bool)
@@ -68,9 +75,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: i
     begins = begins[: len(ids)]
     rules: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
+    while len(symbols) > 1:
         keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
         inside = ~begins[1:]
         chosen = _frequent(keys[inside], pairs, least)
@@ -96,10 +101,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, pairs: i
         n_rules += int(used.sum())
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        saved = len(at) / len(symbols)
         symbols, begins = symbols[keep], begins[keep]
-        if saved < LEAST_GAIN:
-            break
     table_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
     lengths = np.ones(base + len(table_), np.uint32)
     done = base
@@ -131,9 +133,11 @@ def pack(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> byte
     top = g.base + len(g.rules)
     width = 1 + (top > 1 << 8) + (top > 1 << 16) + (top > 1 << 24)
     header = json.dumps(
-        {"base": g.base, "docs": len(doc_ids), "ids": len(ids), "rules": len(g.rules), "symbols": len(g.symbols), "width": width}
+        {"base": g.base, "docs": len(doc_ids), "ids": len(ids), "rules": len(g.rules), "step": MARK_STEP, "symbols": len(g.symbols), "width": width}
     ).encode()
     symbols = g.symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
+    sizes = np.concatenate((np.ones(g.base, np.int64), g.lengths.astype(np.int64)))[g.symbols]
+    marks = (np.cumsum(sizes) - sizes)[::MARK_STEP]
     return b"".join(
         (
             MAGIC,
@@ -145,13 +149,14 @@ def pack(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray) -> byte
             g.starts.astype("<u8").tobytes(),
             g.rules.astype("<u4").tobytes(),
             g.lengths.astype("<u4").tobytes(),
+            marks.astype("<u8").tobytes(),
             symbols.tobytes(),
         )
     )
 
 
 class Shard:
-    """A shard file, decoded on demand."""
+    """A shard file, decoded on demand; the rules are expanded once, when the first ids are read."""
 
     def __init__(self, data: bytes) -> None:
         if data[: len(MAGIC)] != MAGIC:
@@ -160,18 +165,18 @@ class Shard:
         size = int(self._take("<u4", 1)[0])
         h = json.loads(bytes(self._data[self._at : self._at + size]))
         self._at += size
-        self.base, self.n_ids = h["base"], h["ids"]
+        self.base, self.n_ids, self.step = h["base"], h["ids"], h["step"]
         ids, present = self._take("<i8", h["docs"]), self._take(np.uint8, h["docs"])
         self.doc_ids = [int(d) if p else None for d, p in zip(ids, present)]
         self.starts = np.append(self._take("<u8", h["docs"]).astype(np.int64), self.n_ids)
         self.symbol_starts = np.append(self._take("<u8", h["docs"]).astype(np.int64), h["symbols"])
         self.rules = self._take("<u4", 2 * h["rules"]).reshape(-1, 2)
         self.lengths = self._take("<u4", h["rules"])
+        self.marks = self._take("<u8", -(-h["symbols"] // self.step)).astype(np.int64)
         raw = self._take(np.uint8, h["symbols"] * h["width"]).reshape(-1, h["width"])
         wide = np.zeros((h["symbols"], 4), np.uint8)
         wide[:, : h["width"]] = raw
         self.symbols = wide.reshape(-1).view("<u4")
-        self.flat, self.at = expansions(self.base, self.rules, self.lengths)
         self.size = np.concatenate((np.ones(self.base, np.int64), self.lengths.astype(np.int64)))
 
     def _take(self, kind: object, n: int) -> np.ndarray:
@@ -179,25 +184,39 @@ class Shard:
         self._at += out.nbytes
         return out
 
-    def _decode(self, symbols: np.ndarray) -> np.ndarray:
-        sizes = self.size[symbols]
-        ends = sizes.cumsum()
-        place = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-        return self.flat[np.repeat(self.at[symbols], sizes) + place]
+    @cached_property
+    def _expanded(self) -> tuple[np.ndarray, np.ndarray]:
+        return expansions(self.base, self.rules, self.lengths)
 
     def doc(self, k: int) -> np.ndarray:
         """Ids of the k-th document."""
-        return self._decode(self.symbols[self.symbol_starts[k] : self.symbol_starts[k + 1]])
+        return self.read(int(self.starts[k]), int(self.starts[k + 1]))
 
     def read(self, start: int, stop: int) -> np.ndarray:
-        """Ids from start to stop of the shard; only the documents they lie in are decoded."""
-        first = max(int(np.searchsorted(self.starts, start, "right")) - 1, 0)
-        last = int(np.searchsorted(self.starts, stop, "left"))
-        some = self._decode(self.symbols[self.symbol_starts[first] : self.symbol_starts[min(last, len(self.doc_ids))]])
-        return some[start - self.starts[first] : stop - self.starts[first]]
+        """Ids from start to stop of the shard. Only the symbols between the marks around them are looked at,
+        and of a symbol that reaches beyond only the part inside is decoded."""
+        start, stop = max(start, 0), min(stop, self.n_ids)
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        first = int(np.searchsorted(self.marks, start, "right")) - 1
+        symbols = self.symbols[first * self.step : int(np.searchsorted(self.marks, stop, "left")) * self.step]
+        ends = self.marks[first] + self.size[symbols].cumsum()
+        some = slice(int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1)
+        symbols, ends = symbols[some], ends[some]
+        begins = ends - self.size[symbols]
+        skipped = np.maximum(start - begins, 0)
+        sizes = np.minimum(ends, stop) - begins - skipped
+        flat, at = self._expanded
+        after = sizes.cumsum()
+        return flat[np.repeat(at[symbols] + skipped - (after - sizes), sizes) + np.arange(stop - start)]
+
+    def stretches(self, ids: int = READ_IDS) -> Iterator[tuple[int, np.ndarray]]:
+        """Stretches of about that many ids one after another, and where each begins."""
+        for start in range(0, self.n_ids, ids):
+            yield start, self.read(start, start + ids)
 
     def all(self) -> np.ndarray:
-        return self._decode(self.symbols)
+        return self.read(0, self.n_ids)
 
 
 _MANIFEST = "part int, shard int, path string, n_docs long, n_ids long, ids_before long, n_bytes long"
@@ -209,7 +228,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
 
     A task writes its range of documents as files of about ``shard_ids`` ids. A file that a lost task
     left behind is in no row. NULL ids come first, NULL text is empty, documents with the same id lie
-    in the order of their texts.
+    in the order of their texts. Very long texts are not cut and make a longer shard.
     """
     end = np.array([end_id], "<u4").tobytes()
 
@@ -248,10 +267,27 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID,
             names = [c.split()[0] for c in _MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds)], names=names)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one id (NULL above all) are dealt by the first characters of their texts, too: the same order as whole texts
+    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", F.substring("text", 1, DEALT_CHARS)).sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(write, _MANIFEST), "shards")
 
 
+def checksums(shard: Shard, ids: int = READ_IDS) -> list[int]:
+    """crc32 of each document's ids, read stretch by stretch: a shard with one very long document isn't decoded whole."""
+    out = [0] * len(shard.doc_ids)
+    starts = shard.starts.tolist()
+    doc = 0
+    for start, stretch in shard.stretches(ids):
+        data, stop = memoryview(stretch.astype("<u4")).cast("B"), start + len(stretch)
+        while doc < len(out):
+            a, b = max(starts[doc], start), min(starts[doc + 1], stop)
+            out[doc] = crc(data[4 * (a - start) : 4 * (b - start)], out[doc])
+            if starts[doc + 1] > stop:
+                break
+            doc += 1
+    return out
+
+
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per document from the files: its place among all ids, their number and checksum."""
     spark = manifest.sparkSession
@@ -268,14 +304,13 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
             for name, part_start, before in records(batch, "path", "part_start", "ids_before"):
                 with system.open_input_stream(f"{place}/{name}") as file:
                     shard = Shard(file.read())
-                ids = memoryview(shard.all().astype("<u4")).cast("B")
                 starts = shard.starts
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(shard.doc_ids, pa.int64()),
                         pa.array(starts[:-1] + (part_start + before), pa.int64()),
                         pa.array(np.diff(starts), pa.int64()),
-                        pa.array([crc(ids[4 * a : 4 * b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())], pa.int64()),
+                        pa.array(checksums(shard), pa.int64()),
                     ],
                     names=[c.split()[0] for c in _DIGEST.split(", ")],
                 )

@@ -6,7 +6,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowsieve.llm.repair import Shard, compress, op3_token_shards, pack
+from flowsieve.llm.repair import Shard, checksums, compress, op3_token_shards, pack
 from flowsieve.llm.tokens import WordEncoder, tokenizer_path
 
 ODD = [
@@ -57,6 +57,47 @@ def test_compression_replaces_pairs_inside_documents() -> None:
     assert all(n <= 5 for n in g.lengths)
 
 
+def one_grammar(ids: np.ndarray) -> Shard:
+    return Shard(pack([0], np.zeros(1, np.int64), ids))
+
+
+def test_goes_on_until_no_pair_is_frequent() -> None:
+    phrase = np.random.default_rng(3).integers(0, 50_000, 200).astype(np.uint32)
+    shard = one_grammar(np.tile(phrase, 5000))
+    assert len(shard.symbols) < 200
+    assert (shard.all() == np.tile(phrase, 5000)).all()
+    assert len(one_grammar(np.full(1_000_000, 7, np.uint32)).symbols) < 40
+    ids = np.random.default_rng(4).zipf(1.3, 50_000).clip(max=3000).astype(np.uint32)
+    g = compress(ids, np.zeros(1, np.int64), pairs=50)
+    pairs = (g.symbols[:-1].astype(np.uint64) << np.uint64(32)) | g.symbols[1:]
+    assert np.unique(pairs, return_counts=True)[1].max() < 8
+
+
+def test_any_stretch_inside_a_long_document() -> None:
+    rng = np.random.default_rng(5)
+    ids = np.concatenate([np.tile(rng.integers(0, 900, 37), 300), rng.integers(0, 900, 5000), np.full(4000, 3)]).astype(np.uint32)
+    shard = one_grammar(ids)
+    assert len(shard.symbols) < 6000
+    for a, b in rng.integers(0, len(ids) + 1, (400, 2)).tolist():
+        assert shard.read(a, b).tolist() == ids[a:b].tolist()
+    assert checksums(shard, 100) == [zlib.crc32(ids.astype("<u4").tobytes())]
+
+
+def test_checksums_of_documents_across_stretches() -> None:
+    data = [np.arange(n, dtype=np.uint32) for n in (0, 5, 0, 230, 1, 0, 99, 100, 0)]
+    sizes = np.array([len(d) for d in data])
+    shard = Shard(pack([*range(9)], sizes.cumsum() - sizes, np.concatenate(data)))
+    for step in (1, 7, 100, 1000):
+        assert checksums(shard, step) == [zlib.crc32(d.astype("<u4").tobytes()) for d in data]
+
+
+def test_many_rows_without_id(spark, tables) -> None:
+    docs = spark.range(5000).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 700) as text").repartition(8)
+    found = op3_token_shards(spark, tables(documents=docs)).orderBy("start").collect()
+    assert len(found) == 5000 and all(r["doc_id"] is None for r in found)
+    assert [r["start"] for r in found] == np.cumsum([0, *(r["n_tokens"] for r in found[:-1])]).tolist()
+
+
 def test_query(spark, tables) -> None:
     texts = {3: "one two", 1: None, 2: "", 7: ODD[0], 9: "word " * 30_000}
     rows = [(d, t, "x", 1) for d, t in texts.items()] + [(7, ODD[0], "y", 2), (None, "no id", "z", 3)]
