@@ -51,8 +51,8 @@ class Grammar(NamedTuple):
     starts: np.ndarray  # symbol at which each document starts
 
 
-def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
-    """The most frequent keys, most frequent first."""
+def _frequent(keys: np.ndarray, least: int) -> np.ndarray:
+    """The keys that occur that often, most frequent first."""
     keys = np.sort(keys)
     if not len(keys):
         return keys
@@ -60,13 +60,19 @@ def _frequent(keys: np.ndarray, most: int, least: int) -> np.ndarray:
     counts = np.diff(np.append(first, len(keys)))
     enough = counts >= least
     values, counts = keys[first[enough]], counts[enough]
-    return values[np.lexsort((values, -counts))[:most]]
+    return values[np.lexsort((values, -counts))]
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    return (keys * _MIX) >> np.uint64(64 - _TABLE_BITS)
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, pairs: int = PAIRS_PER_ROUND, least: int = MIN_COUNT) -> Grammar:
     """Grammar of the ids; no rule spans the start of a document. Goes on until no pair occurs ``least`` times.
 
-    Every round replaces a place at least, because the most frequent pair always has its slot.
+    Every round replaces a place at least, because the most frequent pair always has its slot. A pair of
+    old symbols never becomes more frequent, so after the first round only places with a symbol of the last
+    round, or with symbols that were in a frequent pair, are counted.
     """
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols = ids.astype(np.uint32)
@@ -74,31 +80,38 @@ def compress(ids: np.ndarray, starts: np.ndarray, pairs: int = PAIRS_PER_ROUND,
     begins[starts] = True
     begins = begins[: len(ids)]
     rules: list[np.ndarray] = []
-    n_rules = 0
+    n_rules, newest = 0, 0
+    lefts = rights = np.ones(base, bool)  # symbols that may be on that side of a frequent pair
     while len(symbols) > 1:
-        keys = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-        inside = ~begins[1:]
-        chosen = _frequent(keys[inside], pairs, least)
+        places = ((lefts[symbols[:-1]] & rights[symbols[1:]]) | (symbols[:-1] >= newest) | (symbols[1:] >= newest)) & ~begins[1:]
+        places = np.flatnonzero(places)
+        keys = (symbols[places].astype(np.uint64) << np.uint64(32)) | symbols[places + 1]
+        frequent = _frequent(keys, least)
+        chosen = frequent[:pairs]
         held = np.full(1 << _TABLE_BITS, _NO_PAIR)
         number = np.zeros(1 << _TABLE_BITS, np.uint32)
-        slots = (chosen * _MIX) >> np.uint64(64 - _TABLE_BITS)
+        slots = _slots(chosen)
         _, first = np.unique(slots, return_index=True)  # the more frequent pair keeps a shared slot
         chosen, slots = chosen[np.sort(first)], slots[np.sort(first)]
         held[slots] = chosen
         number[slots] = np.arange(len(chosen), dtype=np.uint32)
-        keys[~inside] = _NO_PAIR - np.uint64(1)
-        slots = (keys * _MIX) >> np.uint64(64 - _TABLE_BITS)
-        at = np.flatnonzero(held[slots] == keys)
+        slots = _slots(keys)
+        hit = held[slots] == keys
+        at, slots = places[hit], slots[hit]
         if not len(at):
             break
         run = np.concatenate(([True], np.diff(at) != 1))  # neighbouring places overlap: every other one
         order = np.arange(len(at))
-        at = at[(order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0]
-        pair = number[slots[at]]
+        taken = (order - np.maximum.accumulate(np.where(run, order, 0))) % 2 == 0
+        at, pair = at[taken], number[slots[taken]]
         used = np.bincount(pair, minlength=len(chosen)) > 0  # overlaps may have taken all places of a pair
         rules.append(np.stack([chosen[used] >> np.uint64(32), chosen[used] & np.uint64(2**32 - 1)], 1).astype(np.uint32))
-        symbols[at] = (np.cumsum(used) - 1 + base + n_rules).astype(np.uint32)[pair]
+        newest = base + n_rules
+        symbols[at] = (np.cumsum(used) - 1 + newest).astype(np.uint32)[pair]
         n_rules += int(used.sum())
+        lefts, rights = np.zeros(base + n_rules, bool), np.zeros(base + n_rules, bool)
+        lefts[frequent >> np.uint64(32)] = True
+        rights[frequent & np.uint64(2**32 - 1)] = True
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
         symbols, begins = symbols[keep], begins[keep]
