@@ -262,7 +262,8 @@ def convert_arcs(arcs: DataFrame, folder: str, target: str, least_bytes: int = 0
     index = index_arcs(arcs, folder)
     own = F.struct(F.col("page").isNull().alias("none"), "page", "path", "number", "key")
     large = index.where(F.col("payload_bytes") >= least_bytes)
-    firsts = large.groupBy("digest").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # written: only a join of two plain exchanges lets the engine split a digest that very many records share
+    firsts = stored(large.groupBy("digest").agg(F.min(own).alias("first"), F.count("*").alias("n")).where("n > 1"), "arc-firsts")
     again = large.join(firsts, "digest").where((F.col("path") != F.col("first.path")) | (F.col("number") != F.col("first.number")))
     decided = again.groupBy("path").agg(  # no more than the records of one file
         F.collect_list(F.struct("number", F.col("first.key").alias("key"), F.col("first.page").cast("string").alias("page"))).alias("revisits")

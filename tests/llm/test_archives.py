@@ -67,6 +67,12 @@ def test_query(spark, tables) -> None:
     assert op9_archives(spark, tables(pages=pages.where("false"))).collect() == []
 
 
+def test_one_payload_in_half_of_the_rows(spark, tables) -> None:
+    rows = [(i, f"http://h/{i}", "" if i % 2 else f"page {i}", "x") for i in range(5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, first string").repartition(6)
+    assert Counter(tuple(r) for r in op9_archives(spark, tables(pages=pages)).collect()) == brute(rows)
+
+
 def test_files_are_bounded(spark, tmp_path) -> None:
     pages = spark.createDataFrame([(i, "u", "x" * 1000) for i in range(40)], "page_id long, url string, html string").coalesce(1)
     arcs = write_arcs(pages, str(tmp_path), arc_bytes=10_000)
