@@ -151,10 +151,11 @@ def pieces(docs: DataFrame, path: str, end_id: int = END_ID, capacity: int = CAP
 
 def ranked(pieces: DataFrame, counts: dict[int, int], rows: int = ROWS_PER_RANKING) -> DataFrame:
     """Adds the piece's rank among those of its length, from 0. A length with many pieces is ranked in
-    parts: no task sorts much more than ``rows`` of them."""
+    parts: no task sorts much more than ``rows`` of them, equal rows neither. Parts are dealt at random and written,
+    so that all later readers see the same ones."""
     spark = pieces.sparkSession
     parts = small_table(spark, [(length, ceil(n / rows)) for length, n in counts.items()], "length long, _parts long")
-    parted = pieces.join(parts, "length").withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_parts"))
+    parted = stored(pieces.join(parts, "length").withColumn("_part", F.floor(F.rand(7) * F.col("_parts"))), "parts")
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         parted.groupBy("length", "_part").agg(F.count("*").alias("_n"))

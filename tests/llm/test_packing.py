@@ -67,6 +67,15 @@ def test_hot_length_is_ranked_in_parts(spark) -> None:
     assert check([(r["length"], r["sequence_id"], r["offset"]) for r in found], 4096) == 5000
 
 
+def test_equal_rows_are_ranked_in_parts(spark) -> None:
+    from flowsieve.llm.packing import ranked
+
+    pieces = spark.range(6000).selectExpr("cast(null as long) as doc_id", "0 as piece", "0L as start", "700L as length", "9L as ids_crc32")
+    found = ranked(pieces, {700: 6000}, rows=100)
+    assert sorted(r["_rank"] for r in found.collect()) == list(range(6000))
+    assert check([(r["length"], r["sequence_id"], r["offset"]) for r in pack(pieces, 4096).collect()], 4096) == 1200
+
+
 def test_query(spark, tables) -> None:
     encoder = WordEncoder(tokenizer_path())
     rows = [(i, "word " * (37 * i % 900), 1) for i in range(60)]
