@@ -25,11 +25,11 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import codes_of, gram_codes, mixed, records, stored, table, unused_name
+from flowsieve.llm.common import SPACES, codes_of, gram_codes, mixed, records, stored, table, unused_name
 
 WINDOW = 20
 GRAM = 8
@@ -69,6 +69,7 @@ def _read(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags, shas, values, places = [], [], [], [], []
+            deals = batch.column(batch.schema.get_field_index("deal"))
             for doc, text in records(batch, "doc", "text"):
                 words = (text or "").encode().split()
                 sha, tag = _tag(words)
@@ -80,11 +81,11 @@ def _read(docs: DataFrame) -> DataFrame:
                 values.append(grams[at].view(np.int64))
                 places.append(at.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(shas, pa.string()), _lists(values, pa.int64()), _lists(places, pa.int32())],
-                names=["doc", "tag", "sha", "anchors", "places"],
+                [pa.array(ids, pa.int64()), deals, pa.array(tags, pa.int64()), pa.array(shas, pa.string()), _lists(values, pa.int64()), _lists(places, pa.int32())],
+                names=["doc", "deal", "tag", "sha", "anchors", "places"],
             )
 
-    return docs.mapInArrow(run, "doc long, tag long, sha string, anchors array<long>, places array<int>")
+    return docs.mapInArrow(run, "doc long, deal long, tag long, sha string, anchors array<long>, places array<int>")
 
 
 def _suffixes(found: DataFrame, parts: int) -> DataFrame:
@@ -230,33 +231,45 @@ def _repeated(packed: DataFrame, parts: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
-    """``doc, marks``: for each document with something to remove its tag, the starts of its windows that stand
-    earlier, and whether the whole of it does. ``docs`` has ``doc`` and ``text``."""
+    """``doc, deal, marks``: for each document with something to remove its tag, the starts of its windows that stand
+    earlier, and whether the whole of it does. ``docs`` has ``doc``, ``deal`` (see ``_deal``) and ``text``."""
     read = stored(_read(docs), "anchors")
     own = stored(
         read.groupBy("sha").agg(
-            F.min(F.struct("doc", "tag")).alias("d"), F.first("anchors").alias("anchors"), F.first("places").alias("places")
+            F.min(F.struct("doc", "tag", "deal")).alias("d"), F.first("anchors").alias("anchors"), F.first("places").alias("places")
         ).select("sha", "d.*", "anchors", "places"),
         "originals",
     )
-    places = own.select("doc", "tag", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select(
-        "doc", "tag", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place")
+    places = own.select("doc", "tag", "deal", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select(
+        "doc", "tag", "deal", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place")
     )
     # written: only a join of two plain exchanges lets the engine split a crowded anchor over tasks
     again = stored(places.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
-    hits = places.join(again, "anchor").groupBy("doc", "tag").agg(
+    hits = places.join(again, "anchor").groupBy("doc", "tag", "deal").agg(
         F.collect_list(F.struct("place", (F.col("n") > group_suffixes).alias("hot"))).alias("h")  # one document's
     )
-    hits = stored(hits.select("doc", F.struct("tag", F.col("h.place").alias("places"), F.col("h.hot").alias("hot")).alias("h")), "hits")
+    hits = stored(hits.select("doc", "deal", F.struct("tag", F.col("h.place").alias("places"), F.col("h.hot").alias("hot")).alias("h")), "hits")
     n = hits.agg(F.sum(F.size("h.places"))).first()[0] or 0
     parts = max(ceil(n / group_suffixes), docs.sparkSession.sparkContext.defaultParallelism)
-    texts = docs.join(hits.groupBy("doc").agg(F.collect_list("h").alias("hits")), "doc").select("doc", "text", "hits")
+    texts = docs.join(hits.groupBy("doc", "deal").agg(F.collect_list("h").alias("hits")), ["doc", "deal"]).select("doc", "text", "hits")
     windows = _repeated(_suffixes(texts, parts), parts)
     copies = read.select("doc", "tag", "sha").join(own.select("sha", F.col("doc").alias("first")), "sha").where("doc <> first")
     marks = windows.select("doc", "tag", "starts", F.lit(False).alias("copy")).unionByName(
         copies.select("doc", "tag", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")).distinct()
     )
-    return stored(marks.groupBy("doc").agg(F.collect_list(F.struct("tag", "starts", "copy")).alias("marks")), "marks")
+    without_id = F.col("doc") == NO_ID
+    by_text = marks.withColumn("own", F.when(without_id, F.col("tag")).otherwise(0)).groupBy("doc", "own")
+    found = stored(by_text.agg(F.collect_list(F.struct("tag", "starts", "copy")).alias("marks")), "marks")
+    deals = read.where(without_id).select(F.col("tag").alias("own"), "deal").distinct()
+    return found.where(~without_id).select("doc", F.lit(0).cast("long").alias("deal"), "marks").unionByName(
+        found.where(without_id).join(deals, "own").select("doc", "deal", "marks")
+    )
+
+
+def _deal() -> Column:
+    """Rows without an id have one place in the order; this deals them by their words. 0 for all others."""
+    words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), f"[{SPACES}]+", " "), F.lit(" "))
+    return F.when(F.col("doc_id").isNull(), F.xxhash64(words)).otherwise(F.lit(0).cast("long"))
 
 
 def kept_words(words: list[bytes], marks: list[dict]) -> list[bytes]:
@@ -277,11 +290,11 @@ def kept_words(words: list[bytes], marks: list[dict]) -> list[bytes]:
 
 def _with_marks(docs: DataFrame, group_suffixes: int) -> tuple[DataFrame, str]:
     """The rows with the marks of their document (NULL: none) in a column of that name."""
-    order, name = unused_name(docs, "_doc"), unused_name(docs, "_marks")
-    keyed = docs.withColumn(order, F.coalesce("doc_id", F.lit(NO_ID)))
-    found = repeated_windows(keyed.select(F.col(order).alias("doc"), "text"), group_suffixes)
-    marks = found.select(F.col("doc").alias(order), F.col("marks").alias(name))
-    return keyed.join(marks, order, "left").drop(order), name
+    order, deal, name = unused_name(docs, "_doc"), unused_name(docs, "_deal"), unused_name(docs, "_marks")
+    keyed = docs.withColumn(order, F.coalesce("doc_id", F.lit(NO_ID))).withColumn(deal, _deal())
+    found = repeated_windows(keyed.select(F.col(order).alias("doc"), F.col(deal).alias("deal"), "text"), group_suffixes)
+    marks = found.select(F.col("doc").alias(order), F.col("deal").alias(deal), F.col("marks").alias(name))
+    return keyed.join(marks, [order, deal], "left").drop(order, deal), name
 
 
 def without_repeats(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:

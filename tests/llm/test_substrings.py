@@ -67,6 +67,24 @@ def test_rows(spark, tables) -> None:
     assert digests(docs.where("false")).collect() == []
 
 
+def test_many_rows_without_id(spark) -> None:
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdef", k=3)) for _ in range(40)]
+    shared = " ".join(rng.choices(words, k=30))
+    rows = [(None, f"{' '.join(rng.choices(words, k=12))} {shared if i % 3 == 0 else i}") for i in range(2500)]
+    rows += [(None, t) for _, t in rows[:1200]] + [(None, f"\t{t.replace(' ', '  ')}\n") for _, t in rows[:1300:5]]
+    rows += [(4, rows[0][1]), (5, None)]
+    kept = brute([(i, " ".join((t or "").split())) for i, t in rows])
+    expected = Counter()
+    for i, t in rows:
+        n = (t or "").encode().split()
+        left = kept[i, " ".join((t or "").split())]
+        expected[i, len(n), len(n) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()] += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert Counter(tuple(r) for r in digests(docs).collect()) == expected
+    assert "_deal" not in without_repeats(docs).columns
+
+
 def test_oracle(spark) -> None:
     con = duckdb.connect()
     con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
