@@ -5,7 +5,7 @@ one subtraction and one product in numpy. Language and length are part of a fing
 
 1. fingerprints of one and two words are counted, by task first, and Spark adds them up;
 2. those of three and four words, where every two words in them are frequent;
-3. n-grams with a frequent fingerprint point to their first place in the slice of text at hand. Every other occurrence
+3. n-grams with a frequent fingerprint point to one place of it in the slice of text at hand. Every other occurrence
    is compared with the words at that place, so that a collision is counted apart, and the words there are the
    phrase that is written out. Counts by phrase are exact: the fingerprints only decide what isn't written.
 
@@ -164,7 +164,7 @@ def frequent_codes(docs: DataFrame, wanted: Callable[[Slice], Iterator[np.ndarra
         for piece in _slices(batches, most):
             found, times = np.unique(np.concatenate(list(wanted(piece))), return_counts=True)
             codes, counts = np.concatenate((codes, found)), np.concatenate((counts, times))
-            order = np.argsort(codes)
+            order = np.argsort(codes, kind="stable")  # two sorted runs: merged, not sorted anew
             codes, counts = codes[order], counts[order]
             heads = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else order
             codes, counts = codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
@@ -255,9 +255,9 @@ def counted_phrases(docs: DataFrame, frequent: bytes, bits: int, most: int = SLI
 
 
 def pointed(piece: Slice, places: np.ndarray, codes: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    """The first place of each phrase and how often it occurs; equal fingerprints count together only if language
-    and words are those of the first place."""
-    order = np.argsort(codes, kind="stable")
+    """A place of each phrase and how often it occurs; equal fingerprints count together only if language
+    and words are those of that place. Which of its places that is changes no count, so the order among them is left open."""
+    order = np.argsort(codes)
     places, codes = places[order], codes[order]
     heads = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else order
     sizes = np.diff(np.append(heads, len(codes)))
