@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from flowsieve.functions.columns import finite_or_null, named
 
 #: Items of a level of the sketch, the most that it takes, and the share of the rows that a rank is given on either side.
-SKETCH, MARGIN = 4096, 0.002
+SKETCH, MARGIN = 16384, 0.0005
 BINS = 256
 LAST_ROWS = 20_000
 
