@@ -23,6 +23,7 @@ import re
 import string
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ SCALE = 2_000_000
 UNKNOWN = "und"
 #: Bytes of text that a task looks at together.
 SLICE_BYTES = 2 << 20
-#: Fingerprints and phrases a task adds up before it passes them on.
-HELD_CODES, HELD_PHRASES = 1 << 20, 100_000
+#: Fingerprints and phrases a task adds up before it passes them on, and the bytes of the phrases' table.
+HELD_CODES, HELD_PHRASES, HELD_BYTES = 1 << 20, 1 << 19, 32 << 20
 #: Rows of a batch that a task gives back.
 OUT_ROWS = 1 << 16
 #: The map of frequent fingerprints has 2**FILTER_BITS bits (16 MB), made in segments of 2**SEGMENT_BITS.
@@ -52,7 +53,7 @@ _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
 _LENGTHS = np.array([0, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xF1357AEA2E62A9C5], np.uint64)
 #: Fixed by the contract: pieces end at these characters.
 ENDS = ".,;:!?\n\x0b\x0c\r"
-_BREAK = b"."
+_BREAK, _GAP = b".", b" "
 _WORD_END = re.compile(rb"[^ \t.][ \t.]")
 _TO_BREAKS = bytes(_BREAK[0] if b in ENDS.encode() else b for b in range(256)).lower()
 
@@ -83,27 +84,30 @@ class Slice:
     """Words of some texts in a row, with the fingerprints of their n-grams."""
 
     def __init__(self, parts: list[tuple[str, bytes, int]]) -> None:
-        words: list[bytes] = []
-        langs, sizes, overlaps = [], [], []
+        texts, langs, sizes, overlaps = [], [], [], []
         for lang, data, overlap in parts:
             found = data.replace(_BREAK, b" . ").split()
             found.append(_BREAK)
-            words += found
+            texts.append(b" ".join(found))
             langs.append(lang)
             sizes.append(len(found))
             overlaps.append(overlap)
-        index: dict[bytes, int] = {}
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
-        codes = codes_of(list(index))
-        self.words, self.ids = words, ids
+        self.data = b"".join(t + b" " for t in texts)
+        letters = np.frombuffer(self.data, np.uint8)
+        self.ends = np.flatnonzero(letters == _GAP[0])
+        offsets = np.concatenate(([0], self.ends + 1))
+        self.starts = offsets[:-1]
+        words = pa.Array.from_buffers(pa.large_binary(), len(self.ends), [None, pa.py_buffer(offsets), pa.py_buffer(self.data)]).dictionary_encode()
+        ids = self.ids = words.indices.to_numpy()
+        codes = codes_of(words.dictionary.to_pylist())  # each with the gap behind it
         self.names = langs
         self.part = np.repeat(np.arange(len(parts)), sizes)
         ends = np.cumsum(sizes)
         self.fresh = np.repeat(ends - sizes + overlaps, sizes)  # n-grams that end before were counted
-        self.breaks = np.concatenate(([0], np.cumsum(ids == index.get(_BREAK, -1))))
+        self.breaks = np.concatenate(([0], np.cumsum(letters[self.starts] == _BREAK[0])))
         lang_codes = codes_of([x.encode() for x in langs])
         self.tint = np.repeat(lang_codes, sizes)
-        powers = np.full(max(len(words), 1), _BASE, np.uint64)
+        powers = np.full(max(len(ids), 1), _BASE, np.uint64)
         powers[0] = 1
         powers = np.multiply.accumulate(powers)
         undo = np.full(len(powers), _INVERSE, np.uint64)
@@ -111,6 +115,15 @@ class Slice:
         self.undo = np.multiply.accumulate(undo)
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[ids] * powers[: len(ids)], dtype=np.uint64)))
 
+    @cached_property
+    def words(self) -> list[bytes]:
+        return self.data.split()
+
+    def phrases(self, places: np.ndarray, n: int) -> pa.Array:
+        """The n words at each place."""
+        ends = self.ends[places + (n - 1)]
+        return pa.array([self.data[a:b] for a, b in zip(self.starts[places].tolist(), ends.tolist())], pa.binary())
+
     def places(self, n: int) -> np.ndarray:
         """Where an n-gram of one piece starts that no earlier block has had."""
         starts = np.arange(max(len(self.ids) - n + 1, 0))
@@ -221,6 +234,51 @@ def _longer(model, bits: int) -> Callable[[Slice], Iterator[np.ndarray]]:
     return wanted
 
 
+def _summed(counts: list[pa.Table]) -> pa.Table:
+    keys = ["lang", "size", "phrase"]
+    found = pa.concat_tables(counts).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return pa.table({**{k: found.column(k) for k in keys}, "n": found.column("n_sum")})
+
+
+def phrase_counts(slices: Iterator[Slice], known: Filter, most: int = HELD_PHRASES, most_bytes: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+    """``lang, size, phrase, n`` of the n-grams with a known fingerprint, added up over the slices in tables of at most
+    ``most`` rows and ``most_bytes`` bytes and those of one slice."""
+    langs: dict[str, int] = {}
+    held: list[pa.Table] = []
+
+    def hold(lang: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> None:
+        sizes = np.full(len(lang), size, np.int32)
+        held.append(pa.table({"lang": lang.astype(np.int32), "size": sizes, "phrase": phrases, "n": n.astype(np.int64)}))
+
+    def full(share: int = 1) -> bool:
+        return sum(t.num_rows for t in held) > most // share or sum(t.nbytes for t in held) > most_bytes // share
+
+    def made() -> Iterator[pa.RecordBatch]:
+        names = pa.array(list(langs), pa.string())
+        for batch in held.pop().to_batches(max_chunksize=OUT_ROWS):
+            columns = [names.take(batch.column("lang")), batch.column("size"), batch.column("phrase").cast(pa.string()), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n"])
+
+    for piece in slices:
+        lang = np.array([langs.setdefault(x, len(langs)) for x in piece.names], np.int64)[piece.part]
+        totals = np.bincount(lang[piece.places(1)])
+        spoken = np.flatnonzero(totals)
+        hold(spoken, 0, pa.array([b""] * len(spoken), pa.binary()), totals[spoken])
+        for n in range(1, LONGEST + 1):
+            here = piece.places(n)
+            codes = piece.codes(here, n)
+            hit = known.has(codes)
+            places, times = pointers(piece, here[hit], codes[hit], n)
+            hold(lang[places], n, piece.phrases(places, n), times)
+        if full():
+            held[:] = [_summed(held)]
+            if full(2):
+                yield from made()
+    if held:
+        held[:] = [_summed(held)]
+        yield from made()
+
+
 def counted_phrases(docs: DataFrame, frequent: bytes, bits: int, most: int = SLICE_BYTES) -> DataFrame:
     """``lang, size, phrase, n`` of all n-grams with a frequent fingerprint; size 0 has all words of the language."""
     spark = docs.sparkSession
@@ -228,33 +286,12 @@ def counted_phrases(docs: DataFrame, frequent: bytes, bits: int, most: int = SLI
     schema = "lang string, size int, phrase string, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(model.value, bits)
-        counts: dict[tuple[str, int], Counter] = defaultdict(Counter)
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, size), mine in counts.items():
-                names = [pa.array([lang] * len(mine), pa.string()), pa.array([size] * len(mine), pa.int32())]
-                found = [pa.array(list(mine), pa.binary()).cast(pa.string()), pa.array(list(mine.values()), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*names, *found], names=["lang", "size", "phrase", "n"])
-            counts.clear()
-
-        for piece in _slices(batches, most):
-            for part, n in zip(*np.unique(piece.part[piece.places(1)], return_counts=True)):
-                counts[piece.names[part], 0][b""] += int(n)
-            for n in range(1, LONGEST + 1):
-                here = piece.places(n)
-                codes = piece.codes(here, n)
-                hit = known.has(codes)
-                for place, times in pointed(piece, here[hit], codes[hit], n):
-                    counts[piece.names[piece.part[place]], n][b" ".join(piece.words[place : place + n])] += times
-            if sum(map(len, counts.values())) > HELD_PHRASES:
-                yield from flush()
-        yield from flush()
+        yield from phrase_counts(_slices(batches, most), Filter(model.value, bits))
 
     return _texts(docs).mapInArrow(run, schema).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
-def pointed(piece: Slice, places: np.ndarray, codes: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+def pointers(piece: Slice, places: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A place of each phrase and how often it occurs; equal fingerprints count together only if language
     and words are those of that place. Which of its places that is changes no count, so the order among them is left open."""
     order = np.argsort(codes)
@@ -265,11 +302,16 @@ def pointed(piece: Slice, places: np.ndarray, codes: np.ndarray, n: int) -> Iter
     same = piece.tint[places] == piece.tint[pointer]
     for k in range(n):
         same &= piece.ids[places + k] == piece.ids[pointer + k]
-    if len(codes):
-        yield from zip(places[heads].tolist(), np.add.reduceat(same.astype(np.int64), heads).tolist())
+    times = np.add.reduceat(same.astype(np.int64), heads) if len(codes) else heads
     others = Counter((piece.names[piece.part[p]], *piece.ids[p : p + n].tolist()) for p in places[~same])
     first = {(piece.names[piece.part[p]], *piece.ids[p : p + n].tolist()): p for p in reversed(places[~same])}
-    yield from ((int(first[k]), times) for k, times in others.items())
+    more = np.array([first[k] for k in others], np.int64), np.array([*others.values()], np.int64)
+    return np.concatenate((places[heads], more[0])), np.concatenate((times, more[1]))
+
+
+def pointed(piece: Slice, places: np.ndarray, codes: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """The same, one by one."""
+    yield from zip(*(x.tolist() for x in pointers(piece, places, codes, n)))
 
 
 def _part(words: Column, start, size) -> Column:

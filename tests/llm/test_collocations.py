@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from flowsieve.llm.collocations import ORACLE, Slice, blocks, collocations, op11_collocations, pointed
+from flowsieve.llm.collocations import ORACLE, Filter, Slice, blocks, collocations, op11_collocations, phrase_counts, pointed
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -74,6 +74,28 @@ def test_equal_fingerprints_of_other_words_count_apart() -> None:
     assert found == {("en", (b"a", b"b")): 3, ("en", (b"b", b"a")): 1, ("en", (b"b", b"c")): 1, ("en", (b"c", b"d")): 1, ("en", (b"d", b"a")): 1, ("fr", (b"a", b"b")): 1}
 
 
+def test_a_task_sends_a_phrase_once() -> None:
+    every = Filter(b"\xff", 3)
+    texts = [" ".join(f"w{i}" for i in range(30_000)).encode(), b"un deux. trois"]
+    slices = [[("en", texts[0], 0)], [("fr", texts[1], 0), ("en", texts[0], 0)], [("fr", texts[1], 0)]]
+    expected: Counter = Counter()
+    for lang, text, _ in sum(slices, []):
+        for words in pieces(text.decode()):
+            expected[lang, 0, ""] += len(words)
+            for n in range(1, 5):
+                expected.update((lang, n, " ".join(words[i : i + n])) for i in range(len(words) - n + 1))
+    found = [row for batch in phrase_counts(map(Slice, slices), every) for row in zip(*batch.to_pydict().values())]
+    assert len(found) == len(expected) > 100_000  # more than a task held before
+    assert {row[:3]: row[3] for row in found} == expected
+    # tables that are full go on their own
+    for limits in ((1000, 1 << 30), (1 << 30, 1000)):
+        parts: Counter = Counter()
+        for batch in phrase_counts(map(Slice, slices), every, *limits):
+            for *key, n in zip(*batch.to_pydict().values()):
+                parts[tuple(key)] += n
+        assert parts == expected
+
+
 @pytest.mark.parametrize("settings", [{}, {"bits": 6, "most": 200}, {"top": 5, "least": 60}])
 def test_against_brute_force(spark, settings) -> None:
     rows = rows_of(random.Random(1), 500)
