@@ -29,14 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import SPACES, codes_of, gram_codes, mixed, records, stored, table, unused_name
+from flowsieve.llm.common import SPACES, codes_of, gram_codes, mixed, records, slices, stored, table, unused_name
 
 WINDOW = 20
 GRAM = 8
 SPAN = WINDOW - GRAM + 1
 LEFT = SPAN - 1  # words that a window may have left of its anchor
 GROUP_SUFFIXES = 20_000
-SLICE = 1 << 15  # suffixes that are packed together
+SLICE = 1 << 13  # suffixes that are packed together
+ROW_BYTES = 1 << 14  # most that a row of packed suffixes holds: the engine hands rows on by the thousand
 NO_ID = 2**63 - 1
 
 _SUFFIX = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("at", "<i4"), ("low", "i1"), ("high", "i1"), ("words", "<u8", (LEFT + WINDOW,))])
@@ -156,7 +157,8 @@ def _by_part(rows: np.ndarray, keys: np.ndarray, parts: int, kind: int) -> list[
     order = np.argsort(part, kind="stable")
     rows, part = rows[order], part[order]
     cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(0, int)
-    return [(int(part[a]), kind, rows[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+    most = ROW_BYTES // rows.itemsize
+    return [(int(part[a]), kind, rows[x : min(x + most, b)].tobytes()) for a, b in zip(cuts.tolist(), cuts[1:].tolist()) for x in range(a, b, most)]
 
 
 def _firsts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -308,7 +310,7 @@ def without_repeats(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> Da
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             texts, sizes = [], []
             for text, marks in records(batch, "text", name):
                 if text is not None and marks:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import codes_of, id_fold, mixed, records, stored, table, unused_name
+from flowsieve.llm.common import codes_of, id_fold, mixed, records, slices, stored, table, unused_name
 from flowsieve.operators.bounds import bounded_rows, small_table
 
 RUN = 5
@@ -236,8 +236,9 @@ def scored(docs: DataFrame, toxic: bytes, ordinary: bytes, name: str = "gain") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pa.array([gain(t, *shared.value) for (t,) in records(batch, "text")], pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=names)
+            for part in slices(batch):
+                found = pa.array([gain(t, *shared.value) for (t,) in records(part, "text")], pa.int32())
+                yield pa.RecordBatch.from_arrays([*part.columns, found], names=names)
 
     return docs.mapInArrow(run, schema)
 

@@ -85,6 +85,23 @@ def test_many_rows_without_id(spark) -> None:
     assert "_deal" not in without_repeats(docs).columns
 
 
+def test_rows_of_packed_suffixes_are_small() -> None:
+    import numpy as np
+
+    from flowsieve.llm.substrings import _SUFFIX, _WHOLE, _packed
+
+    for kind, layout in enumerate((_SUFFIX, _WHOLE)):
+        rows = np.zeros(20_000, layout)
+        rows["at"] = np.arange(len(rows))
+        rows["words" if kind == 0 else "a"] = 7  # one prefix: all in one part
+        packed = _packed([(kind, np.full(len(rows), 7, np.uint64), rows)], 4).to_pylist()
+        assert max(len(r["data"]) for r in packed) <= 1 << 14
+        found = np.concatenate([np.frombuffer(r["data"], layout) for r in packed])
+        assert sorted(found["at"].tolist()) == list(range(len(rows)))
+        if kind == 0:
+            assert {r["part"] for r in packed} == {3}
+
+
 def test_oracle(spark) -> None:
     con = duckdb.connect()
     con.sql("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
