@@ -41,7 +41,7 @@ UNKNOWN = "und"
 #: Bytes of text that a task looks at together.
 SLICE_BYTES = 2 << 20
 #: Fingerprints and phrases a task adds up before it passes them on, and the bytes of the phrases' table.
-HELD_CODES, HELD_PHRASES, HELD_BYTES = 1 << 20, 1 << 19, 32 << 20
+HELD_CODES, HELD_PHRASES, HELD_BYTES = 1 << 20, 1 << 18, 32 << 20
 #: Rows of a batch that a task gives back.
 OUT_ROWS = 1 << 16
 #: The map of frequent fingerprints has 2**FILTER_BITS bits (16 MB), made in segments of 2**SEGMENT_BITS.
