@@ -9,8 +9,8 @@ one subtraction and one product in numpy. Language and length are part of a fing
    is compared with the words at that place, so that a collision is counted apart, and the words there are the
    phrase that is written out. Counts by phrase are exact: the fingerprints only decide what isn't written.
 
-Frequent fingerprints go to the tasks as bits of a map of fixed size. Chance hits cost rows, never results; a corpus
-with far more frequent n-grams than the map has bits saves less and gives the same.
+Frequent fingerprints go to the tasks as bits of a map of fixed size, two for each. Chance hits cost rows, never results; a
+corpus with far more frequent n-grams than the map has bits saves less and gives the same.
 
 NULL texts are empty, a NULL language is ``und``. Texts are read whole, long ones in blocks that overlap by three words
 if no piece ends; repeated rows count each; ties go by count, then phrase; an empty table gives no row; other columns
@@ -27,6 +27,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +42,13 @@ UNKNOWN = "und"
 #: Bytes of text that a task looks at together.
 SLICE_BYTES = 2 << 20
 #: Fingerprints and phrases a task adds up before it passes them on, and the bytes of the phrases' table.
-HELD_CODES, HELD_PHRASES, HELD_BYTES = 1 << 20, 1 << 18, 32 << 20
+HELD_CODES, HELD_PHRASES, HELD_BYTES = 1 << 20, 1 << 20, 32 << 20
 #: Rows of a batch that a task gives back.
 OUT_ROWS = 1 << 16
 #: The map of frequent fingerprints has 2**FILTER_BITS bits (16 MB), made in segments of 2**SEGMENT_BITS.
 FILTER_BITS, SEGMENT_BITS = 27, 20
+#: Bits of a fingerprint in the map, from parts of it that don't overlap: rare n-grams pass by chance with the square of the share of set bits.
+PROBES = 2
 #: Buckets that rank a language's phrases before the last ranking.
 BUCKETS = 64
 _BASE = 0x9E3779B97F4A7C15
@@ -138,11 +141,15 @@ class Filter:
     """The bits of frequent fingerprints."""
 
     def __init__(self, data: bytes, bits: int) -> None:
-        self.data, self.shift = np.frombuffer(data, np.uint8), np.uint64(64 - bits)
+        self.data, self.bits = np.frombuffer(data, np.uint8), bits
 
     def has(self, codes: np.ndarray) -> np.ndarray:
-        place = (codes >> self.shift).astype(np.int64)
-        return (self.data[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+        found = np.ones(len(codes), bool)
+        for k in range(PROBES):
+            left = np.flatnonzero(found)
+            place = (codes[left] << np.uint64(k * self.bits) >> np.uint64(64 - self.bits)).astype(np.int64)
+            found[left] = self.data[place >> 3] >> (place & 7).astype(np.uint8) & 1
+        return found
 
 
 def _slices(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Slice]:
@@ -190,7 +197,7 @@ def frequent_codes(docs: DataFrame, wanted: Callable[[Slice], Iterator[np.ndarra
 
 
 def bit_map(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
-    """Bits of the fingerprints' first ``bits`` bits; tasks fill segments, the driver gets at most 2**bits bits."""
+    """The map that ``Filter`` reads; tasks fill segments, the driver gets at most 2**bits bits."""
     segment_bits = min(SEGMENT_BITS, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +212,8 @@ def bit_map(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([data], pa.binary())], names=["segment", "bits"])
 
     tasks = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = codes.select(F.shiftrightunsigned("fp", 64 - bits).alias("place"))
+    probes = [F.shiftrightunsigned(F.shiftleft("fp", k * bits), 64 - bits) for k in range(PROBES)]
+    places = codes.select(F.explode(F.array(*probes)).alias("place"))
     dealt = places.repartition(tasks, F.shiftright("place", segment_bits))
     out = bytearray(max((1 << bits) >> 3, 1))
     size = max((1 << segment_bits) >> 3, 1)
@@ -234,49 +242,90 @@ def _longer(model, bits: int) -> Callable[[Slice], Iterator[np.ndarray]]:
     return wanted
 
 
+def _table(lang: np.ndarray, size: np.ndarray, phrases: pa.Array, n: np.ndarray) -> pa.Table:
+    return pa.table({"lang": lang.astype(np.int32), "size": size.astype(np.int32), "phrase": phrases, "n": n.astype(np.int64)})
+
+
 def _summed(counts: list[pa.Table]) -> pa.Table:
     keys = ["lang", "size", "phrase"]
     found = pa.concat_tables(counts).group_by(keys, use_threads=False).aggregate([("n", "sum")])
     return pa.table({**{k: found.column(k) for k in keys}, "n": found.column("n_sum")})
 
 
+class Tally:
+    """Phrases with their counts, one for each fingerprint."""
+
+    def __init__(self) -> None:
+        self.codes, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending codes, and where their phrases stand
+        self.table = _table(np.zeros(0), np.zeros(0), pa.array([], pa.binary()), np.zeros(0)).drop_columns("n")
+        self.n = np.zeros(0, np.int64)
+
+    def add(self, codes: np.ndarray, table: pa.Table) -> pa.Table:
+        """Adds the rows' counts and returns those whose fingerprint stands for another phrase."""
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        first = np.concatenate(([True], codes[1:] != codes[:-1])) if len(codes) else np.zeros(0, bool)
+        apart = [order[~first]]
+        order, codes = order[first], codes[first]
+        at = np.searchsorted(self.codes, codes)
+        known = np.zeros(len(codes), bool)
+        inside = at < len(self.codes)
+        known[inside] = self.codes[at[inside]] == codes[inside]
+        rows, mine = self.rows[at[known]], order[known]
+        here, there = table.take(mine), self.table.take(rows)
+        same = np.ones(len(rows), bool)
+        for name in ("lang", "size", "phrase"):
+            same &= pc.equal(here.column(name), there.column(name)).to_numpy()
+        self.n[rows[same]] += here.column("n").to_numpy()[same]
+        apart.append(mine[~same])
+        fresh = table.take(order[~known])
+        self.codes = np.concatenate((self.codes, codes[~known]))
+        self.rows = np.concatenate((self.rows, len(self.n) + np.arange(fresh.num_rows)))
+        sort = np.argsort(self.codes, kind="stable")  # two sorted runs: merged, not sorted anew
+        self.codes, self.rows = self.codes[sort], self.rows[sort]
+        self.n = np.concatenate((self.n, fresh.column("n").to_numpy()))
+        self.table = pa.concat_tables([self.table, fresh.drop_columns("n")]).combine_chunks()
+        return table.take(np.concatenate(apart))
+
+    def whole(self) -> pa.Table:
+        return self.table.append_column("n", pa.array(self.n))
+
+
 def phrase_counts(slices: Iterator[Slice], known: Filter, most: int = HELD_PHRASES, most_bytes: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
     """``lang, size, phrase, n`` of the n-grams with a known fingerprint, added up over the slices in tables of at most
     ``most`` rows and ``most_bytes`` bytes and those of one slice."""
     langs: dict[str, int] = {}
-    held: list[pa.Table] = []
-
-    def hold(lang: np.ndarray, size: int, phrases: pa.Array, n: np.ndarray) -> None:
-        sizes = np.full(len(lang), size, np.int32)
-        held.append(pa.table({"lang": lang.astype(np.int32), "size": sizes, "phrase": phrases, "n": n.astype(np.int64)}))
+    spoken: Counter = Counter()
+    tally, apart = Tally(), []
 
-    def full(share: int = 1) -> bool:
-        return sum(t.num_rows for t in held) > most // share or sum(t.nbytes for t in held) > most_bytes // share
-
-    def made() -> Iterator[pa.RecordBatch]:
+    def made(table: pa.Table) -> Iterator[pa.RecordBatch]:
         names = pa.array(list(langs), pa.string())
-        for batch in held.pop().to_batches(max_chunksize=OUT_ROWS):
+        for batch in table.to_batches(max_chunksize=OUT_ROWS):
             columns = [names.take(batch.column("lang")), batch.column("size"), batch.column("phrase").cast(pa.string()), batch.column("n")]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n"])
 
     for piece in slices:
         lang = np.array([langs.setdefault(x, len(langs)) for x in piece.names], np.int64)[piece.part]
         totals = np.bincount(lang[piece.places(1)])
-        spoken = np.flatnonzero(totals)
-        hold(spoken, 0, pa.array([b""] * len(spoken), pa.binary()), totals[spoken])
+        spoken.update({k: int(totals[k]) for k in np.flatnonzero(totals).tolist()})
+        found, tables = [], []
         for n in range(1, LONGEST + 1):
             here = piece.places(n)
             codes = piece.codes(here, n)
             hit = known.has(codes)
             places, times = pointers(piece, here[hit], codes[hit], n)
-            hold(lang[places], n, piece.phrases(places, n), times)
-        if full():
-            held[:] = [_summed(held)]
-            if full(2):
-                yield from made()
-    if held:
-        held[:] = [_summed(held)]
-        yield from made()
+            found.append(piece.codes(places, n))
+            tables.append(_table(lang[places], np.full(len(places), n), piece.phrases(places, n), times))
+        apart.append(tally.add(np.concatenate(found), pa.concat_tables(tables).combine_chunks()))
+        apart = [_summed(apart)]
+        if len(tally.codes) + apart[0].num_rows > most or tally.table.nbytes + apart[0].nbytes > most_bytes:
+            yield from made(tally.whole())
+            yield from made(apart.pop())
+            tally = Tally()
+    yield from made(tally.whole())
+    for table in apart:
+        yield from made(table)
+    yield from made(_table(np.array([*spoken]), np.zeros(len(spoken)), pa.array([b""] * len(spoken), pa.binary()), np.array([*spoken.values()])))
 
 
 def counted_phrases(docs: DataFrame, frequent: bytes, bits: int, most: int = SLICE_BYTES) -> DataFrame:

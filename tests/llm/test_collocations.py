@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from flowsieve.llm.collocations import ORACLE, Filter, Slice, blocks, collocations, op11_collocations, phrase_counts, pointed
+from flowsieve.llm.collocations import ORACLE, Filter, Slice, Tally, _table, bit_map, blocks, collocations, op11_collocations, phrase_counts, pointed
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -96,6 +97,32 @@ def test_a_task_sends_a_phrase_once() -> None:
         assert parts == expected
 
 
+def test_a_task_sends_each_of_very_many_phrases_once() -> None:
+    text = " ".join(f"w{i}" for i in range(110_000)).encode()
+    batches = list(phrase_counts(map(Slice, [[("en", text, 0)]] * 3), Filter(b"\xff", 3)))
+    assert sum(b.num_rows for b in batches) == 4 * 110_000 - 6 + 1
+    assert Counter(n for b in batches for n in b.column("n").to_pylist()) == {3: 4 * 110_000 - 6, 330_000: 1}
+
+
+def test_a_fingerprint_of_another_phrase_is_counted_apart() -> None:
+    def rows(*found: tuple) -> tuple:
+        codes, lang, size, phrases, n = zip(*found)
+        return np.array(codes, np.uint64), _table(np.array(lang), np.array(size), pa.array(phrases, pa.binary()), np.array(n))
+
+    tally = Tally()
+    assert tally.add(*rows((7, 0, 1, b"a", 2), (3, 0, 1, b"b", 1), (7, 0, 1, b"c", 4))).column("phrase").to_pylist() == [b"c"]
+    apart = tally.add(*rows((3, 0, 1, b"b", 5), (7, 1, 1, b"a", 1), (9, 0, 2, b"d e", 1)))
+    assert apart.to_pylist() == [{"lang": 1, "size": 1, "phrase": b"a", "n": 1}]
+    assert sorted((r["phrase"], r["n"]) for r in tally.whole().to_pylist()) == [(b"a", 2), (b"b", 6), (b"d e", 1)]
+
+
+def test_rare_phrases_seldom_pass_the_map(spark) -> None:
+    codes = np.random.default_rng(2).integers(0, 1 << 64, 101_000, dtype=np.uint64)
+    known = Filter(bit_map(spark.createDataFrame([(int(c),) for c in codes[:1000].view(np.int64)], "fp long"), 14), 14)
+    assert known.has(codes[:1000]).all()
+    assert known.has(codes[1000:]).sum() < 2_500  # one bit each lets 6 % of them pass
+
+
 @pytest.mark.parametrize("settings", [{}, {"bits": 6, "most": 200}, {"top": 5, "least": 60}])
 def test_against_brute_force(spark, settings) -> None:
     rows = rows_of(random.Random(1), 500)
