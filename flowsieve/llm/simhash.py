@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import records, stored, table
+from flowsieve.llm.common import dropped, records, stored, table
 
 SHINGLE = 3
 RADIUS = 3
@@ -227,7 +227,8 @@ def components(links: DataFrame) -> DataFrame:
         if sums["n"] == 0 or (sums["n"], sums["s"]) == before:
             return edges
         before = (sums["n"], sums["s"])
-        edges = stored(small(large(edges)), "stars")
+        old, edges = edges, stored(small(large(edges)), "stars")
+        dropped(old)
 
 
 def grouped(docs: DataFrame, most: int = SHARD_ROWS, size: int = SHINGLE) -> DataFrame:

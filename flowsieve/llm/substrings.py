@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowsieve.llm.common import SPACES, codes_of, gram_codes, mixed, records, slices, stored, table, unused_name
+from flowsieve.llm.common import SPACES, codes_of, dropped, gram_codes, mixed, records, slices, stored, table, unused_name
 
 WINDOW = 20
 GRAM = 8
@@ -242,6 +242,11 @@ def repeated_windows(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> D
         ).select("sha", "d.*", "anchors", "places"),
         "originals",
     )
+    copies = read.select("doc", "tag", "sha").join(own.select("sha", F.col("doc").alias("first")), "sha").where("doc <> first")
+    copies = stored(copies.select("doc", "tag").distinct(), "copies")
+    without_id = F.col("doc") == NO_ID
+    deals = stored(read.where(without_id).select(F.col("tag").alias("own"), "deal").distinct(), "deals")
+    dropped(read)
     places = own.select("doc", "tag", "deal", F.explode(F.arrays_zip("anchors", "places")).alias("a")).select(
         "doc", "tag", "deal", F.col("a.anchors").alias("anchor"), F.col("a.places").alias("place")
     )
@@ -251,18 +256,17 @@ def repeated_windows(docs: DataFrame, group_suffixes: int = GROUP_SUFFIXES) -> D
         F.collect_list(F.struct("place", (F.col("n") > group_suffixes).alias("hot"))).alias("h")  # one document's
     )
     hits = stored(hits.select("doc", "deal", F.struct("tag", F.col("h.place").alias("places"), F.col("h.hot").alias("hot")).alias("h")), "hits")
+    dropped(own, again)
     n = hits.agg(F.sum(F.size("h.places"))).first()[0] or 0
     parts = max(ceil(n / group_suffixes), docs.sparkSession.sparkContext.defaultParallelism)
     texts = docs.join(hits.groupBy("doc", "deal").agg(F.collect_list("h").alias("hits")), ["doc", "deal"]).select("doc", "text", "hits")
     windows = _repeated(_suffixes(texts, parts), parts)
-    copies = read.select("doc", "tag", "sha").join(own.select("sha", F.col("doc").alias("first")), "sha").where("doc <> first")
     marks = windows.select("doc", "tag", "starts", F.lit(False).alias("copy")).unionByName(
-        copies.select("doc", "tag", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy")).distinct()
+        copies.select("doc", "tag", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("copy"))
     )
-    without_id = F.col("doc") == NO_ID
     by_text = marks.withColumn("own", F.when(without_id, F.col("tag")).otherwise(0)).groupBy("doc", "own")
     found = stored(by_text.agg(F.collect_list(F.struct("tag", "starts", "copy")).alias("marks")), "marks")
-    deals = read.where(without_id).select(F.col("tag").alias("own"), "deal").distinct()
+    dropped(hits, copies)
     return found.where(~without_id).select("doc", F.lit(0).cast("long").alias("deal"), "marks").unionByName(
         found.where(without_id).join(deals, "own").select("doc", "deal", "marks")
     )

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import uuid
 from collections import Counter
 
 import duckdb
@@ -123,3 +124,13 @@ def test_words_that_share_half_a_code_stay_apart(spark) -> None:
     rows = [(2 * k + side, f"{word.decode()} {tail[k]}") for k, pair in enumerate(twins) for side, word in enumerate(pair)]
     found = {r["doc_id"]: r["n_removed"] for r in digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {i: 30 * (i % 2) for i, _ in rows}
+
+
+def test_scratch_tables_go_when_they_are_done(spark, tmp_path, monkeypatch) -> None:
+    rows = corpus()
+    kept = brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, anchors string")
+    monkeypatch.setattr("flowsieve.llm.common.scratch_path", lambda _, name: f"{tmp_path}/{name}-{uuid.uuid4().hex}")
+    found = digests(docs).collect()
+    assert sorted(r["n_removed"] for r in found) == sorted(len((t or "").split()) - len(kept[i, t]) for i, t, *_ in rows)
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["deals", "marks"]
