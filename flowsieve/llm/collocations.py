@@ -3,11 +3,15 @@
 Each text is a row of word codes; the prefix sums of a polynomial over them give the fingerprint of every n-gram by
 one subtraction and one product in numpy. Language and length are part of a fingerprint. Three passes read the texts:
 
-1. fingerprints of one and two words are counted, by task first, and Spark adds them up;
-2. those of three and four words, where every two words in them are frequent;
-3. n-grams with a frequent fingerprint point to one place of it in the slice of text at hand. Every other occurrence
-   is compared with the words at that place, so that a collision is counted apart, and the words there are the
-   phrase that is written out. Counts by phrase are exact: the fingerprints only decide what isn't written.
+1. words are counted by their text, by task first, and Spark adds them up;
+2. fingerprints of two words, both frequent, are counted with that of the first word;
+3. those of three and four words, where every two words in them are frequent, with that of all but the last.
+
+The difference between a fingerprint and that of its first words is the code of its last word, so a frequent
+fingerprint is written out by joining its first words and its last one: one row for each phrase, however many tasks
+met it. Counts by phrase are exact: a fingerprint that came with two different beginnings, or a word code that two words
+share, is noticed, and what contains it is counted by its text in one more pass (``phrase_counts``). There n-grams
+point to one place in the slice of text at hand, and every other occurrence is compared with the words at that place.
 
 Frequent fingerprints go to the tasks as bits of a map of fixed size, two for each. Chance hits cost rows, never results; a
 corpus with far more frequent n-grams than the map has bits saves less and gives the same.
@@ -23,7 +27,7 @@ import re
 import string
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +57,7 @@ PROBES = 2
 BUCKETS = 64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+_MIXER_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
 _LENGTHS = np.array([0, 0xD1B54A32D192ED03, 0xABC98388FB8FAC03, 0x8CB92BA72F3D8DD7, 0xF1357AEA2E62A9C5], np.uint64)
 #: Fixed by the contract: pieces end at these characters.
 ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -170,30 +175,81 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("text"))
 
 
-def frequent_codes(docs: DataFrame, wanted: Callable[[Slice], Iterator[np.ndarray]], least: int, most: int = SLICE_BYTES) -> DataFrame:
-    """``fp`` of the fingerprints that occur ``least`` times or more, of those that ``wanted`` takes from a slice."""
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """What ``mixed`` was given."""
+    x = x ^ (x >> np.uint64(32))
+    x = x * _MIXER_INVERSE
+    x = x ^ (x >> np.uint64(32))
+    x = x * _MIXER_INVERSE
+    return x ^ (x >> np.uint64(32))
+
+
+def last_codes(size: np.ndarray, codes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The code of an n-gram's last word, from the fingerprints of the n-gram and of the words before the last."""
+    undo = np.array([1, *(pow(_BASE, -k, 1 << 64) for k in range(1, LONGEST))], np.uint64)
+    added = unmixed(codes) - _LENGTHS[size] - (unmixed(firsts) - _LENGTHS[size - 1])
+    return added * undo[size - 1]
+
+
+def word_codes(langs: list[str], words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words, the same in every language, and their fingerprints."""
+    codes = codes_of([w + _GAP for w in words])
+    names = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
+    tints = codes_of([lang.encode() for lang in names])
+    return codes, mixed(codes + tints[[names[lang] for lang in langs]] + _LENGTHS[1]) if names else codes
+
+
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _added(codes: np.ndarray, firsts: np.ndarray, n: np.ndarray) -> Counts:
+    """Counts of equal neighbours in the order of the codes."""
+    order = np.argsort(codes, kind="stable")  # two sorted runs: merged, not sorted anew
+    codes, firsts, n = codes[order], firsts[order], n[order]
+    if not len(codes):
+        return codes, firsts, n
+    heads = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]) | (firsts[1:] != firsts[:-1]))))
+    return codes[heads], firsts[heads], np.add.reduceat(n, heads)
+
+
+Wanted = Callable[["Slice"], Iterator[tuple[int, np.ndarray, np.ndarray]]]
+
+
+def frequent_grams(docs: DataFrame, wanted: Wanted, least: int, most: int = SLICE_BYTES) -> DataFrame:
+    """``size, fp, first, n, sole, code`` of the fingerprints that occur ``least`` times or more, of those that
+    ``wanted`` takes from a slice: the words before the last have the fingerprint ``first`` (always if ``sole``), the
+    last one has the code ``code``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        held: dict[int, Counts] = {}
 
         def made() -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(codes), OUT_ROWS):
-                part = slice(at, at + OUT_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array(codes[part].view(np.int64)), pa.array(counts[part])], names=["fp", "n"])
+            for size, (codes, firsts, n) in held.items():
+                for at in range(0, len(codes), OUT_ROWS):
+                    part = slice(at, at + OUT_ROWS)
+                    sizes = pa.array(np.full(len(n[part]), size, np.int32))
+                    columns = [sizes, pa.array(codes[part].view(np.int64)), pa.array(firsts[part].view(np.int64)), pa.array(n[part])]
+                    yield pa.RecordBatch.from_arrays(columns, names=["size", "fp", "first", "n"])
 
         for piece in _slices(batches, most):
-            found, times = np.unique(np.concatenate(list(wanted(piece))), return_counts=True)
-            codes, counts = np.concatenate((codes, found)), np.concatenate((counts, times))
-            order = np.argsort(codes, kind="stable")  # two sorted runs: merged, not sorted anew
-            codes, counts = codes[order], counts[order]
-            heads = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else order
-            codes, counts = codes[heads], np.add.reduceat(counts, heads) if len(heads) else counts
-            if len(codes) > HELD_CODES:
+            for size, codes, firsts in wanted(piece):
+                found = _added(codes, firsts, np.ones(len(codes), np.int64))
+                held[size] = _added(*map(np.concatenate, zip(held[size], found))) if size in held else found
+            if sum(len(codes) for codes, _, _ in held.values()) > HELD_CODES:
                 yield from made()
-                codes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+                held.clear()
         yield from made()
 
-    return _texts(docs).mapInArrow(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("fp")
+    def lasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, codes, firsts = (batch.column(name).to_numpy() for name in ("size", "fp", "first"))
+            code = last_codes(size, codes.view(np.uint64), firsts.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code.view(np.int64))], names=[*batch.schema.names, "code"])
+
+    rows = _texts(docs).mapInArrow(run, "size int, fp long, first long, n long")
+    sums = rows.groupBy("size", "fp").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("first").alias("other"))
+    sums = sums.where(F.col("n") >= least).select("size", "fp", "first", "n", (F.col("first") == F.col("other")).alias("sole"))
+    return sums.mapInArrow(lasts, "size int, fp long, first long, n long, sole boolean, code long")
 
 
 def bit_map(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
@@ -222,22 +278,29 @@ def bit_map(codes: DataFrame, bits: int = FILTER_BITS) -> bytes:
     return bytes(out)
 
 
-def _short(piece: Slice) -> Iterator[np.ndarray]:
-    for n in (1, 2):
-        yield piece.codes(piece.places(n), n)
+def _pairs(words, bits: int) -> Wanted:
+    def wanted(piece: Slice) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        single = piece.codes(np.arange(len(piece.ids)), 1)
+        heard = Filter(words.value, bits).has(single)
+        here = piece.places(2)
+        here = here[heard[here] & heard[here + 1]]
+        yield 2, piece.codes(here, 2), single[here]
+
+    return wanted
 
 
-def _longer(model, bits: int) -> Callable[[Slice], Iterator[np.ndarray]]:
-    def wanted(piece: Slice) -> Iterator[np.ndarray]:
-        frequent = Filter(model.value, bits)
+def _longer(words, pairs, bits: int) -> Wanted:
+    def wanted(piece: Slice) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        heard = Filter(words.value, bits).has(piece.codes(np.arange(len(piece.ids)), 1))
+        here = np.flatnonzero(piece.breaks[2:] == piece.breaks[:-2])
+        here = here[heard[here] & heard[here + 1]]  # the pairs that were counted
         good = np.zeros(len(piece.ids), bool)  # two words that are frequent together start here
-        pairs = np.flatnonzero(piece.breaks[2:] == piece.breaks[:-2])
-        good[pairs] = frequent.has(piece.codes(pairs, 2))
+        good[here] = Filter(pairs.value, bits).has(piece.codes(here, 2))
         for n in range(3, LONGEST + 1):
             here = piece.places(n)
             for k in range(n - 1):
                 here = here[good[here + k]]
-            yield piece.codes(here, n)
+            yield n, piece.codes(here, n), piece.codes(here, n - 1)
 
     return wanted
 
@@ -291,7 +354,9 @@ class Tally:
         return self.table.append_column("n", pa.array(self.n))
 
 
-def phrase_counts(slices: Iterator[Slice], known: Filter, most: int = HELD_PHRASES, most_bytes: int = HELD_BYTES) -> Iterator[pa.RecordBatch]:
+def phrase_counts(
+    slices: Iterator[Slice], known: Filter, most: int = HELD_PHRASES, most_bytes: int = HELD_BYTES, longest: int = LONGEST
+) -> Iterator[pa.RecordBatch]:
     """``lang, size, phrase, n`` of the n-grams with a known fingerprint, added up over the slices in tables of at most
     ``most`` rows and ``most_bytes`` bytes and those of one slice."""
     langs: dict[str, int] = {}
@@ -309,7 +374,7 @@ def phrase_counts(slices: Iterator[Slice], known: Filter, most: int = HELD_PHRAS
         totals = np.bincount(lang[piece.places(1)])
         spoken.update({k: int(totals[k]) for k in np.flatnonzero(totals).tolist()})
         found, tables = [], []
-        for n in range(1, LONGEST + 1):
+        for n in range(1, longest + 1):
             here = piece.places(n)
             codes = piece.codes(here, n)
             hit = known.has(codes)
@@ -340,6 +405,52 @@ def counted_phrases(docs: DataFrame, frequent: bytes, bits: int, most: int = SLI
     return _texts(docs).mapInArrow(run, schema).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
 
 
+def counted_words(docs: DataFrame, most: int = SLICE_BYTES) -> DataFrame:
+    """``lang, size, phrase, n, fp, code, sole`` of all words; ``sole`` if no other word has the fingerprint. Size 0 has
+    all words of the language."""
+    schema = "lang string, size int, phrase string, n long, fp long, code long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in phrase_counts(_slices(batches, most), Filter(b"\xff", 3), longest=1):
+            words = batch.column("phrase").cast(pa.binary()).to_pylist()
+            codes, fps = word_codes(batch.column("lang").to_pylist(), words)
+            columns = [*batch.columns, pa.array(fps.view(np.int64)), pa.array(codes.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "fp", "code"])
+
+    rows = _texts(docs).mapInArrow(run, schema).repartition("fp")
+    sums = rows.groupBy("fp", "code", "lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    sole = F.count("*").over(Window.partitionBy("fp")) == 1
+    return sums.select("lang", "size", "phrase", "n", "fp", "code", sole.alias("sole"))
+
+
+def written_out(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """``lang, size, phrase, n, fp`` of the frequent n-grams that are made of frequent ones one word shorter and a
+    frequent word, as far as no fingerprint stands for two of them."""
+    last = words.where("size = 1 AND sole").select("lang", "code", F.col("phrase").alias("last"))
+    level = words.where("size = 1 AND sole").select("lang", "phrase", "fp")
+    out = []
+    for size in range(2, LONGEST + 1):
+        found = grams.where((F.col("size") == size) & F.col("sole"))
+        found = found.join(level.select("lang", F.col("phrase").alias("begin"), F.col("fp").alias("first")), "first").join(last, ["lang", "code"])
+        found = found.select("lang", "size", F.concat_ws(" ", "begin", "last").alias("phrase"), "n", "fp")
+        out.append(stored(found, "phrases"))
+        level = out[-1]
+    return reduce(DataFrame.unionByName, out)
+
+
+def frequent_phrases(docs: DataFrame, words: DataFrame, grams: DataFrame, least: int, bits: int = FILTER_BITS, most: int = SLICE_BYTES) -> DataFrame:
+    """``lang, size, phrase, n`` of all frequent n-grams, and size 0 of ``words``. Those that can't be written out are
+    counted by their text."""
+    names = ["lang", "size", "phrase", "n"]
+    known = written_out(words, grams)
+    counts = words.select(names).unionByName(known.select(names))
+    others = grams.join(known, ["size", "fp"], "left_anti")
+    if others.isEmpty():
+        return counts
+    texts = counted_phrases(docs, bit_map(others, bits), bits, most).where((F.col("size") > 1) & (F.col("n") >= least))
+    return counts.unionByName(texts.join(known, ["lang", "size", "phrase"], "left_anti"))
+
+
 def pointers(piece: Slice, places: np.ndarray, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A place of each phrase and how often it occurs; equal fingerprints count together only if language
     and words are those of that place. Which of its places that is changes no count, so the order among them is left open."""
@@ -394,11 +505,12 @@ def scored(counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = MIN_COUNT, top: int = TOP, bits: int = FILTER_BITS, most: int = SLICE_BYTES) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language, best first."""
     spark = docs.sparkSession
-    short = stored(frequent_codes(docs, _short, least, most), "codes")
-    model = spark.sparkContext.broadcast(bit_map(short, bits))
-    long = stored(frequent_codes(docs, _longer(model, bits), least, most), "codes")
-    counts = counted_phrases(docs, bit_map(short.unionByName(long), bits), bits, most)
-    counts = stored(counts.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
+    words = stored(counted_words(docs, most).where((F.col("size") == 0) | (F.col("n") >= least)), "words")
+    heard = spark.sparkContext.broadcast(bit_map(words.where("size = 1"), bits))
+    pairs = stored(frequent_grams(docs, _pairs(heard, bits), least, most), "codes")
+    model = spark.sparkContext.broadcast(bit_map(pairs, bits))
+    long = stored(frequent_grams(docs, _longer(heard, model, bits), least, most), "codes")
+    counts = stored(frequent_phrases(docs, words, pairs.unionByName(long), least, bits, most), "phrases")
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     bucket = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS))).orderBy(*order)
     best = scored(counts).withColumn("rank", F.row_number().over(bucket)).where(F.col("rank") <= top)  # at most top * BUCKETS a language go on

@@ -8,8 +8,27 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
-
-from flowsieve.llm.collocations import ORACLE, Filter, Slice, Tally, _table, bit_map, blocks, collocations, op11_collocations, phrase_counts, pointed
+from pyspark.sql import functions as F
+
+from flowsieve.llm import collocations as module
+from flowsieve.llm.collocations import (
+    ORACLE,
+    Filter,
+    Slice,
+    Tally,
+    _table,
+    bit_map,
+    blocks,
+    collocations,
+    counted_words,
+    frequent_grams,
+    frequent_phrases,
+    last_codes,
+    op11_collocations,
+    phrase_counts,
+    pointed,
+    word_codes,
+)
 
 SCHEMA = "doc_id long, text string, lang string"
 
@@ -142,3 +161,58 @@ def test_query_against_sql(spark, tables) -> None:
 
 def test_empty(spark, tables) -> None:
     assert op11_collocations(spark, tables(documents=spark.createDataFrame([], SCHEMA))).collect() == []
+
+
+def test_the_last_word_follows_from_two_fingerprints() -> None:
+    piece = Slice([("en", b"a b c d e a", 0), ("fr", b"b c d", 0)])
+    for n in (2, 3, 4):
+        here = piece.places(n)
+        found = last_codes(np.full(len(here), n), piece.codes(here, n), piece.codes(here, n - 1))
+        langs, words = [piece.names[piece.part[p]] for p in here], [piece.words[p + n - 1] for p in here]
+        codes, fps = word_codes(langs, words)
+        assert found.tolist() == codes.tolist()
+        assert fps.tolist() == piece.codes(here + n - 1, 1).tolist()
+
+
+def test_longer_phrases_are_written_out_once_instead_of_once_in_each_task(spark, monkeypatch) -> None:
+    rows = rows_of(random.Random(3), 300)
+    called = []
+    monkeypatch.setattr(module, "counted_phrases", lambda *_: called.append(1))
+    found = collocations(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()
+    assert sorted(map(tuple, found)) == sorted(brute(rows))
+    assert not called  # every task sent each phrase that it met
+
+
+def test_words_of_one_code_are_told_apart(spark) -> None:
+    one, other = ("".join("ab"[(bin(i).count("1") + k) % 2] for i in range(1024)) for k in range(2))
+    codes, _ = word_codes(["en", "en"], [one.encode(), other.encode()])
+    assert codes[0] == codes[1]
+    rows = [(i, f"{one} x y. z {one} x. u v w", "en") for i in range(35)] + [(i, f"{other} x y. z {other} u. u v", "en") for i in range(33)]
+    rows += [(i, f"{one} rare {other} rare", "en") for i in range(20)]  # 40 together
+    docs = spark.createDataFrame(rows, SCHEMA)
+    sole = {r["phrase"]: r["sole"] for r in counted_words(docs).where("size = 1").collect()}
+    assert sole == {w: w not in (one, other) for w in (one, other, *"xyzuvw", "rare")}
+    assert sorted(map(tuple, collocations(docs).collect())) == sorted(brute(rows))
+
+
+def test_a_fingerprint_with_two_beginnings_is_noticed(spark) -> None:
+    def wanted(piece):
+        here = piece.places(2)
+        yield 2, np.where(piece.codes(here + 1, 1) == piece.codes(here[:1] + 1, 1), np.uint64(5), np.uint64(9)), piece.codes(here, 1)
+
+    docs = spark.createDataFrame([(i, "a b. c b. d e", "en") for i in range(30)], SCHEMA).repartition(3)
+    assert {(r["size"], r["fp"], r["n"], r["sole"]) for r in frequent_grams(docs, wanted, 30).collect()} == {(2, 5, 60, False), (2, 9, 30, True)}
+
+
+def test_what_cannot_be_written_out_is_counted_by_its_text(spark) -> None:
+    rows = rows_of(random.Random(5), 300)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    words = counted_words(docs).where("size = 0 OR n >= 30").cache()
+    every = lambda piece: ((n, piece.codes(p := piece.places(n), n), piece.codes(p, n - 1)) for n in (2, 3, 4))
+    grams = frequent_grams(docs, every, 30).cache()
+    expected = sorted(map(tuple, frequent_phrases(docs, words, grams, 30).collect()))
+    assert len({row[:3] for row in expected}) == len(expected)
+    mixed = grams.withColumn("sole", F.col("sole") & (F.pmod("fp", F.lit(3)) != 0))
+    found = frequent_phrases(docs, words, mixed, 30, bits=12).collect()
+    assert sorted(map(tuple, found)) == expected
+    assert {n for _, n, _, _ in expected} == {0, 1, 2, 3, 4}
