@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from flowsieve.operators import ranking
+from flowsieve.operators import ranking, score
 from flowsieve.plans import flow_model
 from flowsieve.session import shared_dir
 
@@ -58,3 +58,15 @@ def test_dense_vectors_refuse_gaps(spark):
         with pytest.raises(Exception, match="missing value"):
             pack.transform(spark.createDataFrame([(0.0, gap)], "a double, `b c` double")).collect()
     assert pack.transform(spark.createDataFrame([(0.0, 2.0)], "a double, `b c` double")).first()["features"].toArray().tolist() == [0.0, 2.0]
+
+
+def test_alerts_ask_the_classifier_once_a_row(spark):
+    """The condition on the score stays above the model; below it, every step would be written out in the filter anew."""
+    flows = _flows(spark).withColumns({"src_ip": F.lit("a"), "dst_ip": F.lit("b"), "ts": F.lit(0)})
+    model = flow_model.fit_detector(flows, "attack_type", key="flow_id", keep=["src_ip", "dst_ip", "ts"], select=False, classifier={"numTrees": 5})
+    hits = score.alerts(model.transform(flows), threshold=0.5, time="ts")
+    lines = hits._jdf.queryExecution().executedPlan().toString().split("\n")
+    filters = [line for line in lines if "Filter" in line]
+    assert filters and not [line for line in filters if "UDF(" in line]
+    assert sum("Generate explode" in line for line in lines) == 1
+    assert hits.count() == flows.where("attack_type = 'A'").count()
