@@ -74,6 +74,32 @@ def test_anova_equals_the_definition(sample):
     assert got["flag"] == float("inf")
 
 
+def test_anova_from_counted_values_equals_that_of_the_rows(spark, sample):
+    df, data, _ = sample
+    names = [*data, "far", "gaps", "third"]
+    far = F.when(F.col("y") == "b", 1e9).otherwise(1e9 + 1) + F.col("noise") / 1e3
+    df = df.withColumns({"far": far, "gaps": F.when(F.col("noise") > 0, F.col("counter")), "third": F.when(F.col("y") == "b", 0.1).otherwise(0.7)})
+    rows = {r["feature"]: r["f_score"] for r in ranking.anova_f(df, names, "y").collect()}
+    counted = {r["feature"]: r["f_score"] for r in ranking.anova_f(df, names, "y", ranking.value_counts(df, names, "y")).collect()}
+    assert rows.keys() == counted.keys() and rows.pop("constant") is None
+    assert {name: counted[name] for name in rows} == pytest.approx(rows, rel=1e-6)  # values near 1e9 have 7 digits after the point
+    assert counted["third"] == float("inf") and counted["constant"] is None
+
+
+def test_selector_reads_the_rows_once_for_both_scores(spark, sample, tmp_path):
+    df, data, _ = sample
+    path = str(tmp_path / "rows")
+    df.write.parquet(path)
+    rows = spark.read.parquet(path)
+    scores = ranking.FeatureSelector(labelCol="y", useAnova=True, useMi=True).scores(rows)
+    assert not set(scores.inputFiles()) & set(rows.inputFiles())  # all that is left to do is done on the counted values
+    got = {r["feature"]: (r["f_score"], r["mi_score"]) for r in scores.collect()}
+    apart = ranking.anova_f(rows, list(data), "y").join(ranking.mutual_info(rows, list(data), "y"), "feature")
+    for r in apart.collect():
+        assert got.pop(r["feature"]) == pytest.approx((r["f_score"], r["mi_score"]))
+    assert not got
+
+
 def test_consensus_of_literal_scores(spark):
     scores = spark.createDataFrame([("a", 1.0, 5.0), ("b", 2.0, 5.0), ("c", 3.0, 5.0)], "feature string, s double, t double")
     rows = ranking.consensus(scores).collect()
